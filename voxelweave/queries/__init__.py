@@ -6,7 +6,7 @@ import importlib
 
 from voxelweave.queries.registry import ORACLES, QUERIES
 
-GROUPS = ("evaluation",)
+GROUPS = ("evaluation", "postprocessing")
 
 
 def load_all():
