@@ -6,7 +6,7 @@ import importlib
 
 from voxelweave.queries.registry import ORACLES, QUERIES
 
-GROUPS = ("evaluation", "postprocessing")
+GROUPS = ("evaluation", "postprocessing", "datasets")
 
 
 def load_all():
