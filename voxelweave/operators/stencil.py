@@ -77,20 +77,28 @@ def _schema(df: DataFrame, columns: list[str], extra: list[str]) -> str:
 def gaussian(df: DataFrame, value: str, sigma: float | tuple[float, float, float] = 1.0,
              keys: tuple[str, ...] = ("case_id",), side: int = bricks.SIDE) -> DataFrame:
     """Separable Gaussian smoothing, read at the given rows; zeros outside."""
-    sigmas = (sigma,) * 3 if isinstance(sigma, (int, float)) else sigma
-    taps = [gaussian_taps(s) for s in sigmas]
-    reach = max(len(t) // 2 for t in taps)
+    sigmas = (float(sigma),) * 3 if isinstance(sigma, (int, float)) else sigma
+    own = df.withColumns({f"s{a}": F.lit(float(s)) for a, s in zip(COORDS, sigmas)})
+    return gaussian_by_case(own, value, max(sigmas), keys, side)
+
+
+def gaussian_by_case(df: DataFrame, value: str, max_sigma: float, keys: tuple[str, ...] = ("case_id",),
+                     side: int = bricks.SIDE) -> DataFrame:
+    """Smoothing with each case's own deviations in the columns sx, sy, sz (none above ``max_sigma``)."""
+    reach = len(gaussian_taps(max_sigma)) // 2
     keys = list(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
+        deviations = pdf[["sx", "sy", "sz"]].to_numpy()
         for mine, where, block in _blocks(pdf, keys, side, reach):
+            taps = [gaussian_taps(s) for s in deviations[mine[0]]]
             out = pdf.loc[mine, [*keys, *COORDS]].copy()
             out["smooth"] = smooth_block(block, taps)[where]
             parts.append(out)
         return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, *COORDS, "smooth"])
 
-    rows = df.select(*keys, *COORDS, F.col(value).cast("double").alias("value"))
+    rows = df.select(*keys, *COORDS, "sx", "sy", "sz", F.col(value).cast("double").alias("value"))
     return bricks.map_bricks(rows, keys, side, run, _schema(rows, [*keys, *COORDS], ["smooth"]), halo=reach)
 
 
