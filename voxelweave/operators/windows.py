@@ -22,8 +22,8 @@ def tile(df: DataFrame, cases: DataFrame, patch: tuple[int, int, int], overlap:
     """Each voxel once per window that covers it, with the window's origin wx, wy, wz."""
     out = df.join(cases.select("case_id", "nx", "ny", "nz"), "case_id")
     for a, p in zip(COORDS, patch):
-        covering = F.filter(starts(F.col(f"n{a}"), p, overlap), lambda s, a=a, p=p: (F.col(a) >= s) & (F.col(a) < s + p))
-        out = out.withColumn(f"w{a}", F.explode(covering))
+        origins = F.explode(starts(F.col(f"n{a}"), p, overlap))
+        out = out.withColumn(f"w{a}", origins).filter((F.col(a) >= F.col(f"w{a}")) & (F.col(a) < F.col(f"w{a}") + p))
     return out.drop("nx", "ny", "nz")
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from voxelweave.queries.registry import ORACLES, QUERIES
 
-GROUPS = ("evaluation", "postprocessing", "datasets", "preprocessing")
+GROUPS = ("evaluation", "postprocessing", "datasets", "preprocessing", "training", "streams")
 
 
 def load_all():

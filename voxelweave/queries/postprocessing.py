@@ -221,10 +221,11 @@ ridge AS MATERIALIZED (SELECT case_id, x, y, z FROM hs WHERE hxx < 0 AND hxx*hyy
 DENSE = ("vox", "maps", "cases", "grid")
 
 
-@query("gaussian_smoothing", fx.duck(_smooth_sql("SELECT case_id, x, y, z, intensity p FROM dense", "p", 1.0, "s")
-                                     + " SELECT case_id, x, y, z, round(p, 6) smooth FROM s3", "dense"))
+@query("gaussian_smoothing", fx.duck(_smooth_sql("""SELECT g.case_id, g.x, g.y, g.z, coalesce(intensity, 0.0e0) p,
+  intensity IS NOT NULL inside FROM grid g LEFT JOIN maps USING (case_id, x, y, z)""", "p", 1.0, "s")
+                                     + " SELECT case_id, x, y, z, round(p, 6) smooth FROM s3 WHERE inside", "vox", "maps", "cases", "grid"))
 def gaussian_smoothing(spark, sf):
-    return rounded(stencil.gaussian(fx.dense(spark, sf), "intensity", 1.0, side=8))
+    return rounded(stencil.gaussian(fx.maps(spark, sf), "intensity", 1.0, side=8))
 
 
 @query("hessian", fx.duck(_HESS + " SELECT case_id, x, y, z, " + ", ".join(f"round({h}, 6) + 0.0e0 {h}" for h in stencil.HESSIAN)

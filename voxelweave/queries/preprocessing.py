@@ -21,11 +21,11 @@ def axis_permutation(spark, sf):
     return geometry.permute(fx.voxels(spark, sf).drop("pred_id"), PERM).join(cases, "case_id")
 
 
-@query("axis_order_restored", fx.duck("SELECT case_id, x, y, z, round(oz, 6) ox, round(oy, 6) oy, round(ox, 6) oz FROM maps", "maps"))
+@query("axis_order_restored", fx.duck("SELECT case_id, x, y, z, round(oy, 6) ox, round(ox, 6) oy, round(oz, 6) oz FROM maps", "maps"))
 def axis_order_restored(spark, sf):
     """Offsets stored in permuted axes come back in the original axes with reordered components."""
-    stored = geometry.permute(fx.maps(spark, sf).select("case_id", "x", "y", "z", "ox", "oy", "oz"), [0, 1, 2])
-    return rounded(geometry.reorder_offsets(stored, [0, 1, 2]))
+    stored = geometry.permute(fx.maps(spark, sf).select("case_id", "x", "y", "z", "ox", "oy", "oz"), PERM)
+    return rounded(geometry.reorder_offsets(stored, PERM))
 
 
 def _image(spark, sf):
@@ -35,13 +35,13 @@ def _image(spark, sf):
     for a in ("x", "y", "z"):
         inside = inside & F.col(a).between(lo, 12)
     return fx.dense(spark, sf).select(
-        "case_id", "x", "y", "z", F.when(inside, F.col("intensity")).otherwise(0.0).alias("intensity"), "ref_id",
+        "case_id", "x", "y", "z", F.when(inside & ((F.col("x") * 5 + F.col("y") * 3 + F.col("z")) % 11 != 0), F.col("intensity")).otherwise(0.0).alias("intensity"), "ref_id",
         F.when(F.col("ref_id") > 0, 1).otherwise(0).cast("long").alias("seg"),
     )
 
 
 _IMG = """, img AS MATERIALIZED (SELECT case_id, x, y, z, CASE WHEN x BETWEEN case_id % 4 AND 12 AND y BETWEEN case_id % 4 AND 12
-  AND z BETWEEN case_id % 4 AND 12 THEN intensity ELSE 0.0e0 END intensity, ref_id, CASE WHEN ref_id > 0 THEN 1 ELSE 0 END seg FROM dense),
+  AND z BETWEEN case_id % 4 AND 12 AND (x*5 + y*3 + z) % 11 <> 0 THEN intensity ELSE 0.0e0 END intensity, ref_id, CASE WHEN ref_id > 0 THEN 1 ELSE 0 END seg FROM dense),
 box AS (SELECT case_id, min(x) lo_x, max(x) hi_x, min(y) lo_y, max(y) hi_y, min(z) lo_z, max(z) hi_z FROM img WHERE intensity <> 0 GROUP BY 1)"""
 
 
@@ -50,23 +50,27 @@ def nonzero_boxes(spark, sf):
     return geometry.nonzero_box(_image(spark, sf), ["intensity"])
 
 
-_CROP = _IMG + f""", {STEPS}, dark AS (SELECT case_id, x, y, z FROM img WHERE intensity = 0), {cc_sql('dc', 'dark', 'case_id', '6')},
-hole AS (SELECT case_id, x, y, z FROM dc WHERE (case_id, root) NOT IN (SELECT (case_id, root) FROM dc
-  WHERE x IN (0, 15) OR y IN (0, 15) OR z IN (0, 15)))"""
+# Zeros reached from the border; the other zeros are holes and count as inside.
+_CROP = _IMG + f""", {STEPS}, dark AS MATERIALIZED (SELECT case_id, x, y, z FROM img WHERE intensity = 0),
+outer_zeros AS (SELECT case_id, x, y, z FROM dark WHERE x IN (0, 15) OR y IN (0, 15) OR z IN (0, 15)
+  UNION SELECT d.case_id, d.x, d.y, d.z FROM outer_zeros o JOIN steps s ON s.r = 1
+    JOIN dark d ON d.case_id = o.case_id AND d.x = o.x + dx AND d.y = o.y + dy AND d.z = o.z + dz)"""
 
 
-@query("crop_to_nonzero")
+@query("crop_to_nonzero", fx.duck(_CROP + """ SELECT i.case_id, i.x - lo_x x, i.y - lo_y y, i.z - lo_z z, ref_id,
+  CASE WHEN seg = 0 AND o.case_id IS NOT NULL THEN -1 ELSE seg END seg FROM img i JOIN box USING (case_id)
+  LEFT JOIN outer_zeros o ON o.case_id = i.case_id AND o.x = i.x AND o.y = i.y AND o.z = i.z
+  WHERE i.x BETWEEN lo_x AND hi_x AND i.y BETWEEN lo_y AND hi_y AND i.z BETWEEN lo_z AND hi_z""", "dense", recursive=True))
 def crop_to_nonzero(spark, sf):
-    """No SQL twin: the flood fill of the background is too slow as a recursive query; see the brute-force test."""
     return rounded(geometry.crop_to_nonzero(_image(spark, sf), ["intensity"], fx.cases(spark, sf))[0].drop("intensity"))
 
 
 @query("crop_without_filling", fx.duck(_IMG + """ SELECT i.case_id, x - lo_x x, y - lo_y y, z - lo_z z, ref_id,
   CASE WHEN seg = 0 AND intensity = 0 THEN -1 ELSE seg END seg FROM img i JOIN box USING (case_id)
-  WHERE x BETWEEN lo_x AND hi_x AND y BETWEEN lo_y AND hi_y AND z BETWEEN lo_z AND hi_z AND ref_id > 0""", "dense"))
+  WHERE x BETWEEN lo_x AND hi_x AND y BETWEEN lo_y AND hi_y AND z BETWEEN lo_z AND hi_z""", "dense"))
 def crop_without_filling(spark, sf):
     cut, _ = geometry.crop_to_nonzero(_image(spark, sf), ["intensity"], fx.cases(spark, sf), fill_holes=False)
-    return cut.drop("intensity").filter("ref_id > 0")
+    return cut.drop("intensity")
 
 
 @query("uncrop", fx.duck(_IMG + """ SELECT i.case_id, x, y, z, ref_id FROM img i JOIN box USING (case_id)
