@@ -103,8 +103,7 @@ def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.filter("ref_id > 0 OR pred_id > 0")
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """case_id, nx, ny, nz, sx, sy, sz, fold."""
+def _build_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     c = F.col("case_id")
     n = F.lit(16).cast("long")
@@ -122,6 +121,11 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, nx, ny, nz, sx, sy, sz, fold."""
+    return _once(spark, sf_dir, "cases", lambda: _build_cases(spark, sf_dir))
+
+
 def _with_maps(v: DataFrame) -> DataFrame:
     v = v.withColumn("h", F.expr("x*73 + y*179 + z*283 + case_id*31"))
     h = F.col("h")

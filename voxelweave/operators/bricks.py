@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.operators.overlap import COORDS
+from voxelweave.session import ship_package
 
 SIDE = 64
 
@@ -36,8 +37,12 @@ def map_bricks(df: DataFrame, keys: list[str], side: int, fn: Callable[[pd.DataF
 
     One shuffle by (keys, brick); rows reach ``fn`` sorted by keys, brick, x, y, z.
     """
+    ship_package(df.sparkSession)
     brick = [*keys, *[f"b{a}" for a in COORDS]]
-    placed = with_bricks(df, side, halo).repartition(*brick).sortWithinPartitions(*brick, *COORDS)
+    # A fixed count, because the tasks are bound by their work and not by the bytes that
+    # adaptive coalescing looks at.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = with_bricks(df, side, halo).repartition(tasks, *brick).sortWithinPartitions(*brick, *COORDS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from voxelweave.operators.overlap import COORDS
 from voxelweave.operators.ranking import rank_in_group
 from voxelweave.operators.stencil import local_maxima
 from voxelweave.schema import voxel_key
+from voxelweave.session import materialize
 
 OFFSETS = {"x": "ox", "y": "oy", "z": "oz"}
 
@@ -85,11 +88,56 @@ def assign_to_centres(foreground: DataFrame, centres: DataFrame, cell: int = 4)
     )
 
 
-def spread_labels(unlabelled: DataFrame, labelled: DataFrame, value: str, cell: int = 4) -> DataFrame:
-    """``value`` of the nearest labelled voxel, ties to the first in scan order."""
-    sites = labelled.select("case_id", voxel_key().alias("site"), *[F.col(a).alias(f"s{a}") for a in COORDS])
-    at = unlabelled.select("case_id", *COORDS, *[F.col(a).alias(f"p{a}") for a in COORDS])
-    found = nearest_site(at, sites, COORDS, cell=cell, label="spread").select("case_id", *COORDS, "site")
-    return found.join(labelled.select("case_id", voxel_key().alias("site"), value), ["case_id", "site"]).select(
-        "case_id", *COORDS, value
+def _ball(radius: int) -> list[tuple[int, int, int, int]]:
+    """Offsets by distance, then in scan order: (d2, dx, dy, dz), all within ``radius``."""
+    span = range(-radius, radius + 1)
+    steps = [(a * a + b * b + c * c, a, b, c) for a in span for b in span for c in span]
+    return sorted(s for s in steps if 0 < s[0] <= radius * radius)
+
+
+def spread_labels(unlabelled: DataFrame, labelled: DataFrame, value: str, radius: int = 4,
+                  side: int = bricks.SIDE) -> DataFrame:
+    """``value`` of the nearest labelled voxel, ties to the first in scan order.
+
+    Within ``radius`` the answer is the first labelled voxel met when walking the
+    offsets by distance; a brick with a halo holds all of them. The few voxels
+    that are farther from any label go to the general search.
+    """
+    kind = labelled.schema[value].dataType.simpleString()
+    nothing = F.lit(None).cast(kind)
+    rows = labelled.select("case_id", *COORDS, F.col(value).alias("value")).unionByName(
+        unlabelled.select("case_id", *COORDS, nothing.alias("value"))
     )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        code, wide = bricks.brick_codes(pdf, ["case_id"], side, radius, radius)
+        known = pdf["value"].notna().to_numpy()
+        sites, label = code[known], pdf["value"].to_numpy()[known]
+        core = ~known
+        for a in COORDS:
+            core &= (pdf[a] // side == pdf[f"b{a}"]).to_numpy()
+        todo = np.flatnonzero(core)
+        found = np.zeros(len(pdf), dtype=label.dtype)
+        hit = np.zeros(len(pdf), dtype=bool)
+        for _, dx, dy, dz in _ball(radius) if len(sites) else ():
+            if len(todo) == 0:
+                break
+            target = code[todo] + (dx * wide + dy) * wide + dz
+            at = np.minimum(np.searchsorted(sites, target), len(sites) - 1)
+            ok = sites[at] == target
+            found[todo[ok]], hit[todo[ok]] = label[at[ok]], True
+            todo = todo[~ok]
+        out = pdf.loc[core, ["case_id", *COORDS]]
+        return out.assign(value=pd.Series(found, index=pdf.index)[core].where(pd.Series(hit, index=pdf.index)[core]))
+
+    schema = f"case_id bigint, x bigint, y bigint, z bigint, value {kind}"
+    near = materialize(bricks.map_bricks(rows, ["case_id"], side, run, schema, halo=radius), "spread")
+    done = near.filter("value IS NOT NULL").select("case_id", *COORDS, F.col("value").alias(value))
+    rest = near.filter("value IS NULL")
+    if rest.isEmpty():
+        return done
+    sites = labelled.select("case_id", voxel_key().alias("site"), *[F.col(a).alias(f"s{a}") for a in COORDS])
+    at = rest.select("case_id", *COORDS, *[F.col(a).alias(f"p{a}") for a in COORDS])
+    found = nearest_site(at, sites, COORDS, cell=2 * radius, label="spread").select("case_id", *COORDS, "site")
+    far = found.join(labelled.select("case_id", voxel_key().alias("site"), value), ["case_id", "site"])
+    return done.unionByName(far.select("case_id", *COORDS, value))

@@ -64,38 +64,45 @@ def encode_runs(voxels: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> Data
     return runs.drop("__island").withColumn("run", voxel_key("x", "y", "z0"))
 
 
+def label_codes(code: np.ndarray, wide: int, reach: np.ndarray | int) -> np.ndarray:
+    """For sorted brick codes, the index of the first voxel of each voxel's piece."""
+    us, vs = [], []
+    for dx, dy, dz in HALF_STEPS:
+        u, v = bricks.lookup(code, (dx * wide + dy) * wide + dz)
+        near = (reach[u] if isinstance(reach, np.ndarray) else np.full(len(u), reach)) >= abs(dx) + abs(dy) + abs(dz)
+        us.append(u[near])
+        vs.append(v[near])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    parent = np.arange(len(code))
+    while True:
+        a, b = parent[u], parent[v]
+        split = a != b
+        if not split.any():
+            return parent
+        u, v, a, b = u[split], v[split], a[split], b[split]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def pack(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """voxel_key on arrays."""
+    return (x << (2 * AXIS_BITS)) + (y << AXIS_BITS) + z
+
+
 def _labeller(keys: list[str], side: int):
     """Label of each voxel: the smallest voxel key of its piece of the brick."""
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         code, wide = bricks.brick_codes(pdf, [*keys, "conn"], side, 0, 1)
-        reach = pdf["reach"].to_numpy()
-        us, vs = [], []
-        for dx, dy, dz in HALF_STEPS:
-            u, v = bricks.lookup(code, (dx * wide + dy) * wide + dz)
-            near = reach[u] >= abs(dx) + abs(dy) + abs(dz)
-            us.append(u[near])
-            vs.append(v[near])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        parent = np.arange(len(pdf))
-        while True:
-            a, b = parent[u], parent[v]
-            open_ = a != b
-            if not open_.any():
-                break
-            u, v, a, b = u[open_], v[open_], a[open_], b[open_]
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-        x, y, z = (pdf[a].to_numpy()[parent] for a in COORDS)
-        out = pdf[[*keys, "conn", *COORDS]].copy()
-        out["piece"] = (x << (2 * AXIS_BITS)) + (y << AXIS_BITS) + z
-        return out
+        first = label_codes(code, wide, pdf["reach"].to_numpy())
+        at = [pdf[a].to_numpy()[first] for a in COORDS]
+        return pdf[[*keys, "conn", *COORDS]].assign(piece=pack(*at))
 
     return label
 
 
-def _face_links(pieces: DataFrame, keys: list[str], side: int) -> DataFrame:
+def face_links(pieces: DataFrame, keys: list[str], side: int) -> DataFrame:
     """Pairs of pieces that touch across a brick face."""
     on_face = F.lit(False)
     for a in COORDS:
@@ -175,7 +182,7 @@ def components(voxels: DataFrame, cases: DataFrame | None = None, conn: int | No
     if fits_one_brick(cases, side):
         return labelled.withColumnRenamed("piece", "root")
     labelled = materialize(labelled, "pieces")
-    merged = merge_pieces(_face_links(labelled, problem[:-1], side), problem)
+    merged = merge_pieces(face_links(labelled, problem[:-1], side), problem)
     if merged is None:
         return labelled.withColumnRenamed("piece", "root")
     return labelled.join(merged, [*problem, "piece"], "left").select(

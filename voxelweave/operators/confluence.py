@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.operators import bricks
-from voxelweave.operators.components import components
+from voxelweave.operators.components import REACH, face_links, fits_one_brick, label_codes, merge_pieces, pack
 from voxelweave.operators.overlap import COORDS
-
-CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-
+from voxelweave.session import materialize
 
 def cross_ball(times: int) -> list[tuple[int, int, int]]:
     """Offsets reached by ``times`` steps of the 6-neighbour cross."""
@@ -31,34 +31,81 @@ def dilate(mask: DataFrame, cases: DataFrame, times: int = 1, keys: tuple[str, .
     return grown.join(cases.select("case_id", "nx", "ny", "nz"), "case_id").filter(inside).select(*keys, *COORDS)
 
 
+def _brick_confluence(side: int, variants: list[tuple[int, int]]):
+    """Per brick and variant: the (piece, ref_id) pairs, and the voxels on the brick's faces.
+
+    Dilation happens inside the brick: the halo brings every voxel that can reach it.
+    """
+    halo = max(t for t, _ in variants)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        code, wide = bricks.brick_codes(pdf, ["case_id"], side, halo, halo + 1)
+        cube, shift = wide**3, halo + halo + 1
+        group, starts = np.unique(code // cube, return_index=True)
+        origin = {a: pdf[f"b{a}"].to_numpy()[starts] * side for a in COORDS}
+        case, size = pdf["case_id"].to_numpy()[starts], pdf[["nx", "ny", "nz"]].to_numpy()[starts]
+        ids = pdf["ref_id"].to_numpy()
+        parts = []
+        for tier in sorted({t for t, _ in variants}):
+            grown = code
+            if tier:
+                steps = [(a * wide + b) * wide + c for a, b, c in cross_ball(tier)]
+                grown = np.unique(np.concatenate([code + s for s in steps]))
+            g = np.searchsorted(group, grown // cube)
+            local = np.stack([grown // wide**2 % wide, grown // wide % wide, grown % wide]) - shift
+            at = [local[i] + origin[a][g] for i, a in enumerate(COORDS)]
+            mine = ((local >= 0) & (local < side)).all(axis=0)
+            for i in range(3):
+                mine &= (at[i] >= 0) & (at[i] < size[g, i])
+            grown, g, local, at = grown[mine], g[mine], local[:, mine], [v[mine] for v in at]
+            if len(grown) == 0:
+                continue
+            found = np.minimum(np.searchsorted(code, grown), len(code) - 1)
+            ref = np.where(code[found] == grown, ids[found], 0)
+            rim = ((local == 0) | (local == side - 1)).any(axis=0)
+            for conn in [c for t, c in variants if t == tier]:
+                first = label_codes(grown, wide, REACH[conn])
+                frame = pd.DataFrame({
+                    "case_id": case[g], "tier": tier, "conn": conn, "piece": pack(*[v[first] for v in at]),
+                    "ref_id": ref, "x": at[0], "y": at[1], "z": at[2],
+                })
+                held = frame.loc[ref > 0, ["case_id", "tier", "conn", "piece", "ref_id"]].drop_duplicates()
+                parts += [held.assign(x=-1, y=-1, z=-1), frame[rim].assign(ref_id=0)]
+        columns = ["case_id", "tier", "conn", "piece", "ref_id", *COORDS]
+        return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns, dtype="int64")
+
+    return run
+
+
 def confluent_instances(voxels: DataFrame, cases: DataFrame, variants=((0, 6),), side: int = bricks.SIDE) -> DataFrame:
     """Ids of reference instances that share a (dilated) component with another one.
 
-    All (tier, connectivity) variants are labelled in one pass: the variant is
-    part of the problem key. Result: case_id, tier, conn, ref_id.
+    One shuffle of the reference voxels serves all (tier, connectivity) variants.
+    Bricks give back pairs of piece and id, and only for grids that need several
+    bricks the voxels on their faces, by which pieces are joined.
+    Result: case_id, tier, conn, ref_id.
     """
-    refs = voxels.filter("ref_id > 0").select("case_id", *COORDS, "ref_id")
-    by_tier: dict[int, list[int]] = {}
-    for tier, conn in variants:
-        by_tier.setdefault(tier, []).append(conn)
-    parts = []
-    for tier, conns in by_tier.items():
-        mask = refs.select("case_id", *COORDS) if tier == 0 else dilate(refs, cases, tier)
-        parts.append(
-            mask.withColumn("tier", F.lit(tier).cast("long"))
-            .withColumn("conn", F.explode(F.array(*[F.lit(c).cast("long") for c in conns])))
+    variants = [tuple(v) for v in variants]
+    refs = voxels.filter("ref_id > 0").join(cases.select("case_id", "nx", "ny", "nz"), "case_id")
+    rows = refs.select("case_id", *COORDS, "ref_id", "nx", "ny", "nz")
+    problem = ["case_id", "tier", "conn"]
+    schema = ", ".join(f"{c} bigint" for c in [*problem, "piece", "ref_id", *COORDS])
+    found = bricks.map_bricks(rows, ["case_id"], side, _brick_confluence(side, variants), schema,
+                              halo=max(t for t, _ in variants))
+    if fits_one_brick(cases, side):
+        held = found.filter("ref_id > 0").select(*problem, F.col("piece").alias("root"), "ref_id")
+    else:
+        found = materialize(found, "confluence")
+        faces = found.filter("ref_id = 0").select(*problem, *COORDS, "piece")
+        merged = merge_pieces(face_links(faces, ["case_id", "tier"], side), problem)
+        held = found.filter("ref_id > 0").select(*problem, "piece", "ref_id")
+        held = (
+            held.withColumnRenamed("piece", "root") if merged is None
+            else held.join(merged, [*problem, "piece"], "left").select(*problem, F.coalesce("root", "piece").alias("root"), "ref_id")
         )
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    rooted = components(rows, cases, conn=None, keys=("case_id", "tier"), side=side)
-    # Voxels grown by the dilation carry no id and drop out here.
-    held = rooted.join(refs, ["case_id", *COORDS]).select("case_id", "tier", "conn", "root", "ref_id").distinct()
-    shared = held.groupBy("case_id", "tier", "conn", "root").agg(F.count("*").alias("k")).filter("k > 1")
-    return (
-        held.join(shared.drop("k"), ["case_id", "tier", "conn", "root"], "left_semi")
-        .select("case_id", "tier", "conn", "ref_id").distinct()
-    )
+    # A root has two distinct ids exactly when its smallest and largest id differ.
+    shared = held.groupBy(*problem, "root").agg(F.min("ref_id").alias("a"), F.max("ref_id").alias("b")).filter("a < b")
+    return held.join(shared.select(*problem, "root"), [*problem, "root"], "left_semi").select(*problem, "ref_id").distinct()
 
 
 def confluence_classes(voxels: DataFrame, cases: DataFrame, side: int = bricks.SIDE) -> DataFrame:

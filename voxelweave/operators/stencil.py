@@ -69,6 +69,13 @@ def _blocks(pdf: pd.DataFrame, keys: list[str], side: int, reach: int) -> Iterat
         yield mine, tuple((at[mine] - lo).T), block
 
 
+def _at_core(pdf: pd.DataFrame, keys: list[str], columns: dict[str, np.ndarray]) -> pd.DataFrame:
+    """The rows that got a value (those of the brick itself) with their new columns."""
+    filled = ~np.isnan(next(iter(columns.values())))
+    out = pdf.loc[filled, [*keys, *COORDS]]
+    return out.assign(**{name: values[filled] for name, values in columns.items()})
+
+
 def _schema(df: DataFrame, columns: list[str], extra: list[str]) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return ", ".join([*[f"{c} {kinds[c]}" for c in columns], *[f"{e} double" for e in extra]])
@@ -89,14 +96,11 @@ def gaussian_by_case(df: DataFrame, value: str, max_sigma: float, keys: tuple[st
     keys = list(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
         deviations = pdf[["sx", "sy", "sz"]].to_numpy()
+        smooth = np.full(len(pdf), np.nan)
         for mine, where, block in _blocks(pdf, keys, side, reach):
-            taps = [gaussian_taps(s) for s in deviations[mine[0]]]
-            out = pdf.loc[mine, [*keys, *COORDS]].copy()
-            out["smooth"] = smooth_block(block, taps)[where]
-            parts.append(out)
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, *COORDS, "smooth"])
+            smooth[mine] = smooth_block(block, [gaussian_taps(s) for s in deviations[mine[0]]])[where]
+        return _at_core(pdf, keys, {"smooth": smooth})
 
     rows = df.select(*keys, *COORDS, "sx", "sy", "sz", F.col(value).cast("double").alias("value"))
     return bricks.map_bricks(rows, keys, side, run, _schema(rows, [*keys, *COORDS], ["smooth"]), halo=reach)
@@ -113,15 +117,13 @@ def hessian(df: DataFrame, value: str, cases: DataFrame, sigma: float = 1.0, sid
     keys = ["case_id"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        second = {name: np.full(len(pdf), np.nan) for name in HESSIAN}
         for mine, where, block in _blocks(pdf, keys, side, reach):
             first = np.gradient(smooth_block(block, taps))
-            out = pdf.loc[mine, [*keys, *COORDS]].copy()
             for name in HESSIAN:
                 a, b = "xyz".index(name[1]), "xyz".index(name[2])
-                out[name] = np.gradient(first[a], axis=b)[where]
-            parts.append(out)
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, *COORDS, *HESSIAN])
+                second[name][mine] = np.gradient(first[a], axis=b)[where]
+        return _at_core(pdf, keys, second)
 
     rows = df.join(cases.select("case_id", "nx", "ny", "nz"), "case_id").select(
         *keys, *COORDS, "nx", "ny", "nz", F.col(value).cast("double").alias("value")

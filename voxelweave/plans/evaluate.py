@@ -31,9 +31,8 @@ def evaluate(voxels: DataFrame, cases: DataFrame, min_volume: float = 14, min_ax
     confluence of the references. Both results are instance-sized and are written
     down, so that the many metrics that read them do not repeat the passes.
     """
-    table = materialize(
-        sizes.drop_small(overlap.contingency(voxels), cases, "ref_id", min_volume, min_axis), "contingency"
-    )
+    raw = materialize(overlap.contingency(voxels), "contingency")
+    table = materialize(sizes.drop_small(raw, cases, "ref_id", min_volume, min_axis), "contingency")
     kept_refs = table.filter("ref_id > 0").select("case_id", "ref_id").distinct()
     refs = voxels.filter("ref_id > 0").join(kept_refs, ["case_id", "ref_id"], "left_semi")
     confluent = materialize(confluent_instances(refs, cases, tuple(metrics.VARIANTS), side), "confluent")

@@ -63,7 +63,7 @@ def _coarse(spark, sf):
 
 @query("local_maxima", fx.duck(_NMS.format(heat="heat", t=0.1) + " SELECT case_id, x, y, z, round(heat, 6) heat FROM mx", *BASE))
 def local_maxima(spark, sf):
-    return rounded(stencil.local_maxima(fx.maps(spark, sf), side=8))
+    return rounded(stencil.local_maxima(fx.maps(spark, sf)))
 
 
 @query("peak_view", fx.duck(_NMS.format(heat="heat", t=0) + " SELECT case_id, x, y, z, round(heat, 6) heat FROM mx", *BASE))
@@ -225,7 +225,7 @@ DENSE = ("vox", "maps", "cases", "grid")
   intensity IS NOT NULL inside FROM grid g LEFT JOIN maps USING (case_id, x, y, z)""", "p", 1.0, "s")
                                      + " SELECT case_id, x, y, z, round(p, 6) smooth FROM s3 WHERE inside", "vox", "maps", "cases", "grid"))
 def gaussian_smoothing(spark, sf):
-    return rounded(stencil.gaussian(fx.maps(spark, sf), "intensity", 1.0, side=8))
+    return rounded(stencil.gaussian(fx.maps(spark, sf), "intensity", 1.0))
 
 
 @query("hessian", fx.duck(_HESS + " SELECT case_id, x, y, z, " + ", ".join(f"round({h}, 6) + 0.0e0 {h}" for h in stencil.HESSIAN)
