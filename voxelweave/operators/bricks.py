@@ -37,12 +37,18 @@ def map_bricks(df: DataFrame, keys: list[str], side: int, fn: Callable[[pd.DataF
 
     One shuffle by (keys, brick); rows reach ``fn`` sorted by keys, brick, x, y, z.
     """
-    ship_package(df.sparkSession)
+    return map_placed(with_bricks(df, side, halo), keys, fn, schema, COORDS)
+
+
+def map_placed(placed: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,
+               order: list[str]) -> DataFrame:
+    """The same for rows that already carry their brick in bx, by, bz."""
+    ship_package(placed.sparkSession)
     brick = [*keys, *[f"b{a}" for a in COORDS]]
     # A fixed count, because the tasks are bound by their work and not by the bytes that
     # adaptive coalescing looks at.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = with_bricks(df, side, halo).repartition(tasks, *brick).sortWithinPartitions(*brick, *COORDS)
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.repartition(tasks, *brick).sortWithinPartitions(*brick, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -64,6 +70,13 @@ def map_bricks(df: DataFrame, keys: list[str], side: int, fn: Callable[[pd.DataF
     return placed.mapInPandas(run, schema)
 
 
+def brick_slices(pdf: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """Start and stop row of each brick of a frame."""
+    brick = pdf[[*keys, *[f"b{a}" for a in COORDS]]].to_numpy()
+    cuts = np.flatnonzero((brick[1:] != brick[:-1]).any(axis=1)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)]))
+
+
 def brick_codes(pdf: pd.DataFrame, keys: list[str], side: int, halo: int, margin: int) -> tuple[np.ndarray, int]:
     """A rising integer per row such that a neighbour's code differs by a fixed step.
 

@@ -75,7 +75,7 @@ def votes(offsets: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
-def assign_to_centres(foreground: DataFrame, centres: DataFrame, cell: int = 4) -> DataFrame:
+def assign_to_centres(foreground: DataFrame, centres: DataFrame, radius: int = 4) -> DataFrame:
     """instance id of each foreground voxel: the numbered centre nearest to where its offset points."""
     numbered = number_centres(centres).select(
         "case_id", F.col("centre_id").alias("site"), *[F.col(a).alias(f"s{a}") for a in COORDS]
@@ -83,7 +83,7 @@ def assign_to_centres(foreground: DataFrame, centres: DataFrame, cell: int = 4)
     pointing = foreground.select(
         "case_id", *COORDS, *[(F.col(a) + F.col(OFFSETS[a])).alias(f"p{a}") for a in COORDS]
     )
-    return nearest_site(pointing, numbered, COORDS, cell=cell, label="votes").select(
+    return nearest_site(pointing, numbered, COORDS, radius=radius, label="votes").select(
         "case_id", *COORDS, F.col("site").alias("inst"), "d2"
     )
 
@@ -138,6 +138,6 @@ def spread_labels(unlabelled: DataFrame, labelled: DataFrame, value: str, radius
         return done
     sites = labelled.select("case_id", voxel_key().alias("site"), *[F.col(a).alias(f"s{a}") for a in COORDS])
     at = rest.select("case_id", *COORDS, *[F.col(a).alias(f"p{a}") for a in COORDS])
-    found = nearest_site(at, sites, COORDS, cell=2 * radius, label="spread").select("case_id", *COORDS, "site")
+    found = nearest_site(at, sites, COORDS, radius=2 * radius, label="spread").select("case_id", *COORDS, "site")
     far = found.join(labelled.select("case_id", voxel_key().alias("site"), value), ["case_id", "site"])
     return done.unionByName(far.select("case_id", *COORDS, value))

@@ -47,15 +47,13 @@ def smooth_block(block: np.ndarray, taps: list[np.ndarray]) -> np.ndarray:
 
 def _blocks(pdf: pd.DataFrame, keys: list[str], side: int, reach: int) -> Iterator[tuple]:
     """(rows in the brick itself, their indices in the block, block of values) per brick."""
-    brick = pdf[[*keys, *[f"b{a}" for a in COORDS]]].to_numpy()
-    cuts = np.flatnonzero((brick[1:] != brick[:-1]).any(axis=1)) + 1
     at = pdf[COORDS].to_numpy()
     core = np.ones(len(pdf), dtype=bool)
     for i, a in enumerate(COORDS):
         core &= at[:, i] // side == pdf[f"b{a}"].to_numpy()
     size = pdf[["nx", "ny", "nz"]].to_numpy() if "nx" in pdf else None
     value = pdf["value"].to_numpy(dtype=float)
-    for start, stop in zip([0, *cuts], [*cuts, len(pdf)]):
+    for start, stop in bricks.brick_slices(pdf, keys):
         mine = np.flatnonzero(core[start:stop]) + start
         if len(mine) == 0:
             continue
