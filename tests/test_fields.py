@@ -20,18 +20,18 @@ def sizes(spark, shape, n=1):
 
 
 def dense(spark, volume, name, case=0):
-    return spark.createDataFrame([(case, *map(int, at), float(v)) for at, v in np.ndenumerate(volume)] if volume.ndim == 1 else
-                                 [(case, *map(int, at), float(v)) for at, v in np.ndenumerate(volume)], f"{AT}, {name} double")
+    return spark.createDataFrame([(case, *map(int, at), float(v)) for at, v in np.ndenumerate(volume)], f"{AT}, {name} double")
 
 
-def test_nearest_site_is_exact_near_and_far(spark):
+@pytest.mark.parametrize("crowd", [3, 250_000])
+def test_nearest_site_is_exact_near_and_far(spark, crowd):
     rng = np.random.default_rng(3)
     points = rng.integers(0, 200, (300, 3)) / 2.0
     where = np.unique(rng.integers(0, 30, (40, 3)), axis=0)
     p = spark.createDataFrame([(0, i, *map(float, v)) for i, v in enumerate(points)], "case_id bigint, k bigint, px double, py double, pz double")
     p = p.unionByName(p.withColumn("case_id", F.lit(7).cast("long")))
     s = spark.createDataFrame([(0, i + 1, *map(int, v)) for i, v in enumerate(where)], "case_id bigint, site bigint, sx bigint, sy bigint, sz bigint")
-    got = {r["k"]: (r["site"], r["d2"]) for r in nearest_site(p, s, ["k"], radius=2).collect()}
+    got = {r["k"]: (r["site"], r["d2"]) for r in nearest_site(p, s, ["k"], radius=2, crowd=crowd).collect()}
     d2 = ((points[:, None, :] - where[None, :, :]) ** 2).sum(-1)
     assert got == {i: (int(d.argmin()) + 1, d.min()) for i, d in enumerate(d2)}
 

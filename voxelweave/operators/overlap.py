@@ -25,6 +25,17 @@ def align(pred: DataFrame, ref: DataFrame) -> DataFrame:
     )
 
 
+def with_instance(voxels: DataFrame, inst: DataFrame, side: str) -> DataFrame:
+    """Left join of instance-level columns on (case_id, ``side``).
+
+    Background rows match nothing, and a case has very many of them: they get
+    spread-out keys instead of all meeting in the task of (case, 0).
+    """
+    spread = -1 - F.pmod(F.xxhash64(*COORDS), F.lit(4096))
+    keyed = voxels.withColumn("__id", F.when(F.col(side) > 0, F.col(side)).otherwise(spread))
+    return keyed.join(inst.withColumnRenamed(side, "__id"), ["case_id", "__id"], "left").drop("__id")
+
+
 def bounds() -> list[Column]:
     return [agg(a).alias(f"{name}_{a}") for a in COORDS for name, agg in (("lo", F.min), ("hi", F.max))]
 

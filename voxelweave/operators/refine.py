@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelweave.operators import bricks, sizes
 from voxelweave.operators.components import component_table, components
-from voxelweave.operators.overlap import COORDS
+from voxelweave.operators.overlap import COORDS, with_instance
 from voxelweave.operators.ranking import rank_in_group
 
 
@@ -15,7 +15,7 @@ def relabel(voxels: DataFrame, side: str) -> DataFrame:
     """Ids 1..n per case in ascending order; background stays 0."""
     ids = voxels.filter(F.col(side) > 0).select("case_id", side).distinct()
     numbered = rank_in_group(ids, ["case_id"], [F.col(side)], [F.floor(F.col(side) / 4096)], "__new")
-    joined = voxels.join(numbered, ["case_id", side], "left")
+    joined = with_instance(voxels, numbered.select("case_id", side, "__new"), side)
     return joined.withColumn(side, F.coalesce("__new", F.lit(0).cast("long"))).select(*voxels.columns)
 
 

@@ -59,7 +59,7 @@ def remove_small_instances(voxels: DataFrame, cases: DataFrame, side: str = "ref
         return voxels
     inst = voxels.filter(F.col(side) > 0).groupBy("case_id", side).agg(F.count("*").alias("n"), *overlap.bounds())
     small = size_verdicts(inst, cases, min_volume, min_axis).filter("too_small")
-    marked = voxels.join(small.select("case_id", side, F.lit(True).alias("__small")), ["case_id", side], "left")
+    marked = overlap.with_instance(voxels, small.select("case_id", side, F.lit(True).alias("__small")), side)
     cleaned = marked.withColumn(side, F.when(F.col("__small"), 0).otherwise(F.col(side)).cast("long"))
     for name in also_clear:
         kind = voxels.schema[name].dataType
@@ -77,7 +77,7 @@ def size_classes(voxels: DataFrame, side: str = "ref_id", threshold: int = 100)
 
 def paint(voxels: DataFrame, inst: DataFrame, side: str, column: str) -> DataFrame:
     """Writes an instance-level value on every voxel of the instance; 0 elsewhere."""
-    marked = voxels.join(inst.select("case_id", side, column), ["case_id", side], "left")
+    marked = overlap.with_instance(voxels, inst.select("case_id", side, column), side)
     return marked.withColumn(column, F.coalesce(column, F.lit(0).cast("long")))
 
 
