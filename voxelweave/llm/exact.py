@@ -12,15 +12,16 @@ of paged keys have at most so many rows as well and may be broadcast.
 
 Defined cases: a null text counts as empty; of equal texts the row with the most
 code points in the original stays, then the smallest id, a null id last; of
-repeated rows one stays; all input columns stay, except that the four result
-columns replace columns of these names; an empty table gives no rows.
+repeated rows one stays; other columns play no part; an empty table gives no
+rows. The input must give the same rows in the same partitions each time it is
+read, as stored tables do.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.session import materialize
@@ -48,17 +49,18 @@ def directory(prefixes: DataFrame, depth: int, most: int) -> DataFrame:
     return first.select("slot", F.expr(f"shiftleft(shiftright(slot, {depth} - level), {depth} - level) * 64 + level").alias("bucket"))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = ()) -> DataFrame:
-    """Writes the index and gives it back: (bucket, page, pages, hash, norm, best, members).
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
+    """Writes the index and gives it back: (bucket, page, pages, hash, norm, best, members, row).
 
-    ``best`` is the row of a chain entry that stays, ``members`` all its rows, as
-    (points, order, uid, id, payload); a page holds about a bucket's rows at most.
+    ``members`` has all rows of a chain entry as (points, order, uid, id); a page
+    holds about a bucket's rows at most. ``best`` is the member that stays and
+    ``row`` its whole row, null unless ``whole_rows``.
     """
-    source = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("raw"),
-        *[F.col(f"`{c}`") for c in payload], F.monotonically_increasing_id().alias("uid"),
-    )
-    rows = source.withColumn("norm", normalised(F.col("raw"))).withColumn("hash", F.xxhash64("norm"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("raw"),
+        F.monotonically_increasing_id().alias("uid"), (row if whole_rows else F.lit(None).cast("string")).alias("row"),
+    ).withColumn("norm", normalised(F.col("raw"))).withColumn("hash", F.xxhash64("norm"))
     keys = materialize(rows.groupBy("hash").agg(F.count("*").alias("n")), "keys")
     total, distinct = keys.agg(F.sum("n"), F.count("*")).first()
     most = max(512, 2 * math.isqrt(total or 1))
@@ -71,42 +73,38 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = placed.withColumn("pages", F.coalesce("pages", F.lit(1).cast("long")))
     placed = placed.withColumn("page", F.pmod(F.xxhash64("uid", F.lit(3)), "pages"))
     member = F.struct(
-        F.length("raw").alias("points"), (-F.coalesce("id", F.lit(2**63 - 1))).alias("order"), (-F.col("uid")).alias("uid"), "id",
-        *[f"`{c}`" for c in payload],
+        F.coalesce(F.length("raw"), F.lit(0)).alias("points"), F.bitwise_not(F.coalesce("id", F.lit(2**63 - 1))).alias("order"),
+        F.bitwise_not("uid").alias("uid"), F.col("id"),
     )
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    owned = placed.select("bucket", "page", "pages", "hash", "norm", member.alias("m")).repartition(tasks, "bucket", "page")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # With whole rows the text travels once, inside its row.
+    text = [] if whole_rows else ["norm"]
+    owned = placed.select("bucket", "page", "pages", "hash", *text, "row", member.alias("m")).repartition(tasks, "bucket", "page")
+    if whole_rows:
+        owned = owned.withColumn("norm", normalised(F.col(f"row.`{text_col}`")))
     chains = owned.groupBy("bucket", "page", "pages", "hash", "norm").agg(
-        F.max("m").alias("best"), F.collect_list("m").alias("members"))
+        F.max("m").alias("best"), F.collect_list("m").alias("members"), F.max_by("row", "m").alias("row"))
     return materialize(chains, "index")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each document: id, keep_id, group_size, kept, text_sha256 and the payload columns."""
-    index = build_index(docs, id_col, text_col, payload)
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id, keep_id, group_size, kept and text_sha256."""
+    index = build_index(docs, id_col, text_col)
+    sha = F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
     single = index.filter("pages = 1").select(
-        "members", F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"),
-        F.size("members").cast("long").alias("group_size"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-    )
+        "members", F.col("best").alias("top"), F.size("members").cast("long").alias("group_size"), sha)
     many = index.filter("pages > 1")
-    whole = many.groupBy("hash", "norm").agg(
-        F.max("best").alias("top"), F.sum(F.size("members")).cast("long").alias("group_size"))
-    spread = many.select("hash", "norm", "members").join(whole, ["hash", "norm"]).select(
-        "members", F.col("top.id").alias("keep_id"), F.col("top.uid").alias("keep_uid"), "group_size",
-        F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-    )
-    out = single.unionByName(spread).select(F.explode("members").alias("m"), "keep_id", "keep_uid", "group_size", "text_sha256")
+    whole = many.groupBy("hash", "norm").agg(F.max("best").alias("top"), F.sum(F.size("members")).cast("long").alias("group_size"))
+    spread = many.select("hash", "norm", "members").join(whole, ["hash", "norm"]).select("members", "top", "group_size", sha)
+    out = single.unionByName(spread).select(F.explode("members").alias("m"), "top", "group_size", "text_sha256")
     return out.select(
-        F.col("m.id").alias(id_col), "keep_id", "group_size", (F.col("m.uid") == F.col("keep_uid")).alias("kept"), "text_sha256",
-        *[F.col(f"m.`{c}`").alias(c) for c in payload],
+        F.col("m.id").alias(id_col), F.col("top.id").alias("keep_id"), "group_size",
+        (F.col("m.uid") == F.col("top.uid")).alias("kept"), "text_sha256",
     )
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    held = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    del others
-    kept = exact_groups(held, "__id", "__text", ("__row",)).filter("kept")
-    return kept.select("__row.*")
+    index = build_index(docs, id_col, text_col, whole_rows=True)
+    paged = index.filter("pages > 1").groupBy("hash", "norm").agg(F.max_by("row", "best").alias("row"))
+    return index.filter("pages = 1").select("row.*").unionByName(paged.select("row.*"))
