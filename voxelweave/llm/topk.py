@@ -10,8 +10,9 @@ found there goes with the query to all the other shards.
 Defined cases: a vector that is null or holds a null, NaN or infinite component
 takes no part, nor does a row without an id. Only vectors of one length are
 compared. Rows that repeat an id are all candidates, but one query: the smallest
-vector. A query never finds rows of its own id. Ties go to the smaller id. With
-fewer than k candidates all are returned; an empty table gives no rows.
+vector. A query never finds rows of its own id. Scores beyond 64 bits count as
+the nearest 64-bit number. Ties go to the smaller id. With fewer than k
+candidates all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -101,9 +102,10 @@ class Tree:
         scores, found = np.full((len(qids), k), -np.inf, dtype=object), np.full((len(qids), k), -1)
         for i, q in enumerate(queries):
             q = [int(x) for x in q]
-            rows = [(-sum(a * b for a, b in zip(q, p)), self.ids[j], j) for j, p in enumerate(points) if self.ids[j] != qids[i]]
-            for place, (score, _, j) in enumerate(sorted(rows)[:k]):
-                scores[i, place], found[i, place] = min(max(-score, -(2**63)), 2**63 - 1), j
+            dots = [min(max(sum(a * b for a, b in zip(q, p)), -(2**63)), 2**63 - 1) for p in points]
+            rows = sorted((-x, self.ids[j], j) for j, x in enumerate(dots) if self.ids[j] != qids[i])
+            for place, (score, _, j) in enumerate(rows[:k]):
+                scores[i, place], found[i, place] = -score, j
         return scores, found
 
 
