@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,22 +34,23 @@ from voxelweave.llm.words import Memory, slices
 from voxelweave.session import ship_package
 
 LONG_WORD = 256
-STEPS = 48  # contractions in one query; what is left goes into the next
-SHIFT = 20  # places for a token id or a position beside a rank
+AT_ONCE = 32_768  # words in one query
+STEPS = 48  # contractions of long words in one query; what is left goes into the next
+SHIFT = 20  # places for a token id
 
+# A row is known by word * 512 + position, so the neighbour's key is one higher.
 SHORT_SQL = f"""
 WITH RECURSIVE s AS (
-  SELECT w, p, t, 0 AS step FROM words
+  SELECT k, t, 0 AS step FROM words
   UNION ALL
-  SELECT s.w, s.p - (s.p > b.p)::INT, CASE WHEN s.p = b.p THEN b.r ELSE s.t END, s.step + 1
+  SELECT s.k - (s.k > b.k)::INT, CASE WHEN s.k = b.k THEN b.r ELSE s.t END, s.step + 1
   FROM s JOIN (
-    SELECT w, (min(key) & {(1 << SHIFT) - 1})::INT AS p, (min(key) >> {SHIFT})::INT AS r FROM (
-      SELECT x.w, (m.r::BIGINT << {SHIFT}) | x.p AS key
-      FROM s x JOIN s y ON x.w = y.w AND y.p = x.p + 1 JOIN merges m ON m.pair = (x.t::BIGINT << {SHIFT}) | y.t)
-    GROUP BY w) b ON s.w = b.w AND s.p <> b.p + 1
-  WHERE s.step < {STEPS}
+    SELECT w, (best & {(1 << 24) - 1})::INT AS k, (best >> 24)::INT AS r FROM (
+      SELECT x.k >> 9 AS w, min((m.r::BIGINT << 24) | x.k) AS best
+      FROM s x JOIN s y ON y.k = x.k + 1 JOIN merges m ON m.pair = (x.t::BIGINT << {SHIFT}) | y.t
+      GROUP BY x.k >> 9)) b ON s.k >> 9 = b.w AND s.k <> b.k + 1
 )
-SELECT w, p, t, step FROM (SELECT *, max(step) OVER (PARTITION BY w) AS latest FROM s) WHERE step = latest"""
+SELECT k, t, step FROM s"""
 
 LONG_SQL = f"""
 WITH RECURSIVE s AS (
@@ -103,68 +105,99 @@ class Codec:
             self.db.register("incoming", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
             self.db.unregister("incoming")
-        self.memory = Memory(self._units, *([most_units] if most_units else []))
+        self.memory = Memory(self._units, np.int32, *([most_units] if most_units else []))
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(words)
-        todo: dict[bool, list[int]] = {False: [], True: []}
+        short, long = [], []
         for i, word in enumerate(words):
-            if word in self.ranks:
-                out[i] = self.ranks[word].to_bytes(4, "little")
+            rank = self.ranks.get(word)
+            if rank is not None:
+                out[i] = rank.to_bytes(4, "little")
             else:
-                todo[len(word) > LONG_WORD].append(i)
-        for is_long, which in todo.items():
-            if which:
-                for i, ids in zip(which, self._contract([words[i] for i in which], LONG_SQL if is_long else SHORT_SQL)):
-                    out[i] = ids
+                (long if len(word) > LONG_WORD else short).append(i)
+        for low in range(0, len(short), AT_ONCE):
+            which = short[low:low + AT_ONCE]
+            for i, ids in zip(which, self._contract_short([words[i] for i in which])):
+                out[i] = ids
+        if long:
+            for i, ids in zip(long, self._contract_long([words[i] for i in long])):
+                out[i] = ids
         return out
 
-    def _contract(self, words: list[bytes], sql: str) -> list[bytes]:
+    def _rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row (word, position, token) for each byte."""
         sizes = np.array([len(w) for w in words])
-        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        first = np.cumsum(sizes) - sizes
-        p = (np.arange(len(w)) - first[w]).astype(np.int32)
-        t = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        w = np.repeat(np.arange(len(words)), sizes)
+        p = np.arange(len(w)) - (np.cumsum(sizes) - sizes)[w]
+        return w.astype(np.int32), p.astype(np.int32), self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+
+    def _query(self, sql: str, **columns: np.ndarray) -> list[np.ndarray]:
+        self.db.register("words", pa.table(columns))
+        got = self.db.sql(sql).fetchnumpy()
+        self.db.unregister("words")
+        return [np.asarray(x) for x in got.values()]
+
+    def _contract_short(self, words: list[bytes]) -> list[bytes]:
+        w, p, t = self._rows(words)
+        k, t, step = self._query(SHORT_SQL, k=w * 512 + p, t=t)
+        w, latest = k >> 9, np.zeros(len(words), dtype=step.dtype)
+        np.maximum.at(latest, w, step)
+        last = np.nonzero(latest[w] == step)[0]
+        order = last[np.argsort(k[last])]
+        return _split(w[order], t[order], len(words))
+
+    def _contract_long(self, words: list[bytes]) -> list[bytes]:
+        w, p, t = self._rows(words)
         out: list[bytes] = [b""] * len(words)
         while len(w):
-            self.db.register("words", pa.table({"w": w, "p": p, "t": t}))
-            got = self.db.sql(sql).fetchnumpy()
-            self.db.unregister("words")
-            order = np.lexsort((got["p"], got["w"]))
-            w, p, t, step = (np.asarray(got[n])[order].astype(np.int32) for n in ("w", "p", "t", "step"))
+            w, p, t, step = self._query(LONG_SQL, w=w, p=p, t=t)
+            order = np.lexsort((p, w))
+            w, p, t, step = w[order], p[order], t[order], step[order]
             ended = step < STEPS
-            starts = np.nonzero(np.diff(w[ended], prepend=-1))[0]
-            raw = t[ended].astype("<i4").tobytes()
-            for i, a, b in zip(w[ended][starts].tolist(), (starts * 4).tolist(), [*(starts[1:] * 4).tolist(), len(raw)]):
-                out[i] = raw[a:b]
+            for i, ids in enumerate(_split(w[ended], t[ended], len(words))):
+                out[i] = ids or out[i]
             w, p, t = w[~ended], p[~ended], t[~ended]
         return out
 
-    def _units(self, units: list[str]) -> list[bytes | None]:
-        """Ids of pieces; None for a piece whose ends are white space, which its neighbours may change."""
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces; size -1 for a piece whose ends are white space, which its neighbours may change."""
         found: dict[str, int] = {}
-        split = [None if u != "\n" and (not u.strip() or u[-1].isspace() or u[1 if u[0] == " " else 0].isspace())
-                 else [found.setdefault(x, len(found)) for x in self.pattern.findall(u)] for u in units]
+        split: list[list[int] | None] = []
+        for u in units:
+            core = u[1:] if u[:1] == " " else u
+            if u != "\n" and (not core or core[0].isspace() or core[-1].isspace()):
+                split.append(None)
+            else:
+                split.append([found.setdefault(x, len(found)) for x in self.pattern.findall(u)])
         ids = self.merge([x.encode() for x in found])
-        return [None if parts is None else b"".join([ids[i] for i in parts]) for parts in split]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        out: list[bytes] = []
+        raw = [None if parts is None else ids[parts[0]] if len(parts) == 1 else b"".join([ids[i] for i in parts]) for parts in split]
+        size = np.array([-1 if x is None else len(x) // 4 for x in raw], dtype=np.int64)
+        return np.frombuffer(b"".join([x or b"" for x in raw]), dtype="<i4"), size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        ids, sizes = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int64)]
+        texts = pc.fill_null(texts, "")
         for low, high in slices(texts):
-            pieces = [_pieces(text) for text in texts[low:high]]
-            known = self.memory.learn(set().union(*pieces))
-            for text, units in zip(texts[low:high], pieces):
-                ids = [known[u] for u in units]
-                out.append(self._whole(text) if None in ids else b"".join(ids))
-        return out
-
-    def _whole(self, text: str) -> bytes:
+            part = texts.slice(low, high - low)
+            got, size, spoilt = self.memory.encode_lists(_pieces(part))
+            spoilt |= pc.match_substring(part, "\0").to_numpy(zero_copy_only=False)
+            if spoilt.any():
+                runs = np.split(got, np.cumsum(size)[:-1])
+                for i in np.nonzero(spoilt)[0]:
+                    runs[i] = self._whole(part[int(i)].as_py())
+                got, size = np.concatenate(runs), np.array([len(x) for x in runs])
+            ids.append(got)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _whole(self, text: str) -> np.ndarray:
         words = [x.encode() for x in self.pattern.findall(text)]
         found = {x: i for i, x in enumerate(dict.fromkeys(words))}
         ids = self.merge(list(found))
-        return b"".join([ids[found[x]] for x in words])
+        return np.frombuffer(b"".join([ids[found[x]] for x in words]), dtype="<i4")
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray, step: int = 1_000_000) -> list[bytes]:
         """The bytes of each run of ids."""
@@ -186,23 +219,17 @@ class Codec:
         return out
 
 
-def _pieces(text: str) -> list[str]:
-    """The text cut before single spaces and around line ends."""
-    if not text:
-        return []
-    if "\n" not in text:
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if head else [text]
-    out: list[str] = []
-    for n, line in enumerate(text.split("\n")):
-        if n:
-            out.append("\n")
-        head, *rest = line.split(" ")
-        if not head:  # a blank line or a space at its start: white space meets white space
-            return [text] if len(text) == 1 or text.isspace() else [" \n", text]
-        out.append(head)
-        out += [" " + x for x in rest]
-    return out
+def _pieces(texts: pa.Array) -> pa.ListArray:
+    """The texts cut before single spaces and around line ends."""
+    cut = pc.replace_substring(pc.replace_substring(texts, pattern=" ", replacement="\0 "), pattern="\n", replacement="\0\n\0")
+    return pc.split_pattern(cut, pattern="\0")
+
+
+def _split(w: np.ndarray, t: np.ndarray, n: int) -> list[bytes]:
+    """Tokens, sorted by word, as bytes for each of n words."""
+    raw = t.astype("<i4").tobytes()
+    edges = (np.searchsorted(w, np.arange(n + 1)) * 4).tolist()
+    return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -225,12 +252,10 @@ def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             columns = [batch.column(f.name) for f in keep]
             if text_col:
-                raw = tool.encode([x or "" for x in batch.column("__text").to_pylist()])
-                sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-                ids = np.frombuffer(b"".join(raw), dtype="<i4")
+                ids, sizes = tool.encode(batch.column("__text"))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 columns.append(pa.ListArray.from_arrays(offsets, pa.array(ids)))
             else:
@@ -241,6 +266,12 @@ def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col
                 columns.append(pa.array(tool.decode(ids, sizes), pa.binary()))
             yield pa.record_batch(columns, names=[f.name for f in fields])
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """With texts, a few megabytes at a time."""
+        for batch in batches:
+            for low, high in slices(batch.column("__text")) if text_col else [(0, batch.num_rows)]:
+                yield batch.slice(low, high - low)
+
     ship_package(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{f.name}`") for f in keep], *([F.col(text_col).cast("string").alias("__text")] if text_col else []))
     return rows.mapInArrow(run, T.StructType(fields))
