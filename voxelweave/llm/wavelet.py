@@ -8,7 +8,8 @@ an id, all without unpacking the ids. The file of a shard is a Parquet file of
 one row with the compressed planes, the counts, the document ids and lengths.
 
 Ids of words are found with the tokenizer itself; since white space ends a word
-in these vocabularies, a worker remembers the ids of words it has met.
+in these vocabularies (lower case, white space dropped), a worker remembers the
+ids of words it has met.
 
 Defined cases: a null text counts as empty and holds the end id only; a null
 document id comes first; documents that repeat an id stand together, in order of
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ from voxelweave.session import new_path, ship_package
 SHARD_BYTES = 24 << 20
 BLOCK = 512
 END = 2
+LATIN = "\u024f"  # the last letter of the Latin blocks without combining forms
+CUT = r"([A-Za-zÀ-ÖØ-öø-ɏ])([!-&(-/:-@\[-`{-~])"  # a Latin letter, then a mark other than the apostrophe
 
 
 class WaveletMatrix:
@@ -54,9 +59,9 @@ class WaveletMatrix:
             each = np.bitwise_count(plane).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
             words.append(plane)
             blocks.append((np.cumsum(each, dtype=np.uint32) - each).astype(np.uint32))
-            low = now[~bit]
+            low = now.take(np.flatnonzero(~bit))
             zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([low, now.take(np.flatnonzero(bit))])
         return WaveletMatrix(len(ids), words, blocks, zeros)
 
     def _before(self, level: int) -> np.ndarray:
@@ -136,8 +141,8 @@ class WaveletMatrix:
         for level in reversed(range(len(self.words))):
             bit = np.unpackbits(self.words[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(now)
-            above[~bit] = now[:self.zeros[level]]
-            above[bit] = now[self.zeros[level]:] | kind(1 << (len(self.words) - 1 - level))
+            above[np.flatnonzero(~bit)] = now[:self.zeros[level]]
+            above[np.flatnonzero(bit)] = now[self.zeros[level]:] | kind(1 << (len(self.words) - 1 - level))
             now = above
         return now.astype("<u4")
 
@@ -153,48 +158,78 @@ class WaveletMatrix:
                              [np.frombuffer(plain(x), dtype="<u4") for x in row["blocks"]], list(row["zeros"]))
 
 
-_encoders: dict[str, tuple[Memory, int]] = {}
+_encoders: dict[str, tuple[Memory, int, pa.Array]] = {}
 
 
-def encoder(path: str) -> tuple[Memory, int]:
-    """The worker's memory of words for a tokenizer file, and the bits of an id."""
+def encoder(path: str) -> tuple[Memory, int, pa.Array]:
+    """The worker's memory of words for a tokenizer file, the bits of an id, and the special tokens."""
     if path not in _encoders:
         os.environ.update(TOKENIZERS_PARALLELISM="false", RAYON_NUM_THREADS="1")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         tool = Tokenizer.from_file(path)
+        # Without normaliser and splitting, which leave plain lower-case words as they are.
+        bare, model = Tokenizer(tool.model), tool.model
+        bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+
+        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found: list[list[int]] = [[]] * len(words)
+            latin, rest = [], []
+            for i, w in enumerate(words):
+                if not w.isalpha() or w.lower() != w or max(w) > LATIN:
+                    rest.append(i)
+                elif w.isascii():
+                    found[i] = [x.id for x in model.tokenize(w)]
+                else:
+                    latin.append(i)
+            for one, which in ((bare, latin), (tool, rest)):
+                for i, x in zip(which, one.encode_batch_fast([words[i] for i in which], add_special_tokens=False)):
+                    found[i] = x.ids
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(size.sum())), size
+
+        special = pa.array(sorted(x.content for x in tool.get_added_tokens_decoder().values()))
+        bits = max(1, (tool.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        _encoders[path] = Memory(encode, np.uint32), bits, special
+    return _encoders[path]
 
-        def encode(words: list[bytes]) -> list[bytes]:
-            found = tool.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-        _encoders[path] = Memory(encode), max(1, (tool.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-    return _encoders[path]
+def _words(texts: pa.Array, special: pa.Array) -> pa.ListArray:
+    """Words between blanks, in lower case, with a cut between a letter and a mark that follows it.
+
+    These vocabularies lower their texts and cut there too, so fewer different
+    words come out. Texts with the name of a special token are only cut at blanks.
+    """
+    cut = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=CUT, replacement=r"\1 \2")
+    whole = np.zeros(len(texts), dtype=bool)
+    for name in special.to_pylist():
+        whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+    return pc.ascii_split_whitespace(pc.if_else(pa.array(whole), texts, cut) if whole.any() else cut)
 
 
-def encode(texts: list[bytes], path: str, end: int) -> Iterator[bytes]:
-    """The ids of each UTF-8 text with the end id, as little-endian unsigned 32-bit integers."""
-    memory, _ = encoder(path)
-    last = np.array([end], dtype="<u4").tobytes()
+def encode(texts: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, each text's followed by the end id, and how many each text has."""
+    memory, _, special = encoder(path)
+    ids, sizes = [np.empty(0, dtype=np.uint32)], [np.empty(0, dtype=np.int64)]
+    texts = pc.fill_null(texts, "")
     for low, high in slices(texts):
-        pieces = [text.split() for text in texts[low:high]]
-        known = memory.learn(set().union(*pieces))
-        for words in pieces:
-            yield b"".join([*[known[w] for w in words], last])
+        got, size, _ = memory.encode_lists(_words(texts.slice(low, high - low), special))
+        ids.append(np.insert(got, np.cumsum(size), np.uint32(end)))
+        sizes.append(size + 1)
+    return np.concatenate(ids), np.concatenate(sizes)
 
 
 def _writer(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sizes, raw = [], [], []
+        names, sizes, parts = [], [], []
         for batch in batches:
             names += batch.column("id").to_pylist()
-            for ids in encode([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], path, end):
-                sizes.append(len(ids) // 4)
-                raw.append(ids)
+            ids, size = encode(batch.column("text"), path, end)
+            sizes += size.tolist()
+            parts.append(ids.astype(np.uint16) if encoder(path)[1] <= 16 else ids)
         if names:
-            ids = np.frombuffer(b"".join(raw), dtype="<u4")
-            raw.clear()
-            packed = WaveletMatrix.build(ids, encoder(path)[1]).pack()
+            packed = WaveletMatrix.build(np.concatenate(parts), encoder(path)[1]).pack()
             yield pa.RecordBatch.from_pylist([packed | {"doc_ids": names, "sizes": sizes}], schema=pa.schema([
                 ("n", pa.int64()), ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())),
                 ("blocks", pa.list_(pa.binary())), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
