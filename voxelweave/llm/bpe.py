@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelweave.llm.words import Memory, slices
-from voxelweave.session import ship_package
+from voxelweave.llm.words import Memory, for_texts, slices
 
 LONG_WORD = 256
 AT_ONCE = 32_768  # words in one query
@@ -245,6 +244,8 @@ def codec(path: str, pattern: str) -> Codec:
 def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col: str | None) -> DataFrame:
     keep = [f for f in docs.schema.fields if not (text_col and f.name in ("ids", "decoded")) and f.name != "decoded"]
     fields = list(keep)
+    given = not text_col or any(f.name == text_col and isinstance(f.dataType, T.StringType) for f in keep)
+    read = text_col if given else "__text"
     if text_col:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
     if not text_col or ids_col:
@@ -255,7 +256,7 @@ def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col
         for batch in parts(batches):
             columns = [batch.column(f.name) for f in keep]
             if text_col:
-                ids, sizes = tool.encode(batch.column("__text"))
+                ids, sizes = tool.encode(batch.column(read))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 columns.append(pa.ListArray.from_arrays(offsets, pa.array(ids)))
             else:
@@ -269,11 +270,11 @@ def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """With texts, a few megabytes at a time."""
         for batch in batches:
-            for low, high in slices(batch.column("__text")) if text_col else [(0, batch.num_rows)]:
+            for low, high in slices(batch.column(read)) if text_col else [(0, batch.num_rows)]:
                 yield batch.slice(low, high - low)
 
-    ship_package(docs.sparkSession)
-    rows = docs.select(*[F.col(f"`{f.name}`") for f in keep], *([F.col(text_col).cast("string").alias("__text")] if text_col else []))
+    for_texts(docs.sparkSession)
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in keep], *([] if given else [F.col(text_col).cast("string").alias("__text")]))
     return rows.mapInArrow(run, T.StructType(fields))
 
 

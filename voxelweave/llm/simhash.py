@@ -19,6 +19,7 @@ one component; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.operators.components import merge_pieces
+from voxelweave.llm.words import for_texts
 from voxelweave.session import materialize, ship_package
 
 TREE_ROWS = 1024
@@ -58,16 +60,17 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, fp): the fingerprint as a signed 64-bit number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, int] = {}
+            seen: dict[bytes, int] = {}  # by a digest of 128 bits, for the copies in a batch
             out = np.empty(batch.num_rows, dtype=np.uint64)
             for i, text in enumerate(batch.column("text")):
                 text = text.as_py() or b""
-                if text not in seen:
-                    seen[text] = fingerprint(text, words_each)
-                out[i] = seen[text]
+                key = hashlib.blake2b(text, digest_size=16).digest()
+                if key not in seen:
+                    seen[key] = fingerprint(text, words_each)
+                out[i] = seen[key]
             yield pa.record_batch([batch.column("id"), pa.array(out.view(np.int64))], names=["id", "fp"])
 
-    ship_package(docs.sparkSession)
+    for_texts(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
 

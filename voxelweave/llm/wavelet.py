@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelweave.llm.words import Memory, slices
+from voxelweave.llm.words import Memory, for_texts, slices
 from voxelweave.session import new_path, ship_package
 
 SHARD_BYTES = 24 << 20
@@ -242,7 +242,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
                  end: int = END, shard_bytes: int = SHARD_BYTES) -> str:
     """Encodes the texts and writes one file for each range of ids; gives the folder."""
     spark = docs.sparkSession
-    ship_package(spark)
+    for_texts(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     path = path or new_path(spark, "tokens")

@@ -7,7 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+from voxelweave.session import ship_package
+
+BATCH_ROWS = 1000
 MOST = 600_000
 #: Encodes units: all ids, and how many belong to each unit (-1: the unit cannot stand alone).
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
@@ -88,3 +92,14 @@ def slices(texts: pa.Array, most_bytes: int = 8_000_000) -> Iterator[tuple[int,
         high = max(low + 1, int(np.searchsorted(ends, past + most_bytes, side="right")))
         yield low, high
         low = high
+
+
+def for_texts(spark: SparkSession) -> None:
+    """Readies a session for Python over texts: the package travels, and no Arrow batch has over BATCH_ROWS rows.
+
+    Whole texts can be long, and a worker holds a batch of them at a time.
+    """
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
