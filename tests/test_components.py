@@ -104,3 +104,32 @@ def test_refine_drops_everything_after_the_first_small_part(spark):
     v[4:6, 4:6, 4:6] = 1
     df = spark.createDataFrame(brute.rows(v), "case_id bigint, x bigint, y bigint, z bigint, inst bigint")
     assert refine(df, case_table(spark, 1, (8, 8, 8)), min_axis=2).count() == 0
+
+
+def test_labels_do_not_depend_on_bricks_or_cases(spark):
+    from voxelweave.operators.components import components
+
+    line = spark.createDataFrame([(1, x, 0, 0) for x in range(60, 70)], "case_id long, x long, y long, z long")
+    for nx in (64, 70):
+        cases = spark.createDataFrame([(1, nx, 8, 8)], "case_id long, nx long, ny long, nz long")
+        for side in (4, 64, 128):
+            for given in (None, cases):
+                assert components(line, given, 6, side=side).select("root").distinct().count() == 1
+
+
+def test_positions_that_are_null_or_nan_end(spark):
+    from voxelweave.operators.nearest import nearest_site
+
+    points = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, None, 0.0, 0.0), (1, 3, float("nan"), 0.0, 0.0)],
+                                   "case_id long, p long, px double, py double, pz double")
+    sites = spark.createDataFrame([(1, 7, 9.0, 0.0, 0.0), (1, 8, None, 0.0, 0.0)], "case_id long, site long, sx double, sy double, sz double")
+    assert [(r["p"], r["site"]) for r in nearest_site(points, sites, ["p"]).collect()] == [(1, 7)]
+
+
+def test_names_of_many_lengths_pair(spark):
+    from voxelweave.sources.catalog import pair_files
+
+    names = ["c" * n for n in range(1, 301)]
+    refs = spark.createDataFrame([(n,) for n in names[200:]], "case string")
+    preds = spark.createDataFrame([("x" + names[-1],)], "file string")
+    assert {r["status"] for r in pair_files(refs, preds, exact=False).collect()} == {"ok"}

@@ -153,14 +153,6 @@ def merge_pieces(links: DataFrame, keys: list[str]) -> DataFrame:
     return roots
 
 
-def fits_one_brick(cases: DataFrame | None, side: int) -> bool:
-    """Whether every grid lies inside a single brick (one look at the case table)."""
-    if cases is None:
-        return False
-    top = cases.agg(F.max(F.greatest("nx", "ny", "nz")).alias("n")).first()["n"]
-    return top is None or top <= side
-
-
 def components(voxels: DataFrame, cases: DataFrame | None = None, conn: int | None = 6,
                keys: tuple[str, ...] = ("case_id",), side: int = bricks.SIDE) -> DataFrame:
     """Adds ``root``, the smallest voxel key of each voxel's connected component.
@@ -179,8 +171,6 @@ def components(voxels: DataFrame, cases: DataFrame | None = None, conn: int | No
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*problem, *COORDS]) + ", piece bigint"
     labelled = bricks.map_bricks(rows, problem, side, _labeller([k for k in problem if k != "conn"], side), schema)
-    if fits_one_brick(cases, side):
-        return labelled.withColumnRenamed("piece", "root")
     labelled = materialize(labelled, "pieces")
     merged = merge_pieces(face_links(labelled, problem[:-1], side), problem)
     if merged is None:

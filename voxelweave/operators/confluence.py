@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.operators import bricks
-from voxelweave.operators.components import REACH, face_links, fits_one_brick, label_codes, merge_pieces, pack
+from voxelweave.operators.components import REACH, face_links, label_codes, merge_pieces, pack
 from voxelweave.operators.overlap import COORDS
 from voxelweave.session import materialize
 
@@ -92,17 +92,14 @@ def confluent_instances(voxels: DataFrame, cases: DataFrame, variants=((0, 6),),
     schema = ", ".join(f"{c} bigint" for c in [*problem, "piece", "ref_id", *COORDS])
     found = bricks.map_bricks(rows, ["case_id"], side, _brick_confluence(side, variants), schema,
                               halo=max(t for t, _ in variants))
-    if fits_one_brick(cases, side):
-        held = found.filter("ref_id > 0").select(*problem, F.col("piece").alias("root"), "ref_id")
-    else:
-        found = materialize(found, "confluence")
-        faces = found.filter("ref_id = 0").select(*problem, *COORDS, "piece")
-        merged = merge_pieces(face_links(faces, ["case_id", "tier"], side), problem)
-        held = found.filter("ref_id > 0").select(*problem, "piece", "ref_id")
-        held = (
-            held.withColumnRenamed("piece", "root") if merged is None
-            else held.join(merged, [*problem, "piece"], "left").select(*problem, F.coalesce("root", "piece").alias("root"), "ref_id")
-        )
+    found = materialize(found, "confluence")
+    faces = found.filter("ref_id = 0").select(*problem, *COORDS, "piece")
+    merged = merge_pieces(face_links(faces, ["case_id", "tier"], side), problem)
+    held = found.filter("ref_id > 0").select(*problem, "piece", "ref_id")
+    held = (
+        held.withColumnRenamed("piece", "root") if merged is None
+        else held.join(merged, [*problem, "piece"], "left").select(*problem, F.coalesce("root", "piece").alias("root"), "ref_id")
+    )
     # A root has two distinct ids exactly when its smallest and largest id differ.
     shared = held.groupBy(*problem, "root").agg(F.min("ref_id").alias("a"), F.max("ref_id").alias("b")).filter("a < b")
     return held.join(shared.select(*problem, "root"), [*problem, "root"], "left_semi").select(*problem, "ref_id").distinct()

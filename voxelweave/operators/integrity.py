@@ -22,6 +22,21 @@ def absent_files(referenced: DataFrame, catalog: DataFrame) -> DataFrame:
     return referenced.join(catalog.select("path"), "path", "left_anti")
 
 
+def outside_grid(voxels: DataFrame, cases: DataFrame) -> DataFrame:
+    """Voxels counted by fault: case_id, fault (``no case`` or ``outside``), n.
+
+    A voxel has no case when the case table lacks its ``case_id``, and lies
+    outside when a coordinate is NULL, negative or not below the grid size.
+    """
+    grid = cases.select("case_id", "nx", "ny", "nz", F.lit(True).alias("__known"))
+    inside = F.lit(True)
+    for a in ("x", "y", "z"):
+        inside = inside & (F.col(a) >= 0) & (F.col(a) < F.col(f"n{a}"))
+    fault = F.when(F.col("__known").isNull(), "no case").when(~F.coalesce(inside, F.lit(False)), "outside")
+    both = voxels.join(grid, "case_id", "left").withColumn("fault", fault).filter("fault IS NOT NULL")
+    return both.groupBy("case_id", "fault").agg(F.count("*").alias("n"))
+
+
 def close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     """|a - b| within atol + rtol |b|: relative to the second value."""
     return F.abs(a - b) <= atol + rtol * F.abs(b)

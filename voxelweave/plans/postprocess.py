@@ -80,7 +80,7 @@ def by_ridges(maps: DataFrame, cases: DataFrame, threshold: float = SEMANTIC_THR
 
 def ensemble(members: DataFrame, attributes: list[str], n_models: int) -> DataFrame:
     """Sum of the members' outputs divided by the number of members; a missing value adds nothing."""
-    return members.groupBy("case_id", *COORDS).agg(*[(F.sum(a) / F.lit(float(n_models))).alias(a) for a in attributes])
+    return members.groupBy("case_id", *COORDS).agg(*[(F.coalesce(F.sum(a), F.lit(0.0)) / F.lit(float(n_models))).alias(a) for a in attributes])
 
 
 POSTPROCESSORS: dict[str, Postprocessor] = {"CC": connected, "ACLS": by_ridges, "OFFSETS": by_offsets}

@@ -193,13 +193,6 @@ def centre_heatmap(spark, sf):
     return rounded(targets.heatmap(grid, materialize(sizes.centres_of_mass(fx.voxels(spark, sf)), "com")))
 
 
-@query("centre_heatmap_near", fx.duck(_COM + """ SELECT g.case_id, g.x, g.y, g.z, round(max(exp(-((g.x-cx)*(g.x-cx) + (g.y-cy)*(g.y-cy)
-  + (g.z-cz)*(g.z-cz)) / 8)), 6) center_heatmap FROM grid g JOIN com USING (case_id)
-  WHERE abs(g.x-cx) <= 3 AND abs(g.y-cy) <= 3 AND abs(g.z-cz) <= 3 GROUP BY ALL""", "vox", "grid"))
-def centre_heatmap_near(spark, sf):
-    return rounded(targets.sparse_heatmap(fx.cases(spark, sf), sizes.centres_of_mass(fx.voxels(spark, sf)), radius=3))
-
-
 _CLASSES = f""", {STEPS}, src AS (SELECT case_id, x, y, z FROM vox WHERE ref_id > 0), {cc_sql('cc', 'src', 'case_id', '6')},
 held AS (SELECT DISTINCT cc.case_id, root, ref_id FROM cc JOIN vox USING (case_id, x, y, z)),
 cf AS (SELECT DISTINCT case_id, ref_id FROM (SELECT *, count(*) OVER (PARTITION BY case_id, root) k FROM held) WHERE k > 1),

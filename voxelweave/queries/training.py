@@ -33,11 +33,11 @@ def _centre_sql(seed: int) -> str:
     return f""", drawn AS MATERIALIZED (SELECT case_id, x, y, z, CAST(ref_id > 0 AS INT) fg, {draws.mix_sql(seed, 'case_id', '0', KEY_SQL)} d, {KEY_SQL} k FROM dense),
 firsts AS (SELECT case_id, fg, arg_min(k, (d, k)) k FROM drawn GROUP BY 1, 2),
 want AS (SELECT *, abs(fg - CAST({draws.uniform_sql(seed + 1, 'case_id', '0')} < 0.5e0 AS INT)) off FROM firsts),
-ctr AS (SELECT w.case_id, CAST(w.fg AS BIGINT) fg, d.x, d.y, d.z FROM (SELECT case_id, arg_min(fg, off) fg, arg_min(k, off) k FROM want GROUP BY 1) w
+ctr AS MATERIALIZED (SELECT w.case_id, CAST(w.fg AS BIGINT) fg, d.x, d.y, d.z FROM (SELECT case_id, arg_min(fg, off) fg, arg_min(k, off) k FROM want GROUP BY 1) w
   JOIN drawn d ON d.case_id = w.case_id AND d.k = w.k)"""
 
 
-_WIN = """, win AS (SELECT case_id, least(greatest(x - 5, 0), nx - 10) x0, least(greatest(y - 3, 0), ny - 6) y0,
+_WIN = """, win AS MATERIALIZED (SELECT case_id, least(greatest(x - 5, 0), nx - 10) x0, least(greatest(y - 3, 0), ny - 6) y0,
   least(greatest(z - 10, 0), greatest(nz - 20, 0)) z0, least(nx, 10) px, least(ny, 6) py, least(nz, 20) pz FROM ctr JOIN cases USING (case_id))"""
 PATCH = (10, 6, 20)
 

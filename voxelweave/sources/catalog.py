@@ -51,9 +51,8 @@ def pair_files(refs: DataFrame, preds: DataFrame, exact: bool = True) -> DataFra
     if exact:
         hits = preds.select("case", "file")
     else:
-        lengths = sorted(r[0] for r in refs.select(F.length("case")).distinct().limit(256).collect())
-        pieces = preds.select("file", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("len"))
-        pieces = pieces.filter(F.length("file") >= F.col("len"))
+        lengths = refs.select(F.length("case").alias("len")).distinct()
+        pieces = preds.select("file", F.explode(F.sequence(F.lit(1), F.length("file"))).alias("len")).join(lengths, "len")
         start = F.explode(F.sequence(F.lit(1), F.length("file") - F.col("len") + 1))
         pieces = pieces.withColumn("at", start)
         hits = pieces.select(F.substring("file", F.col("at"), F.col("len")).alias("case"), "file").distinct()
