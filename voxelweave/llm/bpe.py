@@ -33,7 +33,9 @@ from pyspark.sql import types as T
 from voxelweave.llm.words import Memory, for_texts, slices
 
 LONG_WORD = 256
-AT_ONCE = 32_768  # words in one query
+AT_ONCE = 16_384  # words in one query
+UNITS = 300_000  # pieces that a worker remembers
+SLICE = 4_000_000  # bytes of text at a time
 STEPS = 48  # contractions of long words in one query; what is left goes into the next
 SHIFT = 20  # places for a token id
 
@@ -78,12 +80,12 @@ FROM tokens JOIN vocabulary v USING (t) GROUP BY i ORDER BY i"""
 class Codec:
     """One vocabulary in an in-process DuckDB."""
 
-    def __init__(self, path: str, pattern: str, most_units: int | None = None):
+    def __init__(self, path: str, pattern: str, most_units: int = UNITS):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         left, right, rank = [], [], []
         for token, r in self.ranks.items():
             for cut in range(1, len(token)):
@@ -104,7 +106,7 @@ class Codec:
             self.db.register("incoming", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
             self.db.unregister("incoming")
-        self.memory = Memory(self._units, np.int32, *([most_units] if most_units else []))
+        self.memory = Memory(self._units, np.int32, most_units, AT_ONCE)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit integers."""
@@ -179,7 +181,7 @@ class Codec:
         """All ids, and how many each text has."""
         ids, sizes = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int64)]
         texts = pc.fill_null(texts, "")
-        for low, high in slices(texts):
+        for low, high in slices(texts, SLICE):
             part = texts.slice(low, high - low)
             got, size, spoilt = self.memory.encode_lists(_pieces(part))
             spoilt |= pc.match_substring(part, "\0").to_numpy(zero_copy_only=False)
@@ -198,7 +200,7 @@ class Codec:
         ids = self.merge(list(found))
         return np.frombuffer(b"".join([ids[found[x]] for x in words]), dtype="<i4")
 
-    def decode(self, ids: np.ndarray, sizes: np.ndarray, step: int = 1_000_000) -> list[bytes]:
+    def decode(self, ids: np.ndarray, sizes: np.ndarray, step: int = 300_000) -> list[bytes]:
         """The bytes of each run of ids."""
         out: list[bytes] = [b""] * len(sizes)
         ends = np.cumsum(sizes)
@@ -270,7 +272,7 @@ def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """With texts, a few megabytes at a time."""
         for batch in batches:
-            for low, high in slices(batch.column(read)) if text_col else [(0, batch.num_rows)]:
+            for low, high in slices(batch.column(read), SLICE) if text_col else [(0, batch.num_rows)]:
                 yield batch.slice(low, high - low)
 
     for_texts(docs.sparkSession)
