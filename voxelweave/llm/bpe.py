@@ -34,8 +34,8 @@ from voxelweave.llm.words import Memory, for_texts, slices
 
 LONG_WORD = 256
 AT_ONCE = 16_384  # words in one query
-UNITS = 300_000  # pieces that a worker remembers
-SLICE = 4_000_000  # bytes of text at a time
+UNITS = 800_000  # pieces that a worker remembers
+SLICE = 8_000_000  # bytes of text at a time
 STEPS = 48  # contractions of long words in one query; what is left goes into the next
 SHIFT = 20  # places for a token id
 
