@@ -233,17 +233,17 @@ def _split(w: np.ndarray, t: np.ndarray, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, most_units: int = UNITS) -> Codec:
     """The worker's codec; a vocabulary is loaded once for each worker."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    if (path, pattern, most_units) not in _codecs:
+        _codecs[path, pattern, most_units] = Codec(path, pattern, most_units)
+    return _codecs[path, pattern, most_units]
 
 
-def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col: str | None) -> DataFrame:
+def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col: str | None, most_units: int = UNITS) -> DataFrame:
     keep = [f for f in docs.schema.fields if not (text_col and f.name in ("ids", "decoded")) and f.name != "decoded"]
     fields = list(keep)
     given = not text_col or any(f.name == text_col and isinstance(f.dataType, T.StringType) for f in keep)
@@ -254,7 +254,7 @@ def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col
         fields.append(T.StructField("decoded", T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path, pattern)
+        tool = codec(path, pattern, most_units)
         for batch in parts(batches):
             columns = [batch.column(f.name) for f in keep]
             if text_col:
@@ -290,6 +290,6 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Da
     return _run(docs, path, pattern, None, ids_col)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", most_units: int = UNITS) -> DataFrame:
     """Adds ``ids`` and, decoded from them, ``decoded``, in one pass over the texts."""
-    return _run(docs, path, pattern, text_col, "ids")
+    return _run(docs, path, pattern, text_col, "ids", most_units)
