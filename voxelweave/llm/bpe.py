@@ -243,7 +243,8 @@ def codec(path: str, pattern: str, most_units: int = UNITS) -> Codec:
     return _codecs[path, pattern, most_units]
 
 
-def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col: str | None, most_units: int = UNITS) -> DataFrame:
+def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col: str | None, most_units: int = UNITS,
+         slice_bytes: int = SLICE) -> DataFrame:
     keep = [f for f in docs.schema.fields if not (text_col and f.name in ("ids", "decoded")) and f.name != "decoded"]
     fields = list(keep)
     given = not text_col or any(f.name == text_col and isinstance(f.dataType, T.StringType) for f in keep)
@@ -272,7 +273,7 @@ def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """With texts, a few megabytes at a time."""
         for batch in batches:
-            for low, high in slices(batch.column(read), SLICE) if text_col else [(0, batch.num_rows)]:
+            for low, high in slices(batch.column(read), slice_bytes) if text_col else [(0, batch.num_rows)]:
                 yield batch.slice(low, high - low)
 
     for_texts(docs.sparkSession)
@@ -290,6 +291,11 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Da
     return _run(docs, path, pattern, None, ids_col)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", most_units: int = UNITS) -> DataFrame:
-    """Adds ``ids`` and, decoded from them, ``decoded``, in one pass over the texts."""
-    return _run(docs, path, pattern, text_col, "ids", most_units)
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", most_units: int = UNITS,
+               slice_bytes: int = SLICE) -> DataFrame:
+    """Adds ``ids`` and, decoded from them, ``decoded``, in one pass over the texts.
+
+    A worker remembers up to ``most_units`` pieces and takes texts of up to
+    ``slice_bytes`` together; neither changes the result.
+    """
+    return _run(docs, path, pattern, text_col, "ids", most_units, slice_bytes)
