@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 
 REACH = {6: 1, 18: 2, 26: 3}
 
@@ -41,35 +42,26 @@ def dilate(mask: np.ndarray) -> np.ndarray:
 
 
 def confluent(ref: np.ndarray, tier: int, conn: int) -> set[int]:
+    """Ids that share a component of the dilated mask with another id."""
     mask = ref > 0
     for _ in range(tier):
         mask = dilate(mask)
-    labels, found = label(mask, conn), set()
-    for c in range(1, labels.max() + 1):
-        ids = set(ref[labels == c].tolist()) - {0}
-        if len(ids) > 1:
-            found |= ids
-    return found
+    pairs = pd.DataFrame({"part": label(mask, conn)[ref > 0], "id": ref[ref > 0]}).drop_duplicates()
+    return set(pairs.loc[pairs.groupby("part")["id"].transform("size") > 1, "id"])
 
 
 def match(pred: np.ndarray, ref: np.ndarray, threshold: float = 0.1):
-    """(kept, removed) as dicts pred -> (ref, iou)."""
-    best = {}
-    for p in sorted(set(pred.flat) - {0}):
-        top = None
-        for r in sorted(set(ref[pred == p].flat) - {0}):
-            inter = ((pred == p) & (ref == r)).sum()
-            iou = inter / ((pred == p) | (ref == r)).sum()
-            if top is None or iou > top[1]:
-                top = (r, iou)
-        if top and top[1] > threshold:
-            best[p] = top
-    kept = {}
-    for p, (r, iou) in best.items():
-        rivals = [(-i, q) for q, (s, i) in best.items() if s == r]
-        if min(rivals)[1] == p:
-            kept[p] = (r, iou)
-    return kept, {p: v for p, v in best.items() if p not in kept}
+    """(kept, removed) as dicts pred -> (ref, iou): each pred's best ref, then each ref's best pred; ties to the smaller id."""
+    voxels = pd.DataFrame({"pred": pred.ravel(), "ref": ref.ravel()})
+    pairs = voxels[(voxels["pred"] > 0) & (voxels["ref"] > 0)].value_counts().rename("inter").reset_index()
+    total = pairs["pred"].map(voxels["pred"].value_counts()) + pairs["ref"].map(voxels["ref"].value_counts())
+    pairs["iou"] = pairs["inter"] / (total - pairs["inter"])
+    ordered = pairs.sort_values(["iou", "pred", "ref"], ascending=[False, True, True])
+    best = ordered.drop_duplicates("pred")
+    best = best[best["iou"] > threshold]
+    first = ~best.duplicated("ref")
+    table = lambda part: {r.pred: (r.ref, r.iou) for r in part.itertuples()}
+    return table(best[first]), table(best[~first])
 
 
 def rows(volume: np.ndarray, case: int = 0) -> list[tuple]:

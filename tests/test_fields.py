@@ -48,6 +48,24 @@ def test_spread_labels_takes_the_first_of_equally_near_voxels(spark):
     assert got == want
 
 
+def test_voxels_far_from_a_large_label_take_its_surface(spark):
+    """Points 13 to 17 voxels off a full cube of 48, a second label at the other end, and a case of its own far away."""
+    cube = spark.range(48 ** 3).selectExpr("0L AS case_id", "20 + id div 2304 AS x", "20 + id div 48 % 48 AS y", "20 + id % 48 AS z", "5L AS inst")
+    known = cube.unionByName(spark.createDataFrame([(0, 300, 40, 40, 6), (3, 5, 5, 5, 7)], f"{AT}, inst bigint"))
+    rng = np.random.default_rng(8)
+    todo = {(0, int(67 + rng.integers(13, 18)), int(y), int(z)) for y, z in rng.integers(0, 90, (500, 2))} | {(0, 250, 40, 40), (3, 900, 700, 5)}
+    got = centres.spread_labels(spark.createDataFrame(sorted(todo), AT), known, "inst").collect()
+    assert {tuple(r)[:4]: r["inst"] for r in got} == {t: 7 if t[0] == 3 else 6 if t[1] == 250 else 5 for t in todo}
+
+
+def test_far_search_at_huge_and_infinite_positions(spark):
+    points = [(0, 1, 1e12, 0.0, 0.0), (0, 2, -1e12, 3.0, 0.0), (0, 3, float("inf"), 0.0, 0.0), (0, 4, 500.0, 0.0, 0.0), (1, 5, 0.0, 0.0, 0.0)]
+    p = spark.createDataFrame(points, "case_id bigint, k bigint, px double, py double, pz double")
+    s = spark.createDataFrame([(0, 2, 90, 0, 0), (0, 1, 90, 1, 0), (0, 9, -70, 0, 0), (0, 4, 910, 0, 0)], "case_id bigint, site bigint, sx bigint, sy bigint, sz bigint")
+    got = {r["k"]: r["site"] for r in nearest_site(p, s, ["k"]).collect()}
+    assert got == {1: 4, 2: 9, 4: 2}
+
+
 @pytest.mark.parametrize("side", [4, 64])
 def test_smoothing_and_hessian_equal_the_dense_result(spark, side):
     rng = np.random.default_rng(2)

@@ -100,8 +100,10 @@ def spread_labels(unlabelled: DataFrame, labelled: DataFrame, value: str, radius
     """``value`` of the nearest labelled voxel, ties to the first in scan order.
 
     Within ``radius`` the answer is the first labelled voxel met when walking the
-    offsets by distance; a brick with a halo holds all of them. The few voxels
-    that are farther from any label go to the general search.
+    offsets by distance; a brick with a halo holds all of them. Voxels that are
+    farther from any label go to the general search. Its sites are the labelled
+    voxels with an unlabelled face neighbour: from any other one, a step towards
+    the voxel leads to a nearer label.
     """
     kind = labelled.schema[value].dataType.simpleString()
     nothing = F.lit(None).cast(kind)
@@ -113,9 +115,10 @@ def spread_labels(unlabelled: DataFrame, labelled: DataFrame, value: str, radius
         code, wide = bricks.brick_codes(pdf, ["case_id"], side, radius, radius)
         known = pdf["value"].notna().to_numpy()
         sites, label = code[known], pdf["value"].to_numpy()[known]
-        core = ~known
+        inside = np.ones(len(pdf), dtype=bool)
         for a in COORDS:
-            core &= (pdf[a] // side == pdf[f"b{a}"]).to_numpy()
+            inside &= (pdf[a] // side == pdf[f"b{a}"]).to_numpy()
+        core = ~known & inside
         todo = np.flatnonzero(core)
         found = np.zeros(len(pdf), dtype=label.dtype)
         hit = np.zeros(len(pdf), dtype=bool)
@@ -127,17 +130,26 @@ def spread_labels(unlabelled: DataFrame, labelled: DataFrame, value: str, radius
             ok = sites[at] == target
             found[todo[ok]], hit[todo[ok]] = label[at[ok]], True
             todo = todo[~ok]
-        out = pdf.loc[core, ["case_id", *COORDS]]
-        return out.assign(value=pd.Series(found, index=pdf.index)[core].where(pd.Series(hit, index=pdf.index)[core]))
-
-    schema = f"case_id bigint, x bigint, y bigint, z bigint, value {kind}"
+        edge = np.zeros(len(pdf), dtype=bool)
+        for step in (wide * wide, wide, 1):
+            for target in (sites - step, sites + step):
+                at = np.minimum(np.searchsorted(sites, target), len(sites) - 1)
+                edge[known] |= sites[at] != target
+        edge &= inside
+        found[known], hit[known] = label, True
+        out = pdf.loc[core | edge, ["case_id", *COORDS]]
+        value = pd.Series(found, index=pdf.index)[core | edge].where(pd.Series(hit, index=pdf.index)[core | edge])
+        return out.assign(value=value, edge=edge[core | edge])
+
+    schema = f"case_id bigint, x bigint, y bigint, z bigint, value {kind}, edge boolean"
     near = materialize(bricks.map_bricks(rows, ["case_id"], side, run, schema, halo=radius), "spread")
-    done = near.filter("value IS NOT NULL").select("case_id", *COORDS, F.col("value").alias(value))
+    done = near.filter("NOT edge AND value IS NOT NULL").select("case_id", *COORDS, F.col("value").alias(value))
     rest = near.filter("value IS NULL")
     if rest.isEmpty():
         return done
-    sites = labelled.select("case_id", voxel_key().alias("site"), *[F.col(a).alias(f"s{a}") for a in COORDS])
+    edges = near.filter("edge").select("case_id", *COORDS, voxel_key().alias("site"), F.col("value").alias(value))
+    sites = edges.select("case_id", "site", *[F.col(a).alias(f"s{a}") for a in COORDS])
     at = rest.select("case_id", *COORDS, *[F.col(a).alias(f"p{a}") for a in COORDS])
     found = nearest_site(at, sites, COORDS, radius=2 * radius, label="spread").select("case_id", *COORDS, "site")
-    far = found.join(labelled.select("case_id", voxel_key().alias("site"), value), ["case_id", "site"])
+    far = found.join(edges.select("case_id", "site", value), ["case_id", "site"])
     return done.unionByName(far.select("case_id", *COORDS, value))
