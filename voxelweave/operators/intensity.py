@@ -30,9 +30,10 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, at: list[floa
     """Exact percentiles with linear interpolation, without holding a group's values in one task.
 
     Equal-width pieces of the value range are counted first; only the values of
-    the pieces that hold a wanted rank are then counted one by one.
-    Result: group, at, percentile.
+    the pieces that hold a wanted rank are then counted one by one. NULL and NaN do
+    not count. Result: group, at, percentile.
     """
+    df = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     ends = df.groupBy(*group).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__n"))
     width = (F.col("__hi") - F.col("__lo")) / pieces
     piece = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(pieces - 1))).otherwise(0)

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from voxelweave.operators import bricks, metrics, overlap, sizes
 from voxelweave.operators.confluence import confluent_instances
+from voxelweave.operators.overlap import COORDS
+from voxelweave.operators.ranking import rank_in_group
 from voxelweave.session import materialize
 
 
 @dataclass
 class Evaluation:
-    """Lazy results of one evaluation."""
+    """Results of one evaluation; they read the small tables that :func:`evaluate` has written."""
 
     metrics: DataFrame
     pred_matches: DataFrame
@@ -36,8 +38,8 @@ def evaluate(voxels: DataFrame, cases: DataFrame, min_volume: float = 14, min_ax
     kept_refs = table.filter("ref_id > 0").select("case_id", "ref_id").distinct()
     refs = voxels.filter("ref_id > 0").join(kept_refs, ["case_id", "ref_id"], "left_semi")
     confluent = materialize(confluent_instances(refs, cases, tuple(metrics.VARIANTS), side), "confluent")
-    pairs = overlap.overlap_pairs(table)
-    matches = overlap.best_pred_per_ref(overlap.best_ref_per_pred(pairs, threshold))
+    pairs = materialize(overlap.overlap_pairs(table), "pairs")
+    matches = materialize(overlap.best_pred_per_ref(overlap.best_ref_per_pred(pairs, threshold)), "matches")
     counts = metrics.case_table(cases, table, matches)
     scored = metrics.score(counts)
     clu = metrics.clu_wide(metrics.clu_metrics(counts, pairs, confluent, threshold))
@@ -51,6 +53,37 @@ def evaluate(voxels: DataFrame, cases: DataFrame, min_volume: float = 14, min_ax
     )
 
 
+def evaluate_variants(voxels: DataFrame, cases: DataFrame, by: tuple[str, ...] = ("model", "postprocessor"), **options) -> Evaluation:
+    """Evaluates the predictions of several models and post-processors in one job.
+
+    ``voxels`` also holds the columns ``by``, and for each of their values all
+    reference voxels. Every case is scored for every variant, also where a
+    variant has no voxel of it. The results carry ``by``. Inside, a variant's
+    case is a case of its own, numbered case_id * variants + variant.
+    """
+    names = voxels.select(*by).distinct()
+    numbered = rank_in_group(names, [], [F.col(c) for c in by], [F.lit(0)], "__variant")
+    numbered = materialize(numbered.withColumn("__variant", F.col("__variant") - 1), "variants")
+    total = max(numbered.count(), 1)
+    own = (F.col("case_id") * total + F.col("__variant")).alias("case_id")
+    same = [F.col(a).eqNullSafe(F.col(f"__v_{a}")) for a in by]
+    renamed = numbered.select("__variant", *[F.col(a).alias(f"__v_{a}") for a in by])
+    tagged = voxels.join(renamed, same).select(own, *COORDS, "ref_id", "pred_id")
+    each = cases.withColumn("__variant", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
+    each = each.select(own, *[F.col(c) for c in cases.columns if c != "case_id"])
+    found = evaluate(tagged, each, **options)
+
+    def named(df: DataFrame, key: str = "case_id") -> DataFrame:
+        variant = F.pmod(F.col(key), F.lit(total))
+        split = df.withColumn("__variant", variant).withColumn(key, F.expr(f"({key} - __variant) div {total}"))
+        return split.join(numbered, "__variant").select(*by, *df.columns)
+
+    return Evaluation(
+        metrics=named(found.metrics), pred_matches=named(found.pred_matches, "patient_id"),
+        ref_matches=named(found.ref_matches, "patient_id"), matches=named(found.matches), contingency=named(found.contingency),
+    )
+
+
 def semantic_scores(table: DataFrame, cases: DataFrame) -> DataFrame:
     """The tracked validation metrics (DSC, nDSC, PQ) per case from a contingency table."""
     matches = overlap.match(table)

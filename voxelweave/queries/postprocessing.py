@@ -288,3 +288,27 @@ def predict_and_evaluate(spark, sf):
         F.sum(F.when(F.col("kept"), 1).otherwise(0)).alias("tp"), F.sum(F.when(F.col("kept"), 0).otherwise(1)).alias("removed"),
         F.sum(F.when(F.col("kept"), F.col("iou"))).alias("sum_iou"),
     ))
+
+
+@query("evaluate_two_predictors", fx.duck(_CC_SRC + _refine_sql("lab", 0, 0) + """, ir AS (SELECT case_id, ref_id, count(*) n, max(x)-min(x)+1 ex,
+  max(y)-min(y)+1 ey, max(z)-min(z)+1 ez FROM vox WHERE ref_id > 0 GROUP BY 1, 2),
+small AS (SELECT case_id, ref_id FROM ir JOIN cases USING (case_id) WHERE ex*sx < 3 OR ey*sy < 3 OR ez*sz < 3 OR n*sx*sy*sz <= 14),
+held AS MATERIALIZED (SELECT case_id, x, y, z, ref_id FROM vox WHERE ref_id > 0 AND (case_id, ref_id) NOT IN (SELECT (case_id, ref_id) FROM small)),
+v AS MATERIALIZED (SELECT case_id * 2 case_id, x, y, z, coalesce(r.ref_id, 0) ref_id, coalesce(p.inst, 0) pred_id
+  FROM held r FULL JOIN refined p USING (case_id, x, y, z) UNION ALL
+  SELECT case_id * 2 + 1, x, y, z, coalesce(h.ref_id, 0), pred_id FROM vox LEFT JOIN held h USING (case_id, x, y, z))""" + MATCH + """,
+sums AS (SELECT case_id, count(*) FILTER (WHERE kept) tp, count(*) FILTER (WHERE NOT kept) removed,
+  coalesce(sum(iou) FILTER (WHERE kept), 0) sum_iou FROM matches GROUP BY 1)
+SELECT p.postprocessor, c.case_id, coalesce(tp, 0) tp, coalesce(removed, 0) removed,
+  (SELECT count(*) FROM np WHERE np.case_id = c.case_id * 2 + p.i) n_pred
+FROM cases c JOIN (VALUES (0, 'CC'), (1, 'stored')) p(i, postprocessor) ON true LEFT JOIN sums s ON s.case_id = c.case_id * 2 + p.i""",
+                                          *BASE, recursive=True))
+def evaluate_two_predictors(spark, sf):
+    """Two post-processors of one model scored in one job."""
+    cases, v = fx.cases(spark, sf), fx.voxels(spark, sf)
+    pred = pp.connected(fx.maps(spark, sf), cases).withColumnRenamed("inst", "pred_id")
+    first = overlap.align(pred, v.filter("ref_id > 0").drop("pred_id")).withColumn("postprocessor", F.lit("CC"))
+    both = first.unionByName(v.select(*first.columns[:-1]).withColumn("postprocessor", F.lit("stored"))).withColumn("model", F.lit("m"))
+    found = ev.evaluate_variants(materialize(both, "variants"), cases).metrics
+    return found.select("postprocessor", "case_id", F.col("TP").alias("tp"), F.col("FP_CLU").alias("removed"),
+                        F.col("Pred_Lesion_Count").alias("n_pred"))

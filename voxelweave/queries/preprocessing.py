@@ -246,3 +246,15 @@ def preprocess_and_undo(spark, sf):
     original = fx.voxels(spark, sf).select("case_id", "x", "y", "z", F.col("ref_id").alias("old"))
     back = prep.undo(done.voxels.filter("ref_id > 0").select("case_id", "x", "y", "z", "ref_id"), done, cases, PERM, [], ["ref_id"])
     return back.drop("ref_id").join(original, ["case_id", "x", "y", "z"]).withColumnRenamed("old", "ref_id")
+
+
+@query("undo_of_offsets", fx.duck(_IMG + """ SELECT i.case_id, x, y, z, 2.0e0 * (x - lo_x) ox, 1.0e0 * (z - lo_z) oy, 3.0e0 * (y - lo_y) oz
+  FROM img i JOIN box USING (case_id) WHERE x BETWEEN lo_x AND hi_x AND y BETWEEN lo_y AND hi_y AND z BETWEEN lo_z AND hi_z AND ref_id > 0""", "dense"))
+def undo_of_offsets(spark, sf):
+    """Offset outputs in the full frame; their components are told apart by how they grow along the prepared axes."""
+    cases = fx.cases(spark, sf).withColumns({"sx": F.lit(1.0), "sy": F.lit(1.0), "sz": F.lit(1.0)})
+    done = prep.preprocess(_image(spark, sf).drop("seg"), cases, PERM, (1.0, 1.0, 1.0), inference=True)
+    outputs = done.voxels.select("case_id", "x", "y", "z", "ref_id", F.col("x").cast("double").alias("ox"), (2.0 * F.col("y")).alias("oy"),
+                                 (3.0 * F.col("z")).alias("oz"))
+    back = prep.undo(outputs, done, cases, PERM, ["ox", "oy", "oz"], ["ref_id"])
+    return rounded(back.filter("ref_id > 0").select("case_id", "x", "y", "z", "ox", "oy", "oz"))
