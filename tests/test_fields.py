@@ -200,3 +200,8 @@ def test_windows_cover_every_voxel_and_blend_to_the_constant(spark):
     assert tiled.select("wx", "wy", "wz").distinct().count() == windows.number_of_windows(7, 4) * windows.number_of_windows(9, 4)
     out = windows.blend(tiled, ["p"], (4, 4, 8)).collect()
     assert len(out) == v.size and all(abs(r["p"] - 0.25) < 1e-12 for r in out)
+
+
+def test_percentiles_leave_out_null_and_nan(spark):
+    df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, float("nan"), None)], "g string, v double")
+    assert intensity.exact_percentiles(df, ["g"], "v", [0.5]).first()["percentile"] == 2.0
