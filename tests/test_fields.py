@@ -205,3 +205,29 @@ def test_windows_cover_every_voxel_and_blend_to_the_constant(spark):
 def test_percentiles_leave_out_null_and_nan(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, float("nan"), None)], "g string, v double")
     assert intensity.exact_percentiles(df, ["g"], "v", [0.5]).first()["percentile"] == 2.0
+
+
+def test_percentiles_with_outliers_and_ties(spark):
+    values = [float(i % 500) for i in range(20_000)] + [1e300, -1e300, 7.0, 7.0]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    at = [0.0, 0.005, 0.5, 0.995, 1.0]
+    got = {r["at"]: r["percentile"] for r in intensity.exact_percentiles(df, ["g"], "v", at).collect()}
+    assert [got[a] for a in at] == pytest.approx(np.quantile(values, at).tolist())
+
+
+def test_a_fence_that_holds_no_rank_is_dropped(spark, monkeypatch):
+    monkeypatch.setattr(intensity, "FENCE", 0.0)
+    monkeypatch.setattr(intensity, "SKETCH", 2)
+    values = [float(i) ** 3 for i in range(999)]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    got = {r["at"]: r["percentile"] for r in intensity.exact_percentiles(df, ["g"], "v", [0.1, 0.7003]).collect()}
+    assert [got[0.1], got[0.7003]] == pytest.approx(np.quantile(values, [0.1, 0.7003]).tolist())
+
+
+def test_scheme_needs_every_channel(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "case_id long, a double, b double")
+    properties = spark.createDataFrame([("a", 1.0, 2.0, 0.0, 1.5)], "channel string, mean double, std double, percentile_00_5 double, percentile_99_5 double")
+    out = intensity.scheme_normalise_columns(df, ["a"], properties).first()
+    assert (out["a"], out["b"]) == (0.25, 3.0)
+    with pytest.raises(ValueError):
+        intensity.scheme_normalise_columns(df, ["a", "b"], properties)

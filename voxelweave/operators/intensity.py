@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelweave.session import materialize
+
 
 def image_stats(df: DataFrame, value: str = "intensity", keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """mean, sd (sample), low and high per image."""
@@ -14,49 +16,84 @@ def image_stats(df: DataFrame, value: str = "intensity", keys: tuple[str, ...] =
     )
 
 
-def zscore(df: DataFrame, value: str = "intensity", mask: Column | None = None) -> DataFrame:
-    """(x - mean) / max(sd, 1e-8) per case with the population deviation.
+def zscore(df: DataFrame, value: str | list[str] = "intensity", mask: Column | None = None) -> DataFrame:
+    """(x - mean) / max(sd, 1e-8) per case and channel with the population deviation.
 
-    With a mask, statistics and change are limited to it.
+    ``value`` names one or several channel columns; all share one pass for their
+    statistics. With a mask, statistics and change are limited to it.
     """
+    values = [value] if isinstance(value, str) else list(value)
     inside = F.lit(True) if mask is None else mask
-    stats = df.filter(inside).groupBy("case_id").agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
-    joined = df.join(stats, "case_id", "left")
-    scaled = (F.col(value) - F.col("__m")) / F.greatest(F.col("__s"), F.lit(1e-8))
-    return joined.withColumn(value, F.when(inside, scaled).otherwise(F.col(value))).drop("__m", "__s")
+    stats = df.filter(inside).groupBy("case_id").agg(
+        *[a for i, v in enumerate(values) for a in (F.avg(v).alias(f"__m{i}"), F.stddev_pop(v).alias(f"__s{i}"))]
+    )
+    scaled = {
+        v: F.when(inside, (F.col(v) - F.col(f"__m{i}")) / F.greatest(F.col(f"__s{i}"), F.lit(1e-8))).otherwise(F.col(v))
+        for i, v in enumerate(values)
+    }
+    return df.join(stats, "case_id", "left").withColumns(scaled).select(*df.columns)
+
+
+# Rank error of the sketch is at most 1 / SKETCH; fences stand four errors off.
+SKETCH = 10_000
+FENCE = 4 / SKETCH
+
+
+def _brackets(df: DataFrame, group: list[str], value: str, at: list[float]) -> DataFrame:
+    """Per group and wanted share: a range of values that is sure to hold its ranks, and the count before it.
+
+    A mergeable sketch proposes the range, an exact count proves it; a range that
+    fails is replaced by all values.
+    """
+    shares = sorted({min(1.0, max(0.0, a + d)) for a in at for d in (-FENCE, FENCE)})
+    wanted = F.array(*[
+        F.struct(F.lit(float(a)).alias("at"), *[F.lit(shares.index(min(1.0, max(0.0, a + d)))).alias(n) for d, n in ((-FENCE, "i"), (FENCE, "j"))])
+        for a in at
+    ])
+    ends = df.groupBy(*group).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__n"),
+                                  F.percentile_approx(value, shares, SKETCH).alias("__f"))
+    fenced = materialize(ends.withColumn("w", F.explode(wanted)).select(
+        *group, "w.at", (F.col("w.at") * (F.col("__n") - 1)).alias("__r"), "__lo", "__hi",
+        F.when(F.col("w.i") == 0, F.col("__lo")).otherwise(F.col("__f")[F.col("w.i")]).alias("__from"),
+        F.when(F.col("w.j") == len(shares) - 1, F.col("__hi")).otherwise(F.col("__f")[F.col("w.j")]).alias("__to"),
+    ), "fences")
+    counted = df.join(fenced, group).groupBy(*group, "at").agg(
+        F.count_if(F.col(value) < F.col("__from")).alias("__before"), F.count_if(F.col(value).between(F.col("__from"), F.col("__to"))).alias("__in")
+    )
+    sound = (F.col("__before") <= F.floor("__r")) & (F.ceil("__r") < F.col("__before") + F.col("__in"))
+    return materialize(fenced.join(counted, [*group, "at"]).select(
+        *group, "at", "__r", F.when(sound, F.col("__before")).otherwise(0).alias("__before"),
+        F.when(sound, F.col("__from")).otherwise(F.col("__lo")).alias("__from"), F.when(sound, F.col("__to")).otherwise(F.col("__hi")).alias("__to"),
+    ), "brackets")
 
 
 def exact_percentiles(df: DataFrame, group: list[str], value: str, at: list[float], pieces: int = 4096) -> DataFrame:
     """Exact percentiles with linear interpolation, without holding a group's values in one task.
 
-    Equal-width pieces of the value range are counted first; only the values of
-    the pieces that hold a wanted rank are then counted one by one. NULL and NaN do
-    not count. Result: group, at, percentile.
+    A wanted rank is first fenced in by ranks, so outliers do not matter. Equal-width
+    pieces of the fenced range are counted; only the values of the pieces that hold
+    the rank are then counted one by one. NULL and NaN do not count; a group
+    without other values gives no row. Result: group, at, percentile.
     """
-    df = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    ends = df.groupBy(*group).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__n"))
-    width = (F.col("__hi") - F.col("__lo")) / pieces
-    piece = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(pieces - 1))).otherwise(0)
-    placed = df.select(*group, value).filter(F.col(value).isNotNull()).join(ends, group).withColumn("__p", piece.cast("long"))
-    order = W.partitionBy(*group).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    counts = placed.groupBy(*group, "__p").agg(F.count("*").alias("__c"))
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(order), F.lit(0)))
-    ranks = ends.withColumn("at", F.explode(F.array(*[F.lit(float(a)) for a in at])))
-    ranks = ranks.withColumn("__r", F.col("at") * (F.col("__n") - 1))
-    ranks = ranks.select(*group, "at", "__r", F.explode(F.array(F.floor("__r"), F.ceil("__r"))).alias("__k")).distinct()
-    hit = ranks.join(counts, group).filter(
-        (F.col("__k") >= F.col("__before")) & (F.col("__k") < F.col("__before") + F.col("__c"))
-    )
-    wanted = hit.select(*group, "__p").distinct()
-    values = placed.join(wanted, [*group, "__p"], "left_semi").groupBy(*group, "__p", value).agg(F.count("*").alias("__m"))
-    inside = W.partitionBy(*group, "__p").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    values = values.withColumn("__upto", F.sum("__m").over(inside))
-    near = hit.join(values, [*group, "__p"]).filter(
-        (F.col("__before") + F.col("__upto") > F.col("__k")) & (F.col("__before") + F.col("__upto") - F.col("__m") <= F.col("__k"))
-    )
-    low, high = F.min(value), F.max(value)
+    df = df.select(*group, value).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    width = (F.col("__to") - F.col("__from")) / pieces
+    piece = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__from")) / width), F.lit(pieces - 1))).otherwise(0)
+    placed = df.join(_brackets(df, group, value, at), group).filter(F.col(value).between(F.col("__from"), F.col("__to")))
+    placed = placed.withColumn("__p", F.coalesce(piece.cast("long"), F.lit(0)))
+    order = W.partitionBy(*group, "at").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(*group, "at", "__p").agg(F.count("*").alias("__c"), F.first("__r").alias("__r"), F.first("__before").alias("__before"))
+    counts = counts.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__c").over(order), F.lit(0)))
+    hit = counts.filter((F.ceil("__r") >= F.col("__before")) & (F.floor("__r") < F.col("__before") + F.col("__c")))
+    hit = materialize(hit.select(*group, "at", "__p", "__r", "__before"), "pieces")
+    values = placed.join(hit.select(*group, "at", "__p"), [*group, "at", "__p"], "left_semi").groupBy(*group, "at", "__p", value)
+    inside = W.partitionBy(*group, "at", "__p").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    values = values.agg(F.count("*").alias("__m")).withColumn("__upto", F.sum("__m").over(inside))
+    near = hit.join(values, [*group, "at", "__p"])
+    end = F.col("__before") + F.col("__upto")
+    holds = lambda k: (end > k) & (end - F.col("__m") <= k)
+    low, high = (F.max(F.when(holds(k("__r")), F.col(value))) for k in (F.floor, F.ceil))
     share = F.max("__r") - F.floor(F.max("__r"))
-    return near.groupBy(*group, "at").agg((low + (high - low) * share).alias("percentile"))
+    return near.groupBy(*group, "at").agg(F.when(low == high, low).otherwise(low + (high - low) * share).alias("percentile"))
 
 
 # Percentiles of the foreground intensities that the fingerprint holds.
@@ -88,3 +125,22 @@ def scheme_normalise(df: DataFrame, properties: DataFrame, channel: str = "chann
     clipped = F.least(F.greatest(F.col(value), F.col("__percentile_00_5")), F.col("__percentile_99_5"))
     scaled = (clipped - F.col("__mean")) / F.greatest(F.col("__std"), F.lit(1e-8))
     return joined.withColumn(value, scaled).select(*df.columns)
+
+
+def scheme_normalise_columns(df: DataFrame, values: list[str], properties: DataFrame, channel: str = "channel") -> DataFrame:
+    """The same for channels held as columns; ``properties`` has a row for each column name."""
+    rows = {r[channel]: r for r in properties.filter(F.col(channel).isin(values)).collect()}  # one row per channel column
+    missing = [v for v in values if v not in rows]
+    if missing:
+        raise ValueError(f"no foreground properties of {missing}")
+    scaled = {}
+    for v in values:
+        low, high, mean, std = (rows[v][c] for c in ("percentile_00_5", "percentile_99_5", "mean", "std"))
+        scaled[v] = (F.least(F.greatest(F.col(v), F.lit(low)), F.lit(high)) - F.lit(mean)) / F.lit(max(std, 1e-8))
+    return df.withColumns(scaled)
+
+
+def long_channels(df: DataFrame, values: list[str]) -> DataFrame:
+    """(channel, intensity) of channels held as columns, as :func:`fingerprint` reads them."""
+    each = F.array(*[F.struct(F.lit(v).alias("channel"), F.col(v).cast("double").alias("intensity")) for v in values])
+    return df.select(F.explode(each).alias("r")).select("r.channel", "r.intensity")

@@ -227,16 +227,93 @@ def loss_weights(spark, sf):
     )
 
 
-@query("preprocess_cases")
-def preprocess_cases(spark, sf):
-    """The whole preprocessing; composed of operators that have their own twins."""
-    done = prep.preprocess(_image(spark, sf).drop("seg"), fx.cases(spark, sf), PERM, (1.0, 1.0, 1.0))
+# Two channels with different extents, in the order of PERM; n and t are the sizes before and after resampling.
+_TWO = f""", {STEPS}, img AS MATERIALIZED (SELECT case_id, z x, x y, y z, CASE WHEN x BETWEEN case_id % 4 AND 12 AND y BETWEEN case_id % 4 AND 12
+    AND z BETWEEN case_id % 4 AND 12 AND (x*5 + y*3 + z) % 11 <> 0 THEN intensity ELSE 0.0e0 END intensity,
+  CASE WHEN x BETWEEN case_id % 4 AND 13 AND y BETWEEN case_id % 4 AND 12 AND z BETWEEN case_id % 4 AND 12 THEN heat ELSE 0.0e0 END flair, ref_id FROM dense),
+box AS MATERIALIZED (SELECT case_id, min(x) lx, max(x) hx, min(y) ly, max(y) hy, min(z) lz, max(z) hz FROM img WHERE intensity <> 0 OR flair <> 0 GROUP BY 1),
+dark AS MATERIALIZED (SELECT case_id, x, y, z FROM img WHERE intensity = 0 AND flair = 0),
+outer_zeros AS (SELECT case_id, x, y, z FROM dark WHERE x IN (0, 15) OR y IN (0, 15) OR z IN (0, 15)
+  UNION SELECT d.case_id, d.x, d.y, d.z FROM outer_zeros o JOIN steps s ON s.r = 1
+    JOIN dark d ON d.case_id = o.case_id AND d.x = o.x + dx AND d.y = o.y + dy AND d.z = o.z + dz),
+cut AS MATERIALIZED (SELECT i.case_id, i.x - lx x, i.y - ly y, i.z - lz z, intensity, flair, ref_id,
+    CASE WHEN ref_id > 0 THEN 1 WHEN o.case_id IS NULL THEN 0 ELSE -1 END seg
+  FROM img i JOIN box USING (case_id) LEFT JOIN outer_zeros o ON o.case_id = i.case_id AND o.x = i.x AND o.y = i.y AND o.z = i.z
+  WHERE i.x BETWEEN lx AND hx AND i.y BETWEEN ly AND hy AND i.z BETWEEN lz AND hz),
+dims AS MATERIALIZED (SELECT case_id, nx, ny, nz, CAST(round_even(nx*sz/1.0e0, 0) AS BIGINT) tx, CAST(round_even(ny*sx/1.0e0, 0) AS BIGINT) ty,
+    CAST(round_even(nz*sy/1.0e0, 0) AS BIGINT) tz
+  FROM (SELECT case_id, hx - lx + 1 nx, hy - ly + 1 ny, hz - lz + 1 nz FROM box) JOIN (SELECT case_id, sx, sy, sz FROM cases) USING (case_id))"""
+
+
+def _reads(a: str) -> str:
+    place = f"least(greatest((t + 0.5e0) * n{a} / t{a} - 0.5e0, 0), n{a} - 1)"
+    return f"""lin{a} AS MATERIALIZED (SELECT case_id, s, t, 1 - abs({place} - s) w FROM dims, unnest(range(0, 16)) p(s), unnest(range(0, 40)) q(t)
+  WHERE s < n{a} AND t < t{a} AND abs({place} - s) < 1),
+near{a} AS MATERIALIZED (SELECT case_id, t, least(CAST(floor((t + 0.5e0) * n{a} / t{a}) AS BIGINT), n{a} - 1) s FROM dims, unnest(range(0, 40)) q(t) WHERE t < t{a})"""
+
+
+def _prepared_sql(scaled: str) -> str:
+    """rs: the resampled volume with seg and renumbered ref_id; data: its channels. ``scaled`` gives norm."""
+    return _TWO + f""", {scaled}, {_reads('x')}, {_reads('y')}, {_reads('z')},
+data AS (SELECT v.case_id, a.t x, b.t y, c.t z, sum(intensity * a.w * b.w * c.w) intensity, sum(flair * a.w * b.w * c.w) flair FROM norm v
+  JOIN linx a ON a.case_id = v.case_id AND a.s = v.x JOIN liny b ON b.case_id = v.case_id AND b.s = v.y JOIN linz c ON c.case_id = v.case_id AND c.s = v.z GROUP BY ALL),
+lab AS MATERIALIZED (SELECT v.case_id, a.t x, b.t y, c.t z, ref_id, seg FROM norm v JOIN nearx a ON a.case_id = v.case_id AND a.s = v.x
+  JOIN neary b ON b.case_id = v.case_id AND b.s = v.y JOIN nearz c ON c.case_id = v.case_id AND c.s = v.z),
+ids AS (SELECT case_id, ref_id, row_number() OVER (PARTITION BY case_id ORDER BY ref_id) id FROM (SELECT DISTINCT case_id, ref_id FROM lab WHERE ref_id > 0)),
+rs AS MATERIALIZED (SELECT case_id, x, y, z, coalesce(id, 0) ref_id, seg FROM lab LEFT JOIN ids USING (case_id, ref_id)),
+com AS MATERIALIZED (SELECT case_id, ref_id, avg(x) cx, avg(y) cy, avg(z) cz FROM rs WHERE ref_id > 0 GROUP BY 1, 2),
+hm AS (SELECT r.case_id, avg(h) heat FROM (SELECT g.case_id, g.x, g.y, g.z, max(exp(-((g.x-cx)*(g.x-cx) + (g.y-cy)*(g.y-cy) + (g.z-cz)*(g.z-cz)) / 8)) h
+  FROM rs g JOIN com USING (case_id) GROUP BY ALL) r GROUP BY 1)""" + _CLASSES.replace(f", {STEPS}", "", 1).replace("vox", "rs").replace("< 20", "< 100") + """
+SELECT case_id, n, fg, outside, ids, round(heat, 6) heat, classes, round(t1, 6) + 0.0e0 t1, round(flair, 6) + 0.0e0 flair
+FROM (SELECT case_id, count(*) n, count(*) FILTER (WHERE ref_id > 0) fg, count(*) FILTER (WHERE seg < 0) outside, max(ref_id) ids FROM rs GROUP BY 1)
+  JOIN (SELECT case_id, CAST(sum(m) AS BIGINT) classes FROM px GROUP BY 1) USING (case_id) JOIN hm USING (case_id)
+  JOIN (SELECT case_id, avg(intensity * (x + 1)) t1, avg(flair * (y + 1)) flair FROM data GROUP BY 1) USING (case_id)"""
+
+
+_ZSCORED = """stat AS (SELECT case_id, avg(intensity) m1, stddev_pop(intensity) s1, avg(flair) m2, stddev_pop(flair) s2 FROM cut WHERE seg >= 0 GROUP BY 1),
+norm AS MATERIALIZED (SELECT case_id, x, y, z, ref_id, seg, CASE WHEN seg >= 0 THEN (intensity - m1) / greatest(s1, 1e-8) ELSE intensity END intensity,
+  CASE WHEN seg >= 0 THEN (flair - m2) / greatest(s2, 1e-8) ELSE flair END flair FROM cut JOIN stat USING (case_id))"""
+
+_CLIPPED = """stat AS MATERIALIZED (SELECT c, avg(v) m, stddev_pop(v) s, quantile_cont(v, 0.005) lo, quantile_cont(v, 0.995) hi FROM
+    (SELECT 1 c, intensity v FROM img WHERE ref_id > 0 UNION ALL SELECT 2, flair FROM img WHERE ref_id > 0) GROUP BY 1),
+norm AS MATERIALIZED (SELECT case_id, x, y, z, ref_id, seg, (least(greatest(intensity, p.lo), p.hi) - p.m) / greatest(p.s, 1e-8) intensity,
+  (least(greatest(flair, q.lo), q.hi) - q.m) / greatest(q.s, 1e-8) flair FROM cut JOIN stat p ON p.c = 1 JOIN stat q ON q.c = 2)"""
+
+
+def _two_channels(spark, sf):
+    inside = F.col("y").between(F.col("case_id") % 4, 12) & F.col("z").between(F.col("case_id") % 4, 12)
+    zero, x = F.lit(0.0), F.col("x")
+    lit = inside & x.between(F.col("case_id") % 4, 12) & ((x * 5 + F.col("y") * 3 + F.col("z")) % 11 != 0)
+    return fx.dense(spark, sf).select(
+        "case_id", "x", "y", "z", F.when(lit, F.col("intensity")).otherwise(zero).alias("intensity"),
+        F.when(inside & x.between(F.col("case_id") % 4, 13), F.col("heat")).otherwise(zero).alias("flair"), "ref_id")
+
+
+def _prepared(spark, sf, properties=None):
+    done = prep.preprocess(_two_channels(spark, sf), fx.cases(spark, sf), PERM, (1.0, 1.0, 1.0), channels=CHANNELS, properties=properties)
     return rounded(done.voxels.groupBy("case_id").agg(
         F.count("*").alias("n"), F.sum((F.col("ref_id") > 0).cast("long")).alias("fg"), F.sum((F.col("seg") < 0).cast("long")).alias("outside"),
         F.max("ref_id").alias("ids"), F.avg("center_heatmap").alias("heat"), F.sum("merged_class").alias("classes"),
+        F.avg(F.col("intensity") * (F.col("x") + 1)).alias("t1"), F.avg(F.col("flair") * (F.col("y") + 1)).alias("flair"),
     ))
 
 
+CHANNELS = ("intensity", "flair")
+
+
+@query("preprocess_cases", fx.duck(_prepared_sql(_ZSCORED), "dense", recursive=True))
+def preprocess_cases(spark, sf):
+    """The whole preprocessing of two channels, normalised case by case."""
+    return _prepared(spark, sf)
+
+
+@query("preprocess_by_dataset_scheme", fx.duck(_prepared_sql(_CLIPPED), "dense", recursive=True))
+def preprocess_by_dataset_scheme(spark, sf):
+    """The same with the dataset's foreground properties as the scheme."""
+    lesions = intensity.long_channels(_two_channels(spark, sf).filter("ref_id > 0"), list(CHANNELS))
+    return _prepared(spark, sf, materialize(intensity.fingerprint(lesions), "fingerprint"))
+
+
 @query("preprocess_and_undo", fx.duck(_IMG + """ SELECT i.case_id, x, y, z, ref_id FROM img i JOIN box USING (case_id)
   WHERE x BETWEEN lo_x AND hi_x AND y BETWEEN lo_y AND hi_y AND z BETWEEN lo_z AND hi_z AND ref_id > 0""", "dense"))
 def preprocess_and_undo(spark, sf):
@@ -258,3 +335,16 @@ def undo_of_offsets(spark, sf):
                                  (3.0 * F.col("z")).alias("oz"))
     back = prep.undo(outputs, done, cases, PERM, ["ox", "oy", "oz"], ["ref_id"])
     return rounded(back.filter("ref_id > 0").select("case_id", "x", "y", "z", "ox", "oy", "oz"))
+
+
+@query("undo_at_changed_spacing", fx.duck(_TWO + """
+SELECT c.case_id, c.y + ly x, c.z + lz y, c.x + lx z, round((""" + " + ".join(
+    f"{k} * least(greatest((c.{a} + 0.5e0) * t{a} / n{a} - 0.5e0, 0), t{a} - 1)" for k, a in enumerate("xyz", 1)) + """) / 100, 6) proba
+  FROM cut c JOIN box USING (case_id) JOIN dims USING (case_id)""", "dense", recursive=True))
+def undo_at_changed_spacing(spark, sf):
+    """Probabilities that rise along the prepared axes, brought back to each case's own grid and frame."""
+    cases = fx.cases(spark, sf)
+    done = prep.preprocess(_two_channels(spark, sf), cases, PERM, (1.0, 1.0, 1.0), inference=True, channels=CHANNELS)
+    rising = (F.col("x") + 2 * F.col("y") + 3 * F.col("z")) / 100
+    outputs = done.voxels.select("case_id", "x", "y", "z", rising.alias("proba"))
+    return rounded(prep.undo(outputs, done, cases, PERM, ["proba"], []))
