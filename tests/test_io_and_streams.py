@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from test_matching import block, cases, empty, voxels
 from voxelweave import session
+from voxelweave.operators import augment
 from voxelweave.plans import dataset, evaluate as ev
 from voxelweave.sources import catalog, descriptor, results, voxels as vx
 from voxelweave.streaming import monitor
@@ -123,3 +124,46 @@ def test_the_training_chain_repeats_itself(spark):
     b = dataset.fold_dataset(df.repartition(7, "z"), table, None, "all", "train", steps, 1, seed=2)
     pick = ["case_id", "x", "y", "z", F.round("intensity", 9).alias("i"), F.round("ox", 9).alias("o"), "seg", "batch"]
     assert a.count() == 2 * 216 and a.select(*pick).exceptAll(b.select(*pick)).isEmpty()
+
+
+def test_a_scan_of_some_cases_opens_their_buckets_only(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id AS case_id", "0L AS x", "0L AS y", "id AS z", "CAST(id AS DOUBLE) AS intensity")
+    vx.write(rows, str(tmp_path / "b"), 16)
+    some = spark.createDataFrame([(3,), (3,), (999,)], "case_id long")
+    got = vx.scan(spark, str(tmp_path / "b"), some, 16)
+    assert [r["intensity"] for r in got.collect()] == [3.0]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "case_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert vx.scan(spark, str(tmp_path / "b"), some.limit(0), 16).count() == 0
+
+
+def test_each_case_gets_its_narrowest_type(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, 127), (1, 1, 3), (2, 0, 128), (2, 1, 1), (3, 0, None)], "case_id long, x long, v long")
+    vx.write_narrow(rows, str(tmp_path), "v")
+    back = {(r["case_id"], r["x"]): (r["kind"], r["v"]) for r in vx.scan_narrow(spark, str(tmp_path), "v").collect()}
+    assert back == {(1, 0): ("tinyint", 127), (1, 1): ("tinyint", 3), (2, 0): ("smallint", 128), (2, 1): ("smallint", 1), (3, 0): ("tinyint", None)}
+    assert dict(spark.read.parquet(str(tmp_path / "kind=tinyint")).dtypes)["v"] == "tinyint"
+
+
+def test_split_cases_are_listed(spark, tmp_path):
+    for batch, cases in ((0, [1, 2]), (1, [2, 3])):
+        spark.createDataFrame([(c,) for c in cases], "case_id long").write.parquet(str(tmp_path / f"batch={batch}"))
+    assert [tuple(r) for r in monitor.split_cases(spark, str(tmp_path)).collect()] == [(2, 2)]
+
+
+def test_chain_of_the_test_set(spark):
+    cases = spark.createDataFrame([(1, 9, 9, 9, 1.0, 1.0, 1.0)], "case_id long, nx long, ny long, nz long, sx double, sy double, sz double")
+    rows = spark.createDataFrame([(1, x, 0, 0, 5, 1) for x in range(2)], "case_id long, x long, y long, z long, ref_id long, seg long")
+    assert dataset.test_steps(cases) == []
+    left = dataset.chain(rows, dataset.test_steps(cases, with_reference=True))
+    assert left.filter("ref_id > 0 OR seg > 0").count() == 0
+
+
+def test_affine_leaves_cases_alone_that_draw_off(spark):
+    params = spark.createDataFrame([(1, True, 1.0), (2, False, 1.0)], "case_id long, on boolean, tx double")
+    cases = spark.createDataFrame([(c, 3, 1, 1) for c in (1, 2)], "case_id long, nx long, ny long, nz long")
+    rows = spark.createDataFrame([(c, x, 0, 0, float(x), x) for c in (1, 2) for x in range(3)],
+                                 "case_id long, x long, y long, z long, v double, seg long")
+    out = augment.affine(rows, augment.affine_matrix(params, cases), ["v"], ["seg"])
+    got = {(r["case_id"], r["x"]): (r["v"], r["seg"]) for r in out.collect()}
+    assert got == {(1, 0): (1.0, 1), (1, 1): (2.0, 2), (1, 2): (0.0, 0), (2, 0): (0.0, 0), (2, 1): (1.0, 1), (2, 2): (2.0, 2)}

@@ -136,12 +136,20 @@ def affine_matrix(params: DataFrame, cases: DataFrame) -> DataFrame:
     columns |= {f"b{i + 1}": get(f"t{a}") for i, a in enumerate(COORDS)}
     on = F.col("on") if "on" in have else F.lit(True)
     same = {f"a{i}{j}": 1.0 if i == j else 0.0 for i in (1, 2, 3) for j in (1, 2, 3)} | {f"b{i}": 0.0 for i in (1, 2, 3)}
-    return sized.select("case_id", "nx", "ny", "nz", *[F.when(on, c).otherwise(F.lit(same[n])).alias(n) for n, c in columns.items()])
+    return sized.select("case_id", "nx", "ny", "nz", on.alias("on"), *[F.when(on, c).otherwise(F.lit(same[n])).alias(n) for n, c in columns.items()])
 
 
 def affine(df: DataFrame, matrix: DataFrame, values: list[str], labels: list[str]) -> DataFrame:
-    """Interpolated values and nearest labels under the same map."""
-    image = resample.affine_linear(df, values, matrix)
-    return image.join(resample.affine_nearest(df, labels, matrix), ["case_id", *COORDS]) if labels else image
+    """Interpolated values and nearest labels under the same map.
+
+    Cases whose decision is off keep their rows as they are and join nothing.
+    """
+    columns = ["case_id", *COORDS, *values, *labels]
+    decided = df.join(matrix.select("case_id", "on"), "case_id")
+    moved, matrix = decided.filter("on").select(*columns), matrix.filter("on")
+    image = resample.affine_linear(moved, values, matrix)
+    if labels:
+        image = image.join(resample.affine_nearest(moved, labels, matrix), ["case_id", *COORDS])
+    return image.select(*columns).unionByName(decided.filter("NOT on").select(*columns))
 
 

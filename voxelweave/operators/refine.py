@@ -9,6 +9,7 @@ from voxelweave.operators import bricks, sizes
 from voxelweave.operators.components import component_table, components
 from voxelweave.operators.overlap import COORDS, with_instance
 from voxelweave.operators.ranking import rank_in_group
+from voxelweave.session import materialize
 
 
 def relabel(voxels: DataFrame, side: str) -> DataFrame:
@@ -34,8 +35,8 @@ def refine(voxels: DataFrame, cases: DataFrame, inst: str = "inst", min_volume:
     keeps its id; further ones follow after all ids, in order of instance and
     size. Only component-sized tables are ordered, never voxels.
     """
-    rooted = components(voxels.filter(F.col(inst) > 0), cases, 6, ("case_id", inst), brick)
-    table = sizes.size_verdicts(component_table(rooted, ("case_id", inst)), cases, min_volume, min_axis)
+    rooted = materialize(components(voxels.filter(F.col(inst) > 0), cases, 6, ("case_id", inst), brick), "rooted")
+    table = materialize(sizes.size_verdicts(component_table(rooted, ("case_id", inst)), cases, min_volume, min_axis), "sizes")
     place = F.struct((-F.col("n")).alias("neg_n"), F.col("root").alias("root"))
     per_inst = table.groupBy("case_id", inst).agg(
         F.min(F.when(F.col("too_small"), place)).alias("stop"), F.min(place).alias("top")

@@ -200,7 +200,24 @@ def bundle_scan(spark, sf):
 
 @query("storage_types", fx.duck("""SELECT case_id, CASE WHEN max(pred_id * 12) <= 127 THEN 'tinyint' ELSE 'smallint' END kind FROM vox GROUP BY 1""", "vox"))
 def storage_types(spark, sf):
-    return vx.narrow_kinds(fx.voxels(spark, sf).withColumn("pred_id", F.col("pred_id") * 12), "pred_id")
+    """Written case by case in the narrowest type, and read back."""
+    path = new_path(spark, "narrow")
+    vx.write_narrow(fx.voxels(spark, sf).withColumn("pred_id", F.col("pred_id") * 12), path, "pred_id")
+    return vx.scan_narrow(spark, path, "pred_id").select("case_id", "kind").distinct()
+
+
+@query("scan_of_some_cases", fx.duck("SELECT case_id, count(*) n, round(sum(intensity), 3) total FROM maps JOIN cases USING (case_id) WHERE fold = 3 GROUP BY 1", "maps", "cases"))
+def scan_of_some_cases(spark, sf):
+    """A fold's cases out of a stored bundle; only their buckets are opened."""
+    path = new_path(spark, "bundle")
+    vx.write(fx.maps(spark, sf).select("case_id", "x", "y", "z", "intensity"), path, 64)
+    back = vx.scan(spark, path, fx.cases(spark, sf).filter("fold = 3"), 64)
+    return rounded(back.groupBy("case_id").agg(F.count("*").alias("n"), F.sum("intensity").alias("total")), 3)
+
+
+@query("attributes_dropped", fx.duck("SELECT case_id, x, y, z, round(proba, 6) proba FROM maps", "maps"))
+def attributes_dropped(spark, sf):
+    return rounded(vx.drop_attributes(fx.maps(spark, sf), "ref_id", "pred_id", "heat", "ox", "oy", "oz", "intensity"))
 
 
 @query("prediction_sink", fx.duck("""SELECT case_id, CASE WHEN case_id % 2 = 0 THEN 'CC' ELSE 'ACLS' END postprocessor, count(*) n,

@@ -13,6 +13,7 @@ from voxelweave.queries.common import (
     CLEAN, CLU, CONFLUENT, COUNTS, KEY_SQL, MATCH, RAW, STEPS, cc_sql, rounded, scores_sql,
 )
 from voxelweave.queries.registry import query
+from voxelweave.session import new_path
 from voxelweave.sources import results
 
 BASE = ("vox", "gappy", "cases")
@@ -224,6 +225,19 @@ def evaluate_cases(spark, sf):
     return rounded(ev.evaluate(fx.gappy(spark, sf), fx.cases(spark, sf)).metrics)
 
 
+@query("saved_evaluation", fx.duck(CLEAN + MATCH + COUNTS + f""", lesions AS (SELECT np.case_id, count(*) n FROM np GROUP BY 1)
+SELECT case_id, fold, tp "TP", fp "FP", fn "FN", {scores_sql('DSC', 'PQ')}, coalesce(n, 0) lesions FROM counts
+  JOIN (SELECT case_id, fold FROM cases) USING (case_id) LEFT JOIN lesions USING (case_id)""", *BASE))
+def saved_evaluation(spark, sf):
+    """The evaluation of all folds written as a tree of JSON and CSV tables, and read back."""
+    cases, path = fx.cases(spark, sf), new_path(spark, "evaluation")
+    results.save_evaluation(ev.evaluate(fx.gappy(spark, sf), cases), path, cases.select("case_id", "fold"), ["fold"])
+    details = results.read(spark, f"{path}/metrics_details", "case_id long, TP long, FP long, FN long, DSC double, PQ double, fold long", "json")
+    lesions = results.read(spark, f"{path}/pred_matches_csv", fmt="csv").groupBy(F.col("patient_id").cast("long").alias("case_id")).agg(
+        F.count("*").alias("lesions"))
+    return rounded(details.join(lesions, "case_id", "left").withColumn("lesions", F.coalesce("lesions", F.lit(0).cast("long"))))
+
+
 @query("predicted_lesion_table", fx.duck(CLEAN + MATCH + """ SELECT np.case_id patient_id, np.pred_id pred_lesion_id,
   m.ref_id "Ref_Lesion_ID_Match", np.n_pred*sx*sy*sz "Volume_Pred", m.n_ref*sx*sy*sz "Volume_Ref", round(dice, 6) "DSC",
   round(iou, 6) "IoU", m.ref_id IS NOT NULL "TP", m.ref_id IS NULL "FP"

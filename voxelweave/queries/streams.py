@@ -8,6 +8,7 @@ from voxelweave import fixtures as fx
 from voxelweave.queries.common import CLEAN, COUNTS, MATCH, rounded, scores_sql
 from voxelweave.queries.registry import query
 from voxelweave.session import new_path
+from voxelweave.sources import voxels as vx
 from voxelweave.streaming import monitor
 
 
@@ -67,6 +68,8 @@ def stream_case_scores(spark, sf):
     preds = v.filter("pred_id > 0").select("case_id", "x", "y", "z", "pred_id")
     preds.repartition(4, "case_id").write.parquet(landing)
     arriving = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", 2).parquet(landing)
-    refs = v.filter("ref_id > 0").select("case_id", "x", "y", "z", "ref_id")
-    monitor.finish(monitor.score_arrivals, arriving, refs, fx.cases(spark, sf), out, new_path(spark, "offsets"))
+    stored = new_path(spark, "references")
+    vx.write(v.filter("ref_id > 0").select("case_id", "x", "y", "z", "ref_id"), stored, 64)
+    refs = spark.read.parquet(stored)
+    monitor.finish(monitor.score_arrivals, arriving, refs, fx.cases(spark, sf), out, new_path(spark, "offsets"), 64)
     return rounded(spark.read.parquet(out).drop("batch"))

@@ -20,7 +20,7 @@ VOXELS = T.StructType(
 )
 
 BUNDLE = T.StructType(
-    [T.StructField(name, T.LongType()) for name in ("case_id", "x", "y", "z")]
+    [T.StructField(name, T.LongType()) for name in ("case_bucket", "case_id", "x", "y", "z")]
     + [
         T.StructField("intensity", T.DoubleType()),
         T.StructField("seg", T.LongType()),
@@ -37,13 +37,3 @@ def voxel_key(x="x", y="y", z="z") -> Column:
     """Order-preserving key of a grid position (each axis below 2**20)."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
     return F.shiftleft(col(x), 2 * AXIS_BITS) + F.shiftleft(col(y), AXIS_BITS) + col(z)
-
-
-def key_axes(key: Column) -> dict[str, Column]:
-    """The three coordinates packed by :func:`voxel_key`."""
-    mask = (1 << AXIS_BITS) - 1
-    return {
-        "x": F.shiftright(key, 2 * AXIS_BITS),
-        "y": F.shiftright(key, AXIS_BITS).bitwiseAND(F.lit(mask)),
-        "z": key.bitwiseAND(F.lit(mask)),
-    }

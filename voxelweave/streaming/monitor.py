@@ -13,22 +13,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxelweave.operators import metrics, overlap, sizes
+from voxelweave.session import materialize
+from voxelweave.sources.voxels import BUCKETS, of_cases
 
 
-def score_arrivals(predictions: DataFrame, references: DataFrame, cases: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Scores cases as their predictions land; a file holds whole cases, so batches need no shared state."""
+def score_arrivals(predictions: DataFrame, references: DataFrame, cases: DataFrame, path: str, checkpoint: str,
+                   buckets: int = BUCKETS) -> StreamingQuery:
+    """Scores cases as their predictions land; a file holds whole cases, so batches need no shared state.
+
+    Stored references that carry ``case_bucket`` are read for the arrived cases'
+    buckets only. :func:`split_cases` lists the cases that came in pieces.
+    """
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.select("case_id").distinct()
+        batch = materialize(batch, "arrived")
+        arrived = materialize(batch.select("case_id").distinct(), "arrived-cases")
         here = cases.join(arrived, "case_id", "left_semi")
-        known = references.join(arrived, "case_id", "left_semi")
-        table = sizes.drop_small(overlap.contingency(overlap.align(batch, known)), here, "ref_id")
+        known = of_cases(references, arrived, buckets).drop("case_bucket")
+        table = materialize(sizes.drop_small(overlap.contingency(overlap.align(batch, known)), here, "ref_id"), "arrived-pairs")
         scored = metrics.score(metrics.case_table(here, table, overlap.match(table)), ["DSC", "PQ", "F1"])
         scored.select("case_id", "TP", "FP", "FN", "DSC", "PQ", "F1").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return predictions.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def split_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Cases that were scored in several batches, each time with a part of their predictions: (case_id, batches)."""
+    return spark.read.parquet(path).groupBy("case_id").agg(F.countDistinct("batch").alias("batches")).filter("batches > 1")
+
+
 def running_best(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Best value and its epoch so far per post-processor and metric; the earliest epoch wins a tie."""
     best = log.groupBy("postprocessor", "metric").agg(F.max(F.struct("value", (-F.col("epoch")).alias("e"))).alias("b")).select(
