@@ -122,11 +122,10 @@ def gaussian_noise(spark, sf):
 @query("smoothed_at_random", fx.duck(f""", dev AS MATERIALIZED (SELECT case_id, {draws.uniform_sql(61, 'case_id')} < 0.5e0 o, {_draw(61, 0.5, 1.0, 0)} sx,
   {_draw(61, 0.5, 1.0, 1)} sy, {_draw(61, 0.5, 1.0, 2)} sz FROM cases),
 """ + ",\n".join(f"""tap{a} AS MATERIALIZED (SELECT case_id, d, w / sum(w) OVER (PARTITION BY case_id) w FROM (SELECT case_id, d, exp(-0.5e0 * (d / s{a}) * (d / s{a})) w
-  FROM dev, unnest(range(-5, 6)) t(d) WHERE abs(d) <= floor(4 * s{a} + 0.5e0)))""" for a in "xyz") + """
-SELECT case_id, x, y, z, round(intensity, 6) intensity FROM maps JOIN dev USING (case_id) WHERE NOT o UNION ALL
-SELECT a.case_id, a.x, a.y, a.z, round(sum(b.intensity * p.w * q.w * r.w), 6) FROM maps a JOIN dev ON dev.case_id = a.case_id AND o
-  JOIN maps b ON b.case_id = a.case_id JOIN tapx p ON p.case_id = a.case_id AND p.d = b.x - a.x
-  JOIN tapy q ON q.case_id = a.case_id AND q.d = b.y - a.y JOIN tapz r ON r.case_id = a.case_id AND r.d = b.z - a.z GROUP BY ALL""", "vox", "maps", "cases"))
+  FROM dev, unnest(range(-5, 6)) t(d) WHERE abs(d) <= floor(4 * s{a} + 0.5e0)))""" for a in "xyz") + """, px AS (SELECT case_id, x - d x, y, z, sum(intensity * w) v FROM maps JOIN dev USING (case_id) JOIN tapx USING (case_id) WHERE o GROUP BY ALL),
+py AS (SELECT case_id, x, y - d y, z, sum(v * w) v FROM px JOIN tapy USING (case_id) GROUP BY ALL),
+pz AS (SELECT case_id, x, y, z - d z, sum(v * w) v FROM py JOIN tapz USING (case_id) GROUP BY ALL)
+SELECT case_id, x, y, z, round(CASE WHEN o THEN v ELSE intensity END, 6) intensity FROM maps JOIN dev USING (case_id) LEFT JOIN pz USING (case_id, x, y, z)""", "vox", "maps", "cases"))
 def smoothed_at_random(spark, sf):
     params = _params(fx.cases(spark, sf), 61, 0.5, sx=(0.5, 1.0), sy=(0.5, 1.0), sz=(0.5, 1.0))
     return rounded(augment.smooth(_images(spark, sf), params))
