@@ -94,6 +94,30 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "voxels", lambda: _build_voxels(spark, sf_dir))
 
 
+TILES = 14
+
+
+def large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One large case: the references of all cases side by side, and a rod that runs through a row of them.
+
+    case_id (0), x, y, z, ref_id. It is 224 voxels wide in x and y and grows in z with the tables.
+    """
+    def build() -> DataFrame:
+        zero, c = F.lit(0).cast("long"), F.col("case_id")
+        tiles = voxels(spark, sf_dir).filter("ref_id > 0").select(
+            (F.col("x") + 16 * (c % TILES)).alias("x"), (F.col("y") + 16 * (F.floor(c / TILES) % TILES)).alias("y"),
+            (F.col("z") + 16 * F.floor(c / (TILES * TILES))).alias("z"), (c * 20 + F.col("ref_id") + 1).alias("ref_id"),
+        )
+        # As long as the row of tiles, so that it follows the case.
+        lengths = tiles.agg(F.max("x").alias("m"))
+        rod = lengths.select(F.explode(F.sequence(zero, F.col("m"))).alias("x"), F.lit(8).cast("long").alias("y"),
+                             F.lit(8).cast("long").alias("z"), F.lit(1).cast("long").alias("ref_id"))
+        both = tiles.unionByName(rod).groupBy("x", "y", "z").agg(F.min("ref_id").alias("ref_id"))
+        return both.select(zero.alias("case_id"), "x", "y", "z", "ref_id")
+
+    return _once(spark, sf_dir, "large", build)
+
+
 def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The voxel table with cases that lack predictions (3 mod 10) or references (7 mod 10)."""
     c = F.col("case_id") % 10
@@ -218,6 +242,10 @@ _DUCK = {
   FROM r FULL OUTER JOIN p ON r.case_id=p.case_id AND r.x=p.x AND r.y=p.y AND r.z=p.z
   WHERE coalesce(r.x,p.x) BETWEEN 0 AND 15 AND coalesce(r.y,p.y) BETWEEN 0 AND 15
     AND coalesce(r.z,p.z) BETWEEN 0 AND 15""",
+    "large": f"""SELECT CAST(0 AS BIGINT) case_id, x, y, z, min(ref_id) ref_id FROM (
+  SELECT x + 16 * (case_id % {TILES}) x, y + 16 * ((case_id // {TILES}) % {TILES}) y, z + 16 * (case_id // {TILES * TILES}) z, case_id * 20 + ref_id + 1 ref_id
+    FROM vox WHERE ref_id > 0
+  UNION ALL SELECT unnest(range(0, (SELECT max(x + 16 * (case_id % {TILES})) + 1 FROM vox WHERE ref_id > 0))), 8, 8, 1) GROUP BY x, y, z""",
     "gappy": """SELECT * FROM (SELECT case_id, x, y, z, CASE WHEN case_id % 10 = 7 THEN 0 ELSE ref_id END ref_id,
   CASE WHEN case_id % 10 = 3 THEN 0 ELSE pred_id END pred_id FROM vox) WHERE ref_id > 0 OR pred_id > 0""",
     "grid": """SELECT case_id, x, y, z, nx, ny, nz FROM cases, unnest(range(0, 16)) a(x), unnest(range(0, 16)) b(y),
@@ -240,7 +268,7 @@ _DUCK = {
   CASE WHEN user_id % 2 = 0 THEN 'CC' ELSE 'ACLS' END postprocessor, value, ts FROM events""",
 }
 
-_NEEDS = {"gappy": ["vox"], "grid": ["cases"], "maps": ["vox"], "dense": ["vox", "cases", "grid"],
+_NEEDS = {"gappy": ["vox"], "large": ["vox"], "grid": ["cases"], "maps": ["vox"], "dense": ["vox", "cases", "grid"],
           "members": ["vox", "maps"]}
 
 

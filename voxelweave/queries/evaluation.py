@@ -13,7 +13,7 @@ from voxelweave.queries.common import (
     CLEAN, CLU, CONFLUENT, COUNTS, KEY_SQL, MATCH, RAW, STEPS, cc_sql, rounded, scores_sql,
 )
 from voxelweave.queries.registry import query
-from voxelweave.session import new_path
+from voxelweave.session import materialize, new_path
 from voxelweave.sources import results
 
 BASE = ("vox", "gappy", "cases")
@@ -172,6 +172,24 @@ def confluent(spark, sf):
     return confluent_instances(refs, cases, tuple(metrics.VARIANTS), side=8)
 
 
+_LARGE = f""", {STEPS}, src AS (SELECT case_id, x, y, z FROM large), {cc_sql('cc', 'src', 'case_id', '6')}"""
+
+
+@query("components_of_a_large_case", fx.duck(_LARGE + " SELECT case_id, root, count(*) n FROM cc GROUP BY ALL", "vox", "large", recursive=True))
+def components_of_a_large_case(spark, sf):
+    """One case over many bricks, with an instance that runs through a row of them."""
+    return components(fx.large(spark, sf), None, 6).groupBy("case_id", "root").agg(F.count("*").alias("n"))
+
+
+@query("confluence_of_a_large_case", fx.duck(_LARGE + """, held AS (SELECT DISTINCT root, ref_id FROM cc JOIN large USING (case_id, x, y, z))
+SELECT DISTINCT CAST(0 AS BIGINT) case_id, CAST(0 AS BIGINT) tier, CAST(6 AS BIGINT) conn, ref_id FROM held
+  WHERE root IN (SELECT root FROM held GROUP BY 1 HAVING count(*) > 1)""", "vox", "large", recursive=True))
+def confluence_of_a_large_case(spark, sf):
+    rows = fx.large(spark, sf)
+    grid = rows.groupBy("case_id").agg(*[(F.max(a) + 1).alias(f"n{a}") for a in "xyz"])
+    return confluent_instances(rows, materialize(grid, "grid"), ((0, 6),))
+
+
 @query("confluent_classes", fx.duck(f""", {STEPS}, src AS (SELECT case_id, x, y, z FROM gappy WHERE ref_id > 0),
 {cc_sql('cc', 'src', 'case_id', '6')},
 held AS (SELECT DISTINCT cc.case_id, root, ref_id FROM cc JOIN gappy USING (case_id, x, y, z)),
