@@ -150,3 +150,9 @@ def test_a_missing_fold_value_makes_the_model_summary_null(spark):
     folds = spark.createDataFrame([("m", 0, 1.0, 2), ("m", 1, None, 3)], "model string, fold int, PQ double, TP int")
     row = metrics.across_folds(folds, ["model"], ["PQ"], ["TP"]).first()
     assert row["PQ"] is None and row["PQ_std"] is None and row["TP"] == 5
+
+
+def test_voxels_without_case_or_outside_the_grid_stop_the_evaluation(spark):
+    for row, fault in (((2, 0, 0, 0, 1, 1), "no case"), ((1, 0, 8, 0, 1, 1), "outside")):
+        with pytest.raises(ValueError, match=fault):
+            evaluate(spark.createDataFrame([row], VOX), cases(spark, 2))

@@ -37,6 +37,15 @@ def outside_grid(voxels: DataFrame, cases: DataFrame) -> DataFrame:
     return both.groupBy("case_id", "fault").agg(F.count("*").alias("n"))
 
 
+def require_grid(boxes: DataFrame, cases: DataFrame) -> None:
+    """Stops where a box (lo and hi per axis, hi inside) has no case or leaves its case's grid."""
+    ends = F.array(*[F.struct(*[F.col(f"{end}_{a}").alias(a) for a in ("x", "y", "z")]) for end in ("lo", "hi")])
+    corners = boxes.select("case_id", F.explode(ends).alias("r")).select("case_id", "r.*")
+    bad = outside_grid(corners, cases).first()
+    if bad is not None:
+        raise ValueError(f"case {bad['case_id']}: {bad['fault']}; outside_grid lists all such voxels")
+
+
 def close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     """|a - b| within atol + rtol |b|: relative to the second value."""
     return F.abs(a - b) <= atol + rtol * F.abs(b)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.operators import bricks, metrics, overlap, sizes
+from voxelweave.operators import bricks, integrity, metrics, overlap, sizes
 from voxelweave.operators.confluence import confluent_instances
 from voxelweave.operators.overlap import COORDS
 from voxelweave.operators.ranking import rank_in_group
@@ -31,9 +31,11 @@ def evaluate(voxels: DataFrame, cases: DataFrame, min_volume: float = 14, min_ax
 
     The voxels are read twice: once for the contingency table, once for the
     confluence of the references. Both results are instance-sized and are written
-    down, so that the many metrics that read them do not repeat the passes.
+    down, so that the many metrics that read them do not repeat the passes. Voxels
+    without a case row or outside their grid raise an error.
     """
     raw = materialize(overlap.contingency(voxels), "contingency")
+    integrity.require_grid(raw, cases)
     table = materialize(sizes.drop_small(raw, cases, "ref_id", min_volume, min_axis), "contingency")
     kept_refs = table.filter("ref_id > 0").select("case_id", "ref_id").distinct()
     refs = voxels.filter("ref_id > 0").join(kept_refs, ["case_id", "ref_id"], "left_semi")
