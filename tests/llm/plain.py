@@ -76,6 +76,21 @@ def components(ids: list, prints: list[int], radius: int) -> list:
     return [least.get(find(i)) for i in range(len(ids))]
 
 
+def jaccard_components(texts: list, n: int) -> list[int]:
+    """The smallest position that links at a similarity of 0.8 or more reach."""
+    sets = []
+    for text in texts:
+        words = [w for w in BLANK.split("".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+        sets.append({tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))})
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
 def byte_encoding() -> tiktoken.Encoding:
     import base64
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tools.compare import connect, difference
-from voxelweave.llm import bpe, exact, licenses, mixing, pii, quality, queries, sharding, simhash, topk, wavelet
+from voxelweave.llm import bpe, exact, licenses, minhash, mixing, pii, quality, queries, sharding, simhash, topk, wavelet
 from voxelweave.llm.sql import ORACLES
 
 from . import plain
@@ -344,6 +344,43 @@ def test_bk_trees_lose_no_link(spark, tree_rows):
     assert len(set(pairs.values())) == len(pairs)
 
 
+# Near copies of the pipeline
+
+
+def edited_copies(seed, families=6, copies=6):
+    draw, out = random.Random(seed), []
+    for _ in range(families):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randint(60, 400))]
+        for k in range(copies):
+            out.append(" ".join(words if k % 2 else [w.upper() for w in words]))
+            words = list(words)
+            for _ in range(draw.randint(1, max(2, len(words) // 60))):
+                words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("group_rows, group_shingles", [(2, 10**6), (2048, 300), (2048, 10**6)])
+def test_edited_copies_go(spark, group_rows, group_shingles):
+    some = [*edited_copies(1), "", None, "one two", "One  two", "a b c d", "same " * 900 + "one end here", "same " * 900 + "other tail there now"]
+    frame = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(3, "doc_id")
+    groups = plain.jaccard_components(some, 5)
+    assert 6 < len(set(groups)) < len(some) - 12
+    best = {}
+    for i, g in enumerate(groups):
+        key = (len(some[i] or ""), -i)
+        best[g] = max(best.get(g, key), key)
+    left = minhash.without_near_copies(frame, group_rows=group_rows, group_shingles=group_shingles).collect()
+    assert sorted(r["doc_id"] for r in left) == sorted(-b for _, b in best.values())
+
+
+def test_near_stage_finds_all_at_its_similarity(spark, docs):
+    rows = docs.collect()
+    groups = plain.jaccard_components([r["text"] for r in rows], 5)
+    left = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    kept = {r["doc_id"]: g for r, g in zip(rows, groups)}
+    assert len(left) == len(set(groups)) < len(rows) and {kept[i] for i in left} == set(groups)
+
+
 # 10. Top k
 
 

@@ -36,20 +36,23 @@ TREE_ROWS = 1024
 SEED = 42
 
 
-def fingerprint(text: bytes | None, words_each: int) -> int:
-    """Unsigned SimHash of the shingles of a text in UTF-8; A to Z are lower-cased."""
+def shingles(text: bytes | None, words_each: int) -> np.ndarray:
+    """The hash of each shingle of a text in UTF-8; A to Z are lower-cased. A text of fewer words is one shingle."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) < words_each:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[: len(words) - words_each] + 1).tolist()]
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1:].tolist())]
-    raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+        return np.array([digest(joined, SEED)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: len(words) - words_each] + 1).tolist()]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1:].tolist())], dtype="<u8")
+
+
+def fingerprint(text: bytes | None, words_each: int) -> int:
+    """Unsigned SimHash of the shingles of a text in UTF-8; A to Z are lower-cased."""
+    if not (text or b"").strip():
+        return 0
+    raw = shingles(text, words_each).view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, dtype=np.int64)
     for low in range(0, len(raw), 1 << 16):
         counts += np.unpackbits(raw[low:low + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
