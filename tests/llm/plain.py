@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -123,3 +124,95 @@ def exact(rows: list[tuple]) -> dict:
         for *_, name in members:
             out[name] = (keep, len(members), name == keep, sha(text))
     return out
+
+
+def digest(*parts: str) -> str:
+    return sha("".join(parts))
+
+
+def merkle_leaf(row: dict, text: str | None) -> str:
+    fields = [row["doc_id"], row["source"], row["lang"], row["n_chars"], text]
+    return digest(*["-" if x is None else f"{len(str(x).encode())}:{x}" for x in fields])
+
+
+def _levels(nodes: list[str]) -> list[list[str]]:
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([digest(*out[-1][i:i + 3]) for i in range(0, len(out[-1]), 3)])
+    return out
+
+
+def merkle(rows: list[dict]) -> list[tuple]:
+    """doc_id, leaf, subroot, root, proof, folded root and whether it verifies, by whole lists."""
+    def order(x):
+        return (x is not None, x if x is not None else 0)
+
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r["source"], []).append(r)
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = []
+    for s in names:
+        groups[s].sort(key=lambda r: (order(r["doc_id"]), merkle_leaf(r, r["text"])))
+        trees.append(_levels([merkle_leaf(r, r["text"]) for r in groups[s]]))
+    top = _levels([t[-1][0] for t in trees])
+    out = []
+    for nth, s in enumerate(names):
+        for i, r in enumerate(groups[s]):
+            text = r["text"]
+            if r["doc_id"] is not None and text is not None and zlib.crc32(str(r["doc_id"]).encode()) % 2 == 0:
+                text = text.replace("\n", "")
+            now, seen = merkle_leaf(r, text), []
+            for tree, at in ((trees[nth], i), (top, nth)):
+                for level in tree[:-1]:
+                    run = level[at // 3 * 3:at // 3 * 3 + 3]
+                    k = at % 3
+                    seen += run[:k] + run[k + 1:]
+                    now, at = digest(*run[:k], now, *run[k + 1:]), at // 3
+            out.append((r["doc_id"], trees[nth][0][i], trees[nth][-1][0], top[-1][0], digest(*seen), now, now == top[-1][0]))
+    return out
+
+
+def spelling(rows: list[tuple]) -> list[tuple]:
+    """(word, form, root, n, n_near, form_n) of (doc_id, text) rows."""
+    counts: dict[str, int] = {}
+    for name, text in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for run in re.findall("[A-Za-zÀ-ÿ]+", low):
+            h = zlib.crc32(f"{'' if name is None else name}:{run}".encode())
+            word = run if h % 97 else run[:h % len(run)] + run[h % len(run) + 1:]
+            counts[word] = counts.get(word, 0) + 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+    letters = sorted(set("".join(counts)))
+    near = {}
+    for w in counts:
+        edits = {w[:i] + c + w[i + 1:] for i in range(len(w)) for c in ["", *letters]} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        near[w] = [x for x in edits - {w} if x in counts]
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-counts[x], x), default=None)
+        if best is not None and counts[best] >= 2 * counts[w]:
+            form[w] = best
+    out = []
+    for w, n in counts.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), counts[form[w]] if w in form else None))
+    return out
+
+
+def unigram(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score) of (doc_id, text) rows."""
+    made, counts = [], {}
+    for name, text in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        words = [w for w in BLANK.split(low) if w] + ["\n"]
+        out = zlib.crc32(("" if name is None else str(name)).encode()) % 5 == 1
+        made.append((name, out, words))
+        if not out:
+            for w in words:
+                counts[w] = counts.get(w, 0) + 1
+    total, types = sum(counts.values()), len(counts)
+    return [(name, out, len(words), sum(w in counts for w in words), total,
+             sum(math.log10((counts.get(w, 0) + 0.5) / (total + 0.5 * (types + 1))) for w in words)) for name, out, words in made]

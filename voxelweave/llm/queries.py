@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.llm import bpe, exact, licenses, mixing, pii, quality, sharding, simhash, topk, wavelet
+from voxelweave.llm import bpe, exact, hmm, licenses, merkle, mixing, pii, quality, sharding, simhash, spelling, topk, wavelet
 from voxelweave.llm.sql import ORACLES
 
 
@@ -87,6 +87,21 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.tampered_manifest(_read(spark, sf_dir, "documents"))
+    text = {c: F.lower(F.hex(b)).alias(c) for c, b in (
+        ("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof_sha256", "proof"), ("folded_root", "folded"))}
+    return out.select(F.col("id").alias("doc_id"), *text.values(), "verified")
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scores(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,7 +110,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_mixture, op3_token_shards, op4_byte_bpe, op5_uniform_shuffle, op6_quality, op7_private_data,
-    op8_exact_dedup, op9_simhash, op10_top_k, pipeline,
+    op8_exact_dedup, op9_simhash, op10_top_k,
+    op11_merkle_manifest, op12_spelling_groups, op13_hmm_scores, pipeline,
 )}
 
 

@@ -85,4 +85,68 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 20"""
 
-ORACLES = {"op1_license_scan": LICENSES, "op2_mixture": _mixture(), "op8_exact_dedup": EXACT, "op10_top_k": TOP_K}
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII or Latin text, byte by byte and bit by bit."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {byte}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode({x})) || ':' || {x} END" for x in fields) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS r FROM (
+  SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf("CASE WHEN lost THEN replace(text, chr(10), '') ELSE text END")} AS changed
+  FROM (SELECT *, coalesce({_crc32('doc_id::VARCHAR')} % 2 = 0, false) AS lost FROM documents))),
+groups AS MATERIALIZED (SELECT source, min(r) AS g, row_number() OVER (ORDER BY min(r)) - 1 AS nth FROM docs GROUP BY source),
+leaves AS MATERIALIZED (SELECT docs.*, g, r - g AS pos FROM docs JOIN groups ON docs.source IS NOT DISTINCT FROM groups.source),
+nodes AS (
+  SELECT g, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT g, level, pos, digest, count(*) OVER (PARTITION BY g) AS n FROM (
+    SELECT g, level + 1 AS level, pos // 3 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM nodes WHERE n > 1 GROUP BY g, level, pos // 3)),
+subs AS MATERIALIZED (SELECT g, digest AS subroot, nth FROM nodes JOIN groups USING (g) WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, nth AS pos, subroot AS digest, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT level, pos, digest, count(*) OVER () AS n FROM (
+    SELECT level + 1 AS level, pos // 3 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM tops WHERE n > 1 GROUP BY level, pos // 3)),
+runs AS MATERIALIZED (SELECT g, level, pos // 3 AS run, list(digest ORDER BY pos) AS kids FROM nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL SELECT -1, level, pos // 3, list(digest ORDER BY pos) FROM tops WHERE n > 1 GROUP BY ALL),
+up AS (
+  SELECT r, g, 0 AS level, pos, changed AS digest, '' AS seen FROM leaves
+  UNION ALL
+  SELECT r, CASE WHEN kids IS NULL THEN -1 ELSE up.g END, CASE WHEN kids IS NULL THEN 0 ELSE up.level + 1 END, CASE WHEN kids IS NULL THEN nth ELSE pos // 3 END,
+    CASE WHEN kids IS NULL THEN digest ELSE sha256(array_to_string(kids[:pos % 3], '') || digest || array_to_string(kids[pos % 3 + 2:], '')) END,
+    CASE WHEN kids IS NULL THEN seen ELSE seen || array_to_string(kids[:pos % 3], '') || array_to_string(kids[pos % 3 + 2:], '') END
+  FROM up LEFT JOIN runs ON runs.g = up.g AND runs.level = up.level AND runs.run = up.pos // 3 LEFT JOIN groups ON groups.g = up.g
+  WHERE kids IS NOT NULL OR up.g >= 0),
+ends AS (SELECT r, arg_max(digest, level) AS folded, sha256(arg_max(seen, level)) AS proof FROM up WHERE g = -1 GROUP BY r)
+SELECT doc_id, leaf, subroot, root, proof AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaves JOIN ends USING (r) JOIN subs USING (g), (SELECT digest AS root FROM tops WHERE n = 1)"""
+
+SPELLING = f"""
+WITH RECURSIVE runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM runs),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS MATERIALIZED (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS other, y.n FROM cuts x JOIN cuts y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, min((-n, other)) AS b FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form,
+  CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL
+  SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) USING (word)"""
+
+ORACLES = {"op11_merkle_manifest": MERKLE, "op12_spelling_groups": SPELLING, "op1_license_scan": LICENSES, "op2_mixture": _mixture(), "op8_exact_dedup": EXACT, "op10_top_k": TOP_K}
