@@ -13,7 +13,7 @@ ids of words it has met.
 
 Defined cases: a null text counts as empty and holds the end id only; a null
 document id comes first; documents that repeat an id stand together, in order of
-their texts; an empty table gives no file and no rows.
+hashes of their texts; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ SHARD_BYTES = 24 << 20
 BLOCK = 512
 END = 2
 LATIN = "\u024f"  # the last letter of the Latin blocks without combining forms
+MIXED = "[\u0130\u0300-\u036f]"  # changes what comes before or after it when lowered or composed
 CUT = r"([A-Za-zÀ-ÖØ-öø-ɏ])([!-&(-/:-@\[-`{-~])"  # a Latin letter, then a mark other than the apostrophe
 
 
@@ -199,12 +200,13 @@ def _words(texts: pa.Array, special: pa.Array) -> pa.ListArray:
     """Words between blanks, in lower case, with a cut between a letter and a mark that follows it.
 
     These vocabularies lower their texts and cut there too, so fewer different
-    words come out. Texts with the name of a special token are only cut at blanks.
+    words come out. Texts with the name of a special token, with combining marks or
+    with a letter of two lower-case code points are only cut at blanks.
     """
     cut = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=CUT, replacement=r"\1 \2")
-    whole = np.zeros(len(texts), dtype=bool)
+    whole = pc.match_substring_regex(texts, MIXED).to_numpy(zero_copy_only=False)
     for name in special.to_pylist():
-        whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        whole = whole | pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
     return pc.ascii_split_whitespace(pc.if_else(pa.array(whole), texts, cut) if whole.any() else cut)
 
 
@@ -246,8 +248,11 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     path = path or new_path(spark, "tokens")
-    ordered = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "id").sortWithinPartitions("id", "text")
-    shards = ordered.mapInArrow(_writer(tokenizer, end), "n long, zeros array<long>, planes array<binary>, "
+    # Rows of one id may be many; equal rows may change places.
+    order = ["id", "__hash", "text", "__row"]
+    rows = rows.withColumns({"__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(max(1, -(-total // shard_bytes)), "id", "__hash", "__row")
+    shards = dealt.sortWithinPartitions(*order).select("id", "text").mapInArrow(_writer(tokenizer, end), "n long, zeros array<long>, planes array<binary>, "
                                 "blocks array<binary>, doc_ids array<long>, sizes array<long>")
     shards = shards.withColumn("shard", F.spark_partition_id())
     shards.write.option("compression", "uncompressed").parquet(path)
