@@ -11,8 +11,8 @@ A draw inverts the distribution function over all counts within twelve standard
 deviations (and 40) of the mean; what lies outside is below what a double holds.
 
 Defined cases: columns may hold nulls; a null row key is hashed like any other
-value; rows that agree in all ``keys`` stand in no particular order among
-themselves; all input columns stay, except that ``shard`` and ``slot`` replace
+value; rows that agree in all ``keys`` stand in order of a hash of all their
+columns (but maps), so only equal rows may change places; all input columns stay, except that ``shard`` and ``slot`` replace
 columns of these names; an empty table gives no rows.
 """
 
@@ -114,24 +114,25 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 16, seed: int = 7, keys:
     """All rows with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
     rows = rows.drop("shard", "slot")
     keys = [F.col(f"`{c}`") for c in (keys or rows.columns)]
+    every = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
     total = rows.count()
     sizes = [total // shards + (i < total % shards) for i in range(shards)]
     blocks = max(1, math.isqrt(total))
     hashed = rows.withColumns({
         "__block": F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks)),
-        "__first": F.xxhash64(F.lit(seed + 1), *keys), "__second": F.xxhash64(F.lit(seed + 2), *keys),
+        "__first": F.xxhash64(F.lit(seed + 1), *keys), "__second": F.xxhash64(F.lit(seed + 2), *keys), "__third": F.xxhash64(*every),
     })
     counts = hashed.groupBy(F.col("__block").alias("block")).agg(F.count("*").alias("n"))
     matrix = communication_matrix(counts, sizes, blocks, seed)
-    place = F.row_number().over(Window.partitionBy("__block").orderBy("__first", "__second"))
-    sent = hashed.withColumn("__place", place).join(matrix.withColumnRenamed("block", "__block"), "__block")
-    sent = sent.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("__place"))).cast("int"))
+    place = F.row_number().over(Window.partitionBy("__block").orderBy("__first", "__second", "__third"))
+    sent = hashed.withColumn("__place", place).join(matrix.select(F.col("block").alias("__block"), F.col("ends").alias("__ends")), "__block")
+    sent = sent.withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__place"))).cast("int"))
     # The second permutation, in pieces: ranks of the second hash are the ranks of its upper part, then of the rest.
     sent = sent.withColumn("__piece", F.pmod(F.shiftrightunsigned("__second", 32), F.lit(max(1, blocks // shards))))
     pieces = sent.groupBy("shard", "__piece").agg(F.count("*").alias("m"))
     before = F.sum("m").over(Window.partitionBy("shard").orderBy("__piece")) - F.col("m")
-    pieces = pieces.select("shard", "__piece", before.alias("before"))
-    inner = F.row_number().over(Window.partitionBy("shard", "__piece").orderBy("__second", "__first"))
+    pieces = pieces.select("shard", "__piece", before.alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("shard", "__piece").orderBy("__second", "__first", "__third"))
     return (sent.withColumn("__inner", inner).join(pieces, ["shard", "__piece"])
-            .withColumn("slot", F.col("before") + F.col("__inner") - 1)
+            .withColumn("slot", F.col("__before") + F.col("__inner") - 1)
             .select(*[f"`{c}`" for c in rows.columns], "shard", "slot"))
