@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from voxelweave.functions.draws import PRIME, uniform_sql
 from voxelweave.llm.licenses import TELLING, TEMPLATES, THRESHOLD, VOCABULARY, WORD, words_of
-from voxelweave.llm.mixing import DIMENSIONS, NONE, POWERS
+from voxelweave.llm.mixing import DIMENSIONS, NONE, POWERS, SHARE
 
 _LIST = "[" + ", ".join(f"'{w}'" for w in VOCABULARY) + "]"
 _TELL = "(?i)(?:^|[^A-Za-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in TELLING) + ")(?:$|[^A-Za-z0-9])"
@@ -64,9 +64,14 @@ WITH docs AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source,
 cells AS MATERIALIZED (SELECT {keys}, sum(tokens)::BIGINT AS tokens FROM docs GROUP BY ALL){targets},
 w0 AS MATERIALIZED (SELECT cells.*, t_source, t_lang, t_topic, tokens::DOUBLE AS weight FROM cells JOIN t_source USING (source)
   JOIN t_lang USING (lang) JOIN t_topic USING (topic) WHERE tokens > 0){steps},
-ratio AS MATERIALIZED (SELECT {keys}, weight * (SELECT sum(tokens)::DOUBLE FROM cells) / tokens AS multiplier FROM {last}),
+ratio AS MATERIALIZED (SELECT {keys}, tokens, weight * (SELECT sum(tokens)::DOUBLE FROM cells) / tokens AS multiplier FROM {last}),
+-- Cells by falling multiplier: the first so many are kept whole, the others share what is left.
+ordered AS (SELECT multiplier, tokens, sum(tokens * multiplier) OVER w AS rest, sum(tokens) OVER () - sum(tokens) OVER w AS kept
+  FROM ratio WINDOW w AS (ORDER BY multiplier ROWS UNBOUNDED PRECEDING)),
+factors AS (SELECT multiplier, rest, ({SHARE} * (SELECT sum(tokens) FROM ratio) - kept) / rest AS f FROM ordered),
+factor AS (SELECT arg_max(f, rest) AS f FROM factors WHERE f > 0 AND multiplier * f <= 1),
 cell AS (SELECT {keys}, coalesce(multiplier, 1.0e0) AS multiplier,
-  least(1.0e0, coalesce(multiplier, 1.0e0) / (SELECT max(multiplier) FROM ratio)) AS probability FROM cells LEFT JOIN ratio USING ({keys}))
+  least(1.0e0, coalesce(multiplier, 1.0e0) * (SELECT f FROM factor)) AS probability FROM cells LEFT JOIN ratio USING ({keys}))
 SELECT doc_id, topic, tokens, round(multiplier, 6) AS multiplier, round(probability, 6) AS probability,
   {uniform_sql(11, f"((coalesce(doc_id, 0) % {PRIME}) + {PRIME}) % {PRIME}")} < probability AS sampled
 FROM docs JOIN cell USING ({keys})"""
