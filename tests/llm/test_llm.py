@@ -50,6 +50,70 @@ def by_id(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
 
+def test_token_ids_of_mixed_letters():
+    """Letters that lower-case or compose with what stands beside them, next to marks."""
+    parts = ["İ", "i", "I", "J", "ǰ", "\u030c", "\u0307", "\u0301", "e", "É", "e\u0301", "ſ", "K", "Å", "A\u030a", "ß", "Σ", "ς", "Ω", "ﬁ", "Ǆ", "ŉ", "ΐ",
+             ",", ".", "'", "'s", "!", "$", "-", " ", "\n", "\u00a0", "1", "٣", "中", "가", "\u1100\u1161", "\U0001f600", "word", "Don't", "x"]
+    draw = random.Random(5)
+    some = ["İ,", "x İstanbul'da. İ.", "J\u030ca,"] + ["".join(draw.choice(parts) for _ in range(draw.randint(1, 12))) for _ in range(4000)]
+    ids, sizes = wavelet.encode(pa.array(some), WORD, 2)
+    tool, at = plain.word_tokenizer(), 0
+    for text, n, got in zip(some, sizes.tolist(), tool.encode_batch(some, add_special_tokens=False)):
+        assert ids[at:at + n].tolist() == [*got.ids, 2], ascii(text)
+        at += n
+
+
+def test_rows_of_one_id_go_to_several_shards(spark):
+    rows = spark.range(600).selectExpr("IF(id < 500, NULL, id) AS doc_id", "concat('word ', id % 7) AS text")
+    path = wavelet.write_shards(rows, WORD, shard_bytes=512)
+    sizes = [len(r["doc_ids"]) for r in wavelet.read_shards(spark, path).select("doc_ids").collect()]
+    assert len(sizes) > 4 and max(sizes) < 300 and sum(sizes) == 600
+    got = wavelet.read_tokens(spark, path).select("doc_id", "start", "n_tokens").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 500 + list(range(500, 600))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
+def test_shards_with_clashing_columns_and_ties(spark):
+    rows = spark.range(300).selectExpr("id % 3 AS doc_id", "id AS ends", "id AS before", "id AS block", "id AS m", "id AS shard", "map(1, id) AS tags")
+    got = sharding.shuffle_into_shards(rows, 4, keys=("doc_id",))
+    again = sharding.shuffle_into_shards(rows.repartition(5, "ends"), 4, keys=("doc_id",))
+    assert {"ends", "before", "block", "m", "tags", "slot"} <= set(got.columns)
+    place = lambda df: {r["ends"]: (r["shard"], r["slot"]) for r in df.collect()}
+    assert place(got) == place(again) and len(place(got)) == 300
+
+
+def test_one_rare_document_does_not_thin_the_mixture(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rare = spark.createDataFrame([(-1, "six words of a new source", "en", "rare", 25)], "doc_id long, text string, lang string, source string, n_chars long")
+    share = lambda df: mixing.mixture(df).agg(F.sum(F.col("tokens") * F.col("probability")) / F.sum("tokens")).first()[0]
+    plain_share, with_rare = share(docs), share(docs.unionByName(rare.select(*docs.columns)))
+    assert abs(plain_share - mixing.SHARE) < 1e-9 and abs(with_rare - mixing.SHARE) < 1e-9
+    before, after = (by_id(mixing.mixture(df)) for df in (docs, docs.unionByName(rare.select(*docs.columns))))
+    moved = [abs(after[k]["probability"] - before[k]["probability"]) for k in before]
+    assert max(moved) < 0.02
+
+
+def test_targets_that_cannot_hold_raise(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 5), ("b", "y", "p", 5)], "source string, lang string, topic string, tokens long")
+    want = lambda *v: spark.createDataFrame(list(v), "value string, target double")
+    with pytest.raises(ValueError, match="cannot all hold"):
+        mixing.rake(cells, {"source": want(("a", 0.5), ("b", 0.5)), "lang": want(("x", 0.9), ("y", 0.1)), "topic": want(("p", 1.0))})
+
+
+def test_the_codec_gives_its_memory_back(spark, docs):
+    from pyspark.sql import types as T
+
+    def held(batches):
+        yield from ()
+        for _ in batches:
+            yield pa.record_batch([pa.array([len(bpe._codecs)])], names=["n"])
+
+    few = docs.limit(20).repartition(1)
+    once = bpe.round_trip(few, BYTE, plain.public_tokenizers.PATTERN, remember=False)
+    assert once.count() == 20
+    assert all(r["n"] == 0 for r in few.mapInArrow(held, T.StructType([T.StructField("n", T.LongType())])).collect())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
@@ -412,8 +476,7 @@ def test_pipeline_against_plain_python(spark, docs):
     good = [r for r in rows if model.score(np.array([quality.features((r["text"] or "").encode())]))[0] >= 0.7]
     kept = plain.exact([(r["doc_id"], r["text"]) for r in good])
     good = [r for r in good if kept[r["doc_id"]][2]]
-    names = [r["doc_id"] for r in good]
-    groups = plain.components(names, [plain.fingerprint(r["text"], 5) for r in good], 3)
+    groups = plain.jaccard_components([r["text"] for r in good], 5)
     best = {}
     for r, g in zip(good, groups):
         key = (len(r["text"] or ""), -r["doc_id"])

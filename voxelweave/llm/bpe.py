@@ -243,8 +243,15 @@ def codec(path: str, pattern: str, most_units: int = UNITS) -> Codec:
     return _codecs[path, pattern, most_units]
 
 
+def forget() -> None:
+    """Gives back the memory of the worker's codecs."""
+    while _codecs:
+        _codecs.popitem()[1].db.close()
+    pa.default_memory_pool().release_unused()
+
+
 def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col: str | None, most_units: int = UNITS,
-         slice_bytes: int = SLICE) -> DataFrame:
+         slice_bytes: int = SLICE, remember: bool = True) -> DataFrame:
     keep = [f for f in docs.schema.fields if not (text_col and f.name in ("ids", "decoded")) and f.name != "decoded"]
     fields = list(keep)
     given = not text_col or any(f.name == text_col and isinstance(f.dataType, T.StringType) for f in keep)
@@ -269,6 +276,9 @@ def _run(docs: DataFrame, path: str, pattern: str, text_col: str | None, ids_col
             if not text_col or ids_col:
                 columns.append(pa.array(tool.decode(ids, sizes), pa.binary()))
             yield pa.record_batch(columns, names=[f.name for f in fields])
+        if not remember:
+            del tool
+            forget()
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """With texts, a few megabytes at a time."""
@@ -292,10 +302,11 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Da
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", most_units: int = UNITS,
-               slice_bytes: int = SLICE) -> DataFrame:
+               slice_bytes: int = SLICE, remember: bool = True) -> DataFrame:
     """Adds ``ids`` and, decoded from them, ``decoded``, in one pass over the texts.
 
     A worker remembers up to ``most_units`` pieces and takes texts of up to
-    ``slice_bytes`` together; neither changes the result.
+    ``slice_bytes`` together; neither changes the result. Unless it is to
+    ``remember``, it gives its memory back at the end of each task.
     """
-    return _run(docs, path, pattern, text_col, "ids", most_units, slice_bytes)
+    return _run(docs, path, pattern, text_col, "ids", most_units, slice_bytes, remember)
