@@ -167,3 +167,39 @@ def test_affine_leaves_cases_alone_that_draw_off(spark):
     out = augment.affine(rows, augment.affine_matrix(params, cases), ["v"], ["seg"])
     got = {(r["case_id"], r["x"]): (r["v"], r["seg"]) for r in out.collect()}
     assert got == {(1, 0): (1.0, 1), (1, 1): (2.0, 2), (1, 2): (0.0, 0), (2, 0): (0.0, 0), (2, 1): (1.0, 1), (2, 2): (2.0, 2)}
+
+
+def test_a_case_in_pieces_is_scored_once(spark, tmp_path):
+    """Pieces over batches and restarts; repeated counts and late rows change nothing; a timer ends the wait."""
+    from voxelweave.streaming import pieces
+
+    table = cases(spark, 3)
+    full = [voxel for x in range(4, 9) for voxel in [(x, y, z) for y in range(4, 9) for z in range(4, 9)]]
+    refs = spark.createDataFrame([(c, *v, 1) for c in range(3) for v in full], "case_id long, x long, y long, z long, ref_id long")
+    landing, parts, out, one, two = (str(tmp_path / n) for n in ("landing", "parts", "out", "one", "two"))
+    schema = "case_id long, x long, y long, z long, pred_id long, declared long, ts timestamp"
+
+    def land(minute, rows):
+        at = datetime(2024, 1, 1, minute // 60, minute % 60)
+        spark.createDataFrame([(*r, at) for r in rows], schema).coalesce(1).write.mode("append").parquet(landing)
+
+    def run():
+        monitor.finish(pieces.count_arrivals, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing), refs, parts, one)
+        monitor.finish(pieces.score_closed, pieces.arrived_pieces(spark, parts), refs, table, out, two, patience_ms=1_800_000, delay="1 minute")
+        return {r["case_id"]: r for r in spark.read.parquet(out).collect()}
+
+    land(0, [(0, *v, 7, 125) for v in full[:40]] + [(1, *v, 7, 25) for v in full[:25]])
+    land(5, [(0, *v, 7, 125) for v in full[40:60]])
+    got = run()
+    assert set(got) == {1} and got[1]["complete"] and got[1]["TP"] == 1 and got[1]["pieces"] == 1
+    # The second batch's counts again, as after a failure between the write and the commit.
+    spark.read.schema(pieces.PIECES).parquet(f"{parts}/part=1").write.mode("append").parquet(f"{parts}/part=1")
+    land(10, [(0, *v, 7, 125) for v in full[60:]] + [(2, *v, 7, 999) for v in full[:50]])
+    got = run()
+    assert set(got) == {0, 1} and got[0]["complete"] and got[0]["pieces"] == 3 and got[0]["DSC"] == 1.0 and got[0]["FP"] == got[0]["FN"] == 0
+    land(15, [(0, 1, 1, 1, 9, 125)])  # late: the case is closed
+    land(20, [(2, *v, 7, 999) for v in full[50:60]])
+    assert set(run()) == {0, 1}
+    land(90, [(1, 1, 1, 2, 9, 25)])  # the time goes on, and with it the wait for case 2 ends
+    got = run()
+    assert spark.read.parquet(out).count() == 3 and not got[2]["complete"] and got[2]["TP"] == 1 and 0 < got[2]["DSC"] < 1
