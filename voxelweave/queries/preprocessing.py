@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelweave import fixtures as fx
-from voxelweave.operators import geometry, intensity, resample, sizes, targets
+from voxelweave.operators import geometry, intensity, resample, sizes, spline, targets
 from voxelweave.operators.confluence import confluence_classes
 from voxelweave.plans import preprocess as prep
 from voxelweave.queries.common import STEPS, cc_sql, rounded
@@ -125,6 +125,40 @@ SELECT case_id, wx.t x, wy.t y, wz.t z, round(sum(intensity * wx.w * wy.w * wz.w
   JOIN wx ON x = wx.s JOIN wy ON y = wy.s JOIN wz ON z = wz.s GROUP BY ALL""", "maps"))(_linear)
 
 
+def _spline_sql(coarse: str = "-1") -> str:
+    """The pipeline of three axes, each with the weights of all voxels for each target; the filter is cut where it ends for doubles."""
+    pole = "(sqrt(3.0e0) - 2)"
+    ctes = [f"co AS (SELECT case_id, {coarse} AS coarse FROM cases)",
+            f"taps AS (SELECT j, -6 * {pole} / (1 - {pole} * {pole}) * pow({pole}, abs(j)) h FROM unnest(range(-40, 41)) u(j))"]
+    last = "(SELECT case_id, x, y, z, intensity FROM dense JOIN cases USING (case_id))"
+    for i, (a, m) in enumerate(SHAPE.items()):
+        at = f"least(greatest((t + 0.5e0) * 16 / {m} - 0.5e0, 0), 15)"
+        ctes.append(f"""wa{a} AS (SELECT t, least(greatest(k + j, 0), 15) s, sum(h * CASE WHEN abs(p - k) < 1 THEN 2.0e0 / 3 - pow(p - k, 2) + pow(abs(p - k), 3) / 2
+    ELSE pow(greatest(2 - abs(p - k), 0), 3) / 6 END) w FROM (SELECT t, {at} p, floor({at}) + d k FROM unnest(range(0, {m})) a(t), unnest([-1, 0, 1, 2]) b(d)), taps GROUP BY 1, 2),
+near{a} AS (SELECT t, floor((t + 0.5e0) * 16 / {m}) s, 1.0e0 w FROM unnest(range(0, {m})) a(t)),
+all{a} AS (SELECT false c, * FROM wa{a} UNION ALL SELECT true, * FROM near{a})""")
+        rest = ", ".join(f"v.{b}" for b in SHAPE if b != a)
+        ctes.append(f"""pass{a} AS MATERIALIZED (SELECT v.case_id, w.t {a}, {rest}, sum(v.intensity * w.w) intensity FROM {last} v JOIN co USING (case_id)
+  JOIN all{a} w ON w.c = (co.coarse = {i}) AND w.s = v.{a} GROUP BY v.case_id, w.t, {rest})""")
+        last = f"pass{a}"
+    return fx.duck(", " + ", ".join(ctes) + f" SELECT case_id, x, y, z, round(intensity, 6) + 0.0e0 intensity FROM {last}", "dense", "cases")
+
+
+#: A case's slices are thick if its number says so; the tables have no such spacing.
+_THICK = "case_id % 4 - 1"
+
+
+@query("resample_spline", _spline_sql())
+def resample_spline(spark, sf):
+    return rounded(spline.cubic(_sized(spark, sf, fx.dense(spark, sf).select("case_id", "x", "y", "z", "intensity")), ["intensity"]))
+
+
+@query("resample_spline_coarse", _spline_sql(_THICK))
+def resample_spline_coarse(spark, sf):
+    rows = _sized(spark, sf, fx.dense(spark, sf).select("case_id", "x", "y", "z", "intensity"))
+    return rounded(spline.cubic(rows, ["intensity"], F.expr(_THICK)))
+
+
 @query("image_statistics", fx.duck("""SELECT case_id, round(avg(intensity), 6) mean, round(stddev_samp(intensity), 6) sd,
   round(min(intensity), 6) low, round(max(intensity), 6) high FROM maps GROUP BY 1""", "maps"))
 def image_statistics(spark, sf):
