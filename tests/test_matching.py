@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import brute
 from voxelweave.operators import metrics, overlap, sizes
+from voxelweave.plans import evaluate as ev
 from voxelweave.plans.evaluate import evaluate
 
 VOX = "case_id bigint, x bigint, y bigint, z bigint, ref_id bigint, pred_id bigint"
@@ -156,3 +157,30 @@ def test_voxels_without_case_or_outside_the_grid_stop_the_evaluation(spark):
     for row, fault in (((2, 0, 0, 0, 1, 1), "no case"), ((1, 0, 8, 0, 1, 1), "outside")):
         with pytest.raises(ValueError, match=fault):
             evaluate(spark.createDataFrame([row], VOX), cases(spark, 2))
+
+
+def test_variants_share_their_references(spark):
+    """Several models at once give what each gives alone, also for large ids and for cases without predictions."""
+    rng = np.random.default_rng(8)
+    volumes = []
+    for i in range(4):
+        ref = np.zeros((12, 10, 8), dtype=np.int64)
+        for k in range(1, 5):
+            x, y, z = (int(rng.integers(0, n - 3)) for n in ref.shape)
+            ref[x:x + 4, y:y + 4, z:z + (2 if k == 4 else 4)] = k
+        volumes.append(ref)
+    far = 2**62
+    shift = lambda df: df.withColumn("case_id", F.when(F.col("case_id") == 3, far).otherwise(F.col("case_id")))
+    table = shift(cases(spark, 4, 12))
+    models = {"a": [np.roll(v, 1, 0) for v in volumes], "b": [np.where(v % 2, v, 0) for v in volumes], "none": [v * 0 for v in volumes]}
+    refs = shift(voxels(spark, [(v, v) for v in volumes])).select("case_id", "x", "y", "z", "ref_id")
+    parts = [shift(voxels(spark, list(zip(preds, volumes)))).select("case_id", "x", "y", "z", "pred_id").withColumn("model", F.lit(m))
+             for m, preds in models.items()]
+    together = ev.evaluate_variants(parts[0].unionByName(parts[1]).unionByName(parts[2]), refs, table, by=("model",))
+    for m, preds in models.items():
+        alone = ev.evaluate(shift(voxels(spark, list(zip(preds, volumes)))), table)
+        for name in ("metrics", "pred_matches", "ref_matches", "matches"):
+            got = getattr(together, name).filter(F.col("model") == m).drop("model")
+            want = getattr(alone, name)
+            key = lambda r: repr([round(x, 9) if isinstance(x, float) else x for x in r])
+            assert sorted(map(key, got.select(*want.columns).collect())) == sorted(map(key, want.collect())), (m, name)

@@ -40,6 +40,11 @@ def evaluate(voxels: DataFrame, cases: DataFrame, min_volume: float = 14, min_ax
     kept_refs = table.filter("ref_id > 0").select("case_id", "ref_id").distinct()
     refs = voxels.filter("ref_id > 0").join(kept_refs, ["case_id", "ref_id"], "left_semi")
     confluent = materialize(confluent_instances(refs, cases, tuple(metrics.VARIANTS), side), "confluent")
+    return _scored(table, cases, confluent, threshold)
+
+
+def _scored(table: DataFrame, cases: DataFrame, confluent: DataFrame, threshold: float) -> Evaluation:
+    """Metrics and lesion tables from the written contingency table and the confluent references."""
     pairs = materialize(overlap.overlap_pairs(table), "pairs")
     matches = materialize(overlap.best_pred_per_ref(overlap.best_ref_per_pred(pairs, threshold)), "matches")
     counts = metrics.case_table(cases, table, matches)
@@ -55,34 +60,69 @@ def evaluate(voxels: DataFrame, cases: DataFrame, min_volume: float = 14, min_ax
     )
 
 
-def evaluate_variants(voxels: DataFrame, cases: DataFrame, by: tuple[str, ...] = ("model", "postprocessor"), **options) -> Evaluation:
-    """Evaluates the predictions of several models and post-processors in one job.
+def evaluate_variants(predictions: DataFrame, references: DataFrame, cases: DataFrame, by: tuple[str, ...] = ("model", "postprocessor"),
+                      min_volume: float = 14, min_axis: float = 3, threshold: float = 0.1, side: int = bricks.SIDE) -> Evaluation:
+    """Evaluates the predictions of several models and post-processors against the same references.
 
-    ``voxels`` also holds the columns ``by``, and for each of their values all
-    reference voxels. Every case is scored for every variant, also where a
-    variant has no voxel of it. The results carry ``by``. Inside, a variant's
-    case is a case of its own, numbered case_id * variants + variant.
+    ``predictions`` holds case_id, x, y, z, pred_id and the columns ``by``;
+    ``references`` every reference voxel once. Sizes, the removal of too-small
+    references and their confluence are worked out once; the predicted voxels of
+    all variants meet the references in one join, and what no prediction met
+    follows from the sizes. So neither the scans of the references nor the brick
+    passes depend on the number of variants. Every case is scored for every variant
+    that ``predictions`` names, also where a variant has no voxel of it (a row
+    whose pred_id is 0 or NULL names a variant). The results carry ``by``. Inside,
+    a variant's case is a case of its own with a number of its own.
     """
-    names = voxels.select(*by).distinct()
+    refs = references.filter("ref_id > 0").select("case_id", *COORDS, "ref_id")
+    inst = materialize(refs.groupBy("case_id", "ref_id").agg(F.count("*").alias("n"), *overlap.bounds()), "references")
+    integrity.require_grid(inst, cases)
+    small = sizes.size_verdicts(inst, cases, min_volume, min_axis).filter("too_small").select("case_id", "ref_id")
+    kept = materialize(inst.join(small, ["case_id", "ref_id"], "left_anti"), "kept-references")
+    whole = refs.join(kept.select("case_id", "ref_id"), ["case_id", "ref_id"], "left_semi")
+    confluent = materialize(confluent_instances(whole, cases, tuple(metrics.VARIANTS), side), "confluent")
+
+    names = predictions.select(*by).distinct()
     numbered = rank_in_group(names, [], [F.col(c) for c in by], [F.lit(0)], "__variant")
     numbered = materialize(numbered.withColumn("__variant", F.col("__variant") - 1), "variants")
     total = max(numbered.count(), 1)
-    own = (F.col("case_id") * total + F.col("__variant")).alias("case_id")
-    same = [F.col(a).eqNullSafe(F.col(f"__v_{a}")) for a in by]
-    renamed = numbered.select("__variant", *[F.col(a).alias(f"__v_{a}") for a in by])
-    tagged = voxels.join(renamed, same).select(own, *COORDS, "ref_id", "pred_id")
-    each = cases.withColumn("__variant", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
-    each = each.select(own, *[F.col(c) for c in cases.columns if c != "case_id"])
-    found = evaluate(tagged, each, **options)
+    places = rank_in_group(cases.select("case_id"), [], [F.col("case_id")], [F.floor(F.col("case_id") / 4096)], "__no")
+    places = materialize(places, "case-numbers")
+    own = (F.col("__no") * total + F.col("__variant")).alias("case_id")
+
+    zero, keys = F.lit(0).cast("long"), [*by, "case_id"]
+    met = predictions.filter("pred_id > 0").select(*keys, *COORDS, "pred_id").join(refs, ["case_id", *COORDS], "left")
+    met = overlap.contingency(met.withColumn("ref_id", F.coalesce("ref_id", zero)), tuple(keys))
+    met = materialize(met, "met")
+    integrity.require_grid(met, cases)
+    # Too-small references count as background from here on.
+    met = met.join(kept.select("case_id", "ref_id", F.lit(True).alias("__kept")), ["case_id", "ref_id"], "left")
+    met = met.withColumn("ref_id", F.when(F.col("__kept"), F.col("ref_id")).otherwise(zero))
+    met = met.groupBy(*keys, "pred_id", "ref_id").agg(F.sum("n").alias("n"), *overlap.merged_bounds())
+    same = [F.col(c).eqNullSafe(F.col(f"__v_{c}")) for c in by]
+    renamed = numbered.select("__variant", *[F.col(c).alias(f"__v_{c}") for c in by])
+    found = ["pred_id", "ref_id", "n", *[f"{end}_{a}" for a in COORDS for end in ("lo", "hi")]]
+    met = materialize(met.join(renamed, same).join(places, "case_id").select("__no", "__variant", *found), "met-numbered")
+
+    every = F.explode(F.sequence(zero, F.lit(total - 1).cast("long"))).alias("__variant")
+    rest = kept.join(places, "case_id").select("*", every)
+    covered = met.filter("ref_id > 0").groupBy("__no", "__variant", "ref_id").agg(F.sum("n").alias("__met"))
+    rest = rest.join(covered, ["__no", "__variant", "ref_id"], "left").withColumns(
+        {"n": F.col("n") - F.coalesce("__met", zero), "pred_id": zero})
+    # The remainder carries the box of its whole reference.
+    table = materialize(met.unionByName(rest.select("__no", "__variant", *found)).select(own, *found), "contingency")
+    each = cases.join(places, "case_id").select("*", every).select(own, *[F.col(c) for c in cases.columns if c != "case_id"])
+    shared = confluent.join(places, "case_id").select("*", every).select(own, "tier", "conn", "ref_id")
+    result = _scored(table, materialize(each, "variant-cases"), materialize(shared, "variant-confluent"), threshold)
 
     def named(df: DataFrame, key: str = "case_id") -> DataFrame:
-        variant = F.pmod(F.col(key), F.lit(total))
-        split = df.withColumn("__variant", variant).withColumn(key, F.expr(f"({key} - __variant) div {total}"))
-        return split.join(numbered, "__variant").select(*by, *df.columns)
+        split = df.withColumns({"__variant": F.pmod(F.col(key), F.lit(total)), "__no": F.expr(f"{key} div {total}")}).drop(key)
+        back = split.join(places.withColumnRenamed("case_id", key), "__no").join(numbered, "__variant")
+        return back.select(*by, *df.columns)
 
     return Evaluation(
-        metrics=named(found.metrics), pred_matches=named(found.pred_matches, "patient_id"),
-        ref_matches=named(found.ref_matches, "patient_id"), matches=named(found.matches), contingency=named(found.contingency),
+        metrics=named(result.metrics), pred_matches=named(result.pred_matches, "patient_id"),
+        ref_matches=named(result.ref_matches, "patient_id"), matches=named(result.matches), contingency=named(result.contingency),
     )
 
 

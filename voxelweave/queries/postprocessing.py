@@ -307,8 +307,8 @@ def evaluate_two_predictors(spark, sf):
     """Two post-processors of one model scored in one job."""
     cases, v = fx.cases(spark, sf), fx.voxels(spark, sf)
     pred = pp.connected(fx.maps(spark, sf), cases).withColumnRenamed("inst", "pred_id")
-    first = overlap.align(pred, v.filter("ref_id > 0").drop("pred_id")).withColumn("postprocessor", F.lit("CC"))
-    both = first.unionByName(v.select(*first.columns[:-1]).withColumn("postprocessor", F.lit("stored"))).withColumn("model", F.lit("m"))
-    found = ev.evaluate_variants(materialize(both, "variants"), cases).metrics
+    at = ["case_id", "x", "y", "z", "pred_id"]
+    both = pred.select(*at, F.lit("CC").alias("postprocessor")).unionByName(v.select(*at, F.lit("stored").alias("postprocessor")))
+    found = ev.evaluate_variants(both.withColumn("model", F.lit("m")), v.select("case_id", "x", "y", "z", "ref_id"), cases).metrics
     return found.select("postprocessor", "case_id", F.col("TP").alias("tp"), F.col("FP_CLU").alias("removed"),
                         F.col("Pred_Lesion_Count").alias("n_pred"))
