@@ -184,3 +184,25 @@ def test_variants_share_their_references(spark):
             want = getattr(alone, name)
             key = lambda r: repr([round(x, 9) if isinstance(x, float) else x for x in r])
             assert sorted(map(key, got.select(*want.columns).collect())) == sorted(map(key, want.collect())), (m, name)
+
+
+def test_python_metrics_over_bricks(spark):
+    """A median distance keeps its values in a histogram; parts, bricks and absent cases change nothing."""
+    from voxelweave.operators import custom
+
+    metric = custom.PythonMetric(
+        "middle", tuple([0.0] * 64), lambda at: np.bincount(at["x"][at["ref_id"] > 0], minlength=64).astype(float),
+        lambda v, case: None if v.sum() == 0 else float(np.searchsorted(np.cumsum(v), v.sum() / 2)) / case["nx"])
+    custom.register(metric)
+    rng = np.random.default_rng(3)
+    volumes = [(rng.random((40, 6, 5)) < 0.3).astype(int) for _ in range(3)]
+    df = voxels(spark, [(v, v) for v in volumes])
+    table = cases(spark, 4, 40)
+    for side in (4, 64):
+        got = {r["case_id"]: r["middle"] for r in custom.score(df, table, ["middle"], side=side).collect()}
+        want = {}
+        for i, v in enumerate(volumes):
+            at = np.bincount(np.nonzero(v)[0], minlength=64)
+            want[i] = float(np.searchsorted(np.cumsum(at), at.sum() / 2)) / 40
+        assert got == want | {3: None}
+    del custom.METRICS["middle"]

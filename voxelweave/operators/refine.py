@@ -35,7 +35,12 @@ def refine(voxels: DataFrame, cases: DataFrame, inst: str = "inst", min_volume:
     keeps its id; further ones follow after all ids, in order of instance and
     size. Only component-sized tables are ordered, never voxels.
     """
-    rooted = materialize(components(voxels.filter(F.col(inst) > 0), cases, 6, ("case_id", inst), brick), "rooted")
+    return refine_rooted(components(voxels.filter(F.col(inst) > 0), cases, 6, ("case_id", inst), brick), cases, inst, min_volume, min_axis)
+
+
+def refine_rooted(rooted: DataFrame, cases: DataFrame, inst: str = "inst", min_volume: float = 0, min_axis: float = 0) -> DataFrame:
+    """:func:`refine` for voxels whose component inside their instance is known by ``root``."""
+    rooted = materialize(rooted, "rooted")
     table = materialize(sizes.size_verdicts(component_table(rooted, ("case_id", inst)), cases, min_volume, min_axis), "sizes")
     place = F.struct((-F.col("n")).alias("neg_n"), F.col("root").alias("root"))
     per_inst = table.groupBy("case_id", inst).agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelweave.operators import bricks, centres, stencil
 from voxelweave.operators.components import components, number_components
 from voxelweave.operators.overlap import COORDS
-from voxelweave.operators.refine import refine
+from voxelweave.operators.refine import refine, refine_rooted
 from voxelweave.session import materialize
 
 SEMANTIC_THRESHOLD = 0.5
@@ -32,8 +32,8 @@ def connected(maps: DataFrame, cases: DataFrame, threshold: float = SEMANTIC_THR
               min_axis: float = 0, side: int = bricks.SIDE) -> DataFrame:
     """CC: every connected component of the mask is an instance."""
     rooted = components(foreground(maps, threshold), cases, 6, side=side)
-    labelled = number_components(rooted, out="inst").select("case_id", *COORDS, "inst")
-    return refine(labelled, cases, "inst", min_volume, min_axis, side)
+    # An instance is one component, so there is nothing to split again.
+    return refine_rooted(number_components(rooted, out="inst"), cases, "inst", min_volume, min_axis)
 
 
 def by_offsets(maps: DataFrame, cases: DataFrame, threshold: float = SEMANTIC_THRESHOLD, heat_threshold: float = 0.1,

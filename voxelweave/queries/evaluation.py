@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxelweave import fixtures as fx
-from voxelweave.operators import metrics, overlap, sizes
+from voxelweave.operators import custom, metrics, overlap, sizes
 from voxelweave.operators.components import component_table, components
 from voxelweave.operators.confluence import confluence_classes, confluent_instances, dilate
 from voxelweave.plans import evaluate as ev
@@ -340,3 +341,38 @@ def postprocessor_choice(spark, sf):
     tail = F.when(F.col("c_nationkey") % 2 == 0, "_SEMANTIC").otherwise("")
     models = fx.table(spark, sf, "customer").select(F.concat("c_mktsegment", tail).alias("model")).distinct()
     return ev.postprocessors_for(models)
+
+
+def _kappa(v, case):
+    """Cohen's kappa of both masks over the whole grid; none where both are empty or full."""
+    n = case["nx"] * case["ny"] * case["nz"]
+    both, pred, ref = v
+    chance = (pred * ref + (n - pred) * (n - ref)) / n**2
+    return None if chance == 1 else ((n - pred - ref + 2 * both) / n - chance) / (1 - chance)
+
+
+def _masks(at):
+    pred, ref = at["pred_id"] > 0, at["ref_id"] > 0
+    return np.array([(pred & ref).sum(), pred.sum(), ref.sum()])
+
+
+def _slices(at):
+    """First and last (negated) slice in which the masks meet."""
+    z = at["z"][(at["pred_id"] > 0) & (at["ref_id"] > 0)]
+    return np.array([z.min(), -z.max()]) if len(z) else np.full(2, np.inf)
+
+
+custom.register(custom.PythonMetric("kappa", (0.0, 0.0, 0.0), _masks, _kappa))
+custom.register(custom.PythonMetric(
+    "slices_met", (float("inf"), float("inf")), _slices, lambda v, case: None if np.isinf(v[0]) else -v[1] - v[0] + 1, np.minimum))
+
+
+@query("python_metrics", fx.duck(""", c AS (SELECT case_id, nx * ny * nz::DOUBLE n, count(*) FILTER (WHERE pred_id > 0 AND ref_id > 0)::DOUBLE b,
+  count(*) FILTER (WHERE pred_id > 0)::DOUBLE p, count(*) FILTER (WHERE ref_id > 0)::DOUBLE r,
+  max(z) FILTER (WHERE pred_id > 0 AND ref_id > 0) - min(z) FILTER (WHERE pred_id > 0 AND ref_id > 0) + 1 met
+  FROM cases LEFT JOIN gappy USING (case_id) GROUP BY case_id, nx, ny, nz),
+k AS (SELECT *, (p * r + (n - p) * (n - r)) / (n * n) e FROM c)
+SELECT case_id, round(CASE WHEN e <> 1 THEN ((n - p - r + 2 * b) / n - e) / (1 - e) END, 6) + 0.0e0 kappa, met::DOUBLE slices_met FROM k""", "vox", "gappy", "cases"))
+def python_metrics(spark, sf):
+    """Two metrics that a user wrote in Python, one merged by sums and one by minima."""
+    return rounded(custom.score(fx.gappy(spark, sf), fx.cases(spark, sf), ["kappa", "slices_met"], side=8))
