@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -310,6 +311,55 @@ def test_private_data(spark, texts):
         assert {f"{k}:{a}:{b}" for a, _, k, b in plain.private(texts[name] or "")} <= set(r["spans"].split(","))
 
 
+def plain_stretches(text):
+    """Every stretch of whole digit groups with 7 to 19 digits in each run, by trying all."""
+    out = set()
+    for run in re.finditer(r"(?<![0-9])\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}", text):
+        groups = list(re.finditer("[0-9]+", run.group()))
+        for i, g in enumerate(groups):
+            start = 0 if i == 0 else g.start() - (run.group()[g.start() - 1] in "+(")
+            for h in groups[i:]:
+                if 7 <= sum(c.isdigit() for c in run.group()[start:h.end()]) <= 19:
+                    out.add((run.start() + start, run.start() + h.end()))
+    return out
+
+
+def test_stretches_of_digits(spark):
+    draw = random.Random(9)
+    some = ["7536784127813050 4845168114407329", "x +1 (499) 555-6503 y", "1" * 300, "1 " * 300, "12-" * 100, "(555) 123-4567", "1.2.3.4.5.6.7.8.9" * 20]
+    some += ["".join(draw.choice("0123456789  -.(+/") for _ in range(draw.randint(10, 400))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(some)), "i int, text string")
+    got = df.select("i", pii.stretches(F.col("text"), pii.found(F.col("text"), pii.LOOSE_NUMBER, F.lit(True)), F.array().cast(pii.BASE)).alias("s")).collect()
+    for r in got:
+        assert {(x["start"], x["end"]) for x in r["s"]} == plain_stretches(some[r["i"]]), some[r["i"]]
+        assert all(some[r["i"]][x["start"]:x["end"]] == x["value"] for x in r["s"])
+        assert all(x["before"] == some[r["i"]][max(0, x["start"] - 16):x["start"]] and x["after"] == some[r["i"]][x["end"]:x["end"] + 1] for x in r["s"])
+
+
+PLANTED = {  # text -> spans that must be added
+    "pay with 7536784127813050 4845168114407329 today": ["card:9:25", "card:26:42"],
+    "pay with 2353820953013749 4550997810720808 today": ["card:26:42"],
+    "write to jane.doe [at] mail [dot] example [dot] com soon": ["email:9:51"],
+    "write to jane(at)mail(dot)com soon": ["email:9:29"],
+    "ring (555) 123-4567 at noon": ["phone:5:19"],
+    "the year 1999 and 2024-01-15 and 3.14159265 and 1234567890123": [],
+    "order 2353820953013749 of 4711": [], "jane at mail dot com": [], "version 1.2.3 build 20240115": [],
+}
+
+
+def test_added_private_data(spark, docs):
+    """Spans that the base patterns miss are added, whatever else the corpus holds."""
+    planted = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(PLANTED)], "doc_id long, text string")
+    plus = spark.createDataFrame([(10**6 + i, f"order ({i % 900 + 100}) {i * 7 % 900 + 100}-{i * 37 % 9000 + 1000} came") for i in range(400)], "doc_id long, text string")
+    few = docs.select("doc_id", "text")
+    for corpus in (few, few.unionByName(plus)):
+        rows = by_id(pii.private_spans(corpus.unionByName(planted)), "id")
+        listed = spark.createDataFrame([(k, r["added"]) for k, r in rows.items() if k < 0], "id long, added array<struct<start:long,kind:int,end:long>>")
+        for r in listed.select("id", pii.as_text(F.col("added")).alias("t")).collect():
+            text = list(PLANTED)[-1 - r["id"]]
+            assert (r["t"].split(",") if r["t"] else []) == PLANTED[text], text
+
+
 def test_private_data_of_odd_rows(odd):
     rows = pii.private_spans(odd.withColumn("base", F.lit(1))).withColumn("listed", pii.as_text(F.col("base"))).collect()
     assert len(rows) == len(ODD) + 2
