@@ -244,6 +244,21 @@ def test_byte_pairs_of_odd_texts():
     assert codec.decode(ids, sizes, step=100) == [x.encode() for x in some]
 
 
+def test_byte_pairs_of_long_words():
+    """Words above the size that is cut into pieces, of few letters and of repeats, and many different words at once."""
+    codec, tool, draw = bpe.codec(BYTE, public_tokenizers.PATTERN), plain.byte_encoding(), random.Random(3)
+    words = ["a" * 5001, "ab" * 3001, "abc" * 1500, "ha" * 4000 + "x", "aab" * 900 + "aaaa" * 700, "the" * 2000, "日本" * 900]
+    for letters in ("acgt", "ab", "eations", "日本語中文", "aA", "xyzzy" * 3 + "q"):
+        words += ["".join(draw.choice(letters) for _ in range(draw.randint(bpe.PIECES + 1, 6000))) for _ in range(6)]
+        words += ["".join(draw.choice(["ing", "ation", letters[0]]) for _ in range(1500))]
+    words += ["".join(draw.choice("acgt") for _ in range(120_000))]
+    for word, ids in zip(words, codec.merge([w.encode() for w in words])):
+        assert np.frombuffer(ids, "<i4").tolist() == tool._encode_single_piece(word), (word[:40], len(word))
+    many = ["".join(draw.choice("acgt") for _ in range(250)) for _ in range(2000)]
+    for word, ids in zip(many, codec.merge([w.encode() for w in many])):
+        assert np.frombuffer(ids, "<i4").tolist() == tool.encode_ordinary(word)
+
+
 def test_byte_pair_columns(odd):
     out = bpe.decode(bpe.encode(odd.withColumn("ids", F.lit("old")), BYTE, public_tokenizers.PATTERN), BYTE, public_tokenizers.PATTERN)
     assert out.columns == [*odd.columns, "ids", "decoded"]

@@ -11,6 +11,13 @@ piece is merged once while it stays in the bounded memory. Words above
 ``LONG_WORD`` bytes contract all places of the lowest pair in one step where no
 merge of the new token ranks below it, which gives the same result.
 
+Words above ``PIECES`` bytes are cut into pieces that are merged on their own.
+Then the tokens around each cut are merged anew as one word. A run of tokens is the
+result for its bytes if each two neighbours are the result for theirs; so a cut is
+closed if the first and last token of what was merged anew stay as they were.
+Otherwise more tokens on both sides are taken in. Queries take words by the rows
+that all their steps can have, so memory does not grow with words.
+
 Defined cases: a null text counts as empty and gives no ids and no bytes; an
 empty table gives no rows; all input columns stay, so ``ids`` and ``decoded``
 replace columns of these names. Special tokens are ordinary text.
@@ -33,7 +40,9 @@ from pyspark.sql import types as T
 from voxelweave.llm.words import Memory, for_texts, slices
 
 LONG_WORD = 256
+PIECES, PIECE, AROUND = 2048, 64, 32  # bytes
 AT_ONCE = 16_384  # words in one query
+ROWS_AT_ONCE = 6_000_000  # rows of all steps of a query
 UNITS = 800_000  # pieces that a worker remembers
 SLICE = 8_000_000  # bytes of text at a time
 STEPS = 48  # contractions of long words in one query; what is left goes into the next
@@ -66,7 +75,7 @@ WITH RECURSIVE s AS (
           SELECT *, coalesce(r = best, false) AS here FROM (
             SELECT *, min(r) OVER (PARTITION BY w) AS best FROM (
               SELECT x.w, x.p, x.t, x.step, m.r, m.safe
-              FROM (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY p) AS u FROM s WHERE step < {STEPS}) x
+              FROM (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY p) AS u FROM s WHERE step < {{steps}}) x
               LEFT JOIN merges m ON m.pair = (x.t::BIGINT << {SHIFT}) | x.u))))))
   WHERE best IS NOT NULL AND gone IS NOT TRUE
 )
@@ -84,6 +93,8 @@ class Codec:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
+        self.lengths = np.zeros(max(self.ranks.values()) + 1, dtype=np.int64)
+        self.lengths[list(self.ranks.values())] = list(map(len, self.ranks))
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         left, right, rank = [], [], []
@@ -111,20 +122,61 @@ class Codec:
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(words)
-        short, long = [], []
+        left: list[int] = []
         for i, word in enumerate(words):
             rank = self.ranks.get(word)
             if rank is not None:
                 out[i] = rank.to_bytes(4, "little")
             else:
-                (long if len(word) > LONG_WORD else short).append(i)
-        for low in range(0, len(short), AT_ONCE):
-            which = short[low:low + AT_ONCE]
-            for i, ids in zip(which, self._contract_short([words[i] for i in which])):
-                out[i] = ids
-        if long:
-            for i, ids in zip(long, self._contract_long([words[i] for i in long])):
-                out[i] = ids
+                left.append(i)
+        sizes = np.array([len(words[i]) for i in left], dtype=np.int64)
+        kinds = ((sizes <= LONG_WORD, self._contract_short, sizes * sizes // 2),
+                 ((sizes > LONG_WORD) & (sizes <= PIECES), self._contract_long, sizes * STEPS))
+        for which, contract, rows in kinds:
+            for part in _batches(np.flatnonzero(which), rows):
+                for k, ids in zip(part, contract([words[left[k]] for k in part])):
+                    out[left[k]] = ids
+        for k in np.flatnonzero(sizes > PIECES):
+            out[left[k]] = self._contract_pieces(words[left[k]])
+        return out
+
+    def _contract_pieces(self, word: bytes) -> bytes:
+        """A long word: pieces are merged on their own, then the tokens around each cut."""
+        parts = [np.frombuffer(x, "<i4") for x in self.merge([word[i:i + PIECE] for i in range(0, len(word), PIECE)])]
+        tokens = np.concatenate(parts)
+        cuts, around = np.cumsum([len(x) for x in parts])[:-1], AROUND
+        while len(cuts):
+            ends = np.cumsum(self.lengths[tokens])  # bytes up to and with each token
+            at = ends[cuts - 1]
+            low = np.searchsorted(ends, at - around, side="right")
+            high = np.minimum(np.searchsorted(ends, at + around) + 1, len(tokens))
+            # Windows that touch are one.
+            new = np.concatenate([[True], low[1:] >= np.maximum.accumulate(high)[:-1]])
+            low, high = low[new], np.maximum.reduceat(high, np.flatnonzero(new))
+            begin = np.where(low > 0, ends[low - 1], 0)
+            again = [np.frombuffer(x, "<i4") for x in self._whole_words([word[a:b] for a, b in zip(begin, ends[high - 1])])]
+            kept, cuts, past, size = [], [], 0, 0
+            for a, b, x in zip(low.tolist(), high.tolist(), again):
+                fits = (a == 0 or x[0] == tokens[a]) and (b == len(tokens) or x[-1] == tokens[b - 1])
+                kept += [tokens[past:a], x if fits else tokens[a:b]]
+                size += a - past
+                if not fits:
+                    cuts.append(size + (b - a) // 2)
+                size += len(kept[-1])
+                past = b
+            tokens = np.concatenate([*kept, tokens[past:]])
+            cuts, around = np.array(cuts, dtype=np.int64), around * 4
+        return tokens.astype("<i4").tobytes()
+
+    def _whole_words(self, words: list[bytes]) -> list[bytes]:
+        """As :meth:`merge`, but long words are not cut."""
+        out: list[bytes] = [b""] * len(words)
+        small = [i for i, w in enumerate(words) if len(w) <= PIECES]
+        for i, ids in zip(small, self.merge([words[i] for i in small])):
+            out[i] = ids
+        for i, w in enumerate(words):
+            if len(w) > PIECES:
+                out[i] = self._contract_long([w])[0]
         return out
 
     def _rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,10 +205,11 @@ class Codec:
         w, p, t = self._rows(words)
         out: list[bytes] = [b""] * len(words)
         while len(w):
-            w, p, t, step = self._query(LONG_SQL, w=w, p=p, t=t)
+            steps = max(1, min(STEPS, ROWS_AT_ONCE // 8 // len(w)))
+            w, p, t, step = self._query(LONG_SQL.format(steps=steps), w=w, p=p, t=t)
             order = np.lexsort((p, w))
             w, p, t, step = w[order], p[order], t[order], step[order]
-            ended = step < STEPS
+            ended = step < steps
             for i, ids in enumerate(_split(w[ended], t[ended], len(words))):
                 out[i] = ids or out[i]
             w, p, t = w[~ended], p[~ended], t[~ended]
@@ -226,6 +279,19 @@ def _pieces(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(cut, pattern="\0")
 
 
+def _batches(which: np.ndarray, rows: np.ndarray) -> Iterator[list[int]]:
+    """Parts of at most ``AT_ONCE`` words and about ``ROWS_AT_ONCE`` rows."""
+    part, total = [], 0
+    for k in which.tolist():
+        if part and (len(part) >= AT_ONCE or total + rows[k] > ROWS_AT_ONCE):
+            yield part
+            part, total = [], 0
+        part.append(k)
+        total += rows[k]
+    if part:
+        yield part
+
+
 def _split(w: np.ndarray, t: np.ndarray, n: int) -> list[bytes]:
     """Tokens, sorted by word, as bytes for each of n words."""
     raw = t.astype("<i4").tobytes()
