@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from voxelweave.operators.components import components, number_components
@@ -133,3 +134,19 @@ def test_names_of_many_lengths_pair(spark):
     refs = spark.createDataFrame([(n,) for n in names[200:]], "case string")
     preds = spark.createDataFrame([("x" + names[-1],)], "file string")
     assert {r["status"] for r in pair_files(refs, preds, exact=False).collect()} == {"ok"}
+
+
+@pytest.mark.parametrize("times, side", [(1, 4), (3, 4), (5, 64)])
+def test_dilation_by_distance(spark, times, side):
+    """Everything within a city-block distance, over brick faces and at the edge of the grid."""
+    rng = np.random.default_rng(times)
+    shape, marked = (11, 9, 13), [rng.random((11, 9, 13)) < 0.01 for _ in range(3)]
+    rows = [(c, k, *map(int, at)) for c, v in enumerate(marked) for k, at in enumerate(np.argwhere(v))]
+    df = spark.createDataFrame(rows, "case_id bigint, part bigint, x bigint, y bigint, z bigint").withColumn("part", F.col("part") % 2)
+    got = {tuple(r) for r in dilate(df, case_table(spark, 3, shape), times, ("case_id", "part"), side).collect()}
+    cells = np.argwhere(np.ones(shape, dtype=bool))
+    want = set()
+    for case, part, *at in {(r[0], r[1] % 2, *r[2:]) for r in rows}:
+        near = cells[np.abs(cells - np.array(at)).sum(axis=1) <= times]
+        want |= {(case, part, *map(int, c)) for c in near}
+    assert got == want

@@ -31,8 +31,8 @@ def class_counts(spark, sf):
 def _centre_sql(seed: int) -> str:
     """ctr: one drawn centre per case (sample 0)."""
     return f""", drawn AS MATERIALIZED (SELECT case_id, x, y, z, CAST(ref_id > 0 AS INT) fg, {draws.mix_sql(seed, 'case_id', '0', KEY_SQL)} d, {KEY_SQL} k FROM dense),
-firsts AS (SELECT case_id, fg, arg_min(k, (d, k)) k FROM drawn GROUP BY 1, 2),
-want AS (SELECT *, abs(fg - CAST({draws.uniform_sql(seed + 1, 'case_id', '0')} < 0.5e0 AS INT)) off FROM firsts),
+firsts AS MATERIALIZED (SELECT case_id, fg, arg_min(k, (d, k)) k FROM drawn GROUP BY 1, 2),
+want AS MATERIALIZED (SELECT *, abs(fg - CAST({draws.uniform_sql(seed + 1, 'case_id', '0')} < 0.5e0 AS INT)) off FROM firsts),
 ctr AS MATERIALIZED (SELECT w.case_id, CAST(w.fg AS BIGINT) fg, d.x, d.y, d.z FROM (SELECT case_id, arg_min(fg, off) fg, arg_min(k, off) k FROM want GROUP BY 1) w
   JOIN drawn d ON d.case_id = w.case_id AND d.k = w.k)"""
 
@@ -47,8 +47,10 @@ def patch_centres(spark, sf):
     return sampling.patch_centres(_seg(spark, sf), 11)
 
 
-@query("patch_voxels", fx.duck(_centre_sql(11) + _WIN + """ SELECT d.case_id, d.x - x0 x, d.y - y0 y, d.z - z0 z, ref_id FROM dense d JOIN win USING (case_id)
-  WHERE d.x >= x0 AND d.x < x0 + px AND d.y >= y0 AND d.y < y0 + py AND d.z >= z0 AND d.z < z0 + pz""", "dense", "cases"))
+# Positions of the patch first, so that the voxels meet them by equality alone.
+@query("patch_voxels", fx.duck(_centre_sql(11) + _WIN + """, cells AS MATERIALIZED (SELECT case_id, x0 + i x, y0 + j y, z0 + k z, i, j, k
+  FROM (SELECT *, unnest(range(0, px)) i FROM win), unnest(range(0, 6)) b(j), unnest(range(0, 20)) c(k) WHERE j < py AND k < pz)
+SELECT case_id, i x, j y, k z, ref_id FROM cells JOIN dense USING (case_id, x, y, z)""", "dense", "cases"))
 def patch_voxels(spark, sf):
     found = sampling.patch_windows(sampling.patch_centres(_seg(spark, sf), 11), fx.cases(spark, sf), PATCH)
     return sampling.cut_patches(_seg(spark, sf).select(*AT, "ref_id"), found, tile=4).drop("sample")
