@@ -15,7 +15,7 @@ from voxelweave.queries.common import (
 )
 from voxelweave.queries.registry import query
 from voxelweave.session import materialize, new_path
-from voxelweave.sources import results
+from voxelweave.sources import curve, results
 
 BASE = ("vox", "gappy", "cases")
 
@@ -182,6 +182,14 @@ def components_of_a_large_case(spark, sf):
     return components(fx.large(spark, sf), None, 6).groupBy("case_id", "root").agg(F.count("*").alias("n"))
 
 
+@query("box_of_a_large_case", fx.duck("SELECT x, y, z, ref_id FROM large WHERE x BETWEEN 37 AND 101 AND y BETWEEN 5 AND 90 AND z BETWEEN 3 AND 12", "vox", "large"))
+def box_of_a_large_case(spark, sf):
+    """A large case is stored along the curve; the scan of a box opens the row groups of its key ranges."""
+    path = new_path(spark, "curve")
+    curve.write(fx.large(spark, sf), path, 16)
+    return curve.scan_box(spark, path, 0, (37, 5, 3), (101, 90, 12), 16).select("x", "y", "z", "ref_id")
+
+
 @query("confluence_of_a_large_case", fx.duck(_LARGE + """, held AS (SELECT DISTINCT root, ref_id FROM cc JOIN large USING (case_id, x, y, z))
 SELECT DISTINCT CAST(0 AS BIGINT) case_id, CAST(0 AS BIGINT) tier, CAST(6 AS BIGINT) conn, ref_id FROM held
   WHERE root IN (SELECT root FROM held GROUP BY 1 HAVING count(*) > 1)""", "vox", "large", recursive=True))
