@@ -155,10 +155,53 @@ def test_licences_inherit_from_the_nearest_folder(spark):
 
 
 def test_licence_lines_of_the_documents_are_found(spark, texts):
-    got = by_id(queries.op1_license_scan(spark, SF))
-    for name, text in texts.items():
-        line = any(x in licenses.TEMPLATES.values() for x in (text or "").split("\n"))
-        assert (got[name]["own_license"] is not None) == line or not line
+    """Every planted notice is found, and nothing is found in a text without one."""
+    notices = {licenses.TEMPLATES[n]: n for n in ("Apache-2.0", "CC-BY-NC-4.0", "GPL-3.0", "MIT")}
+    df = spark.createDataFrame([(k, f"d/{k}.txt", v) for k, v in texts.items()], "doc_id long, path string, text string")
+    for r in licenses.scan(df).collect():
+        held = {name for line, name in notices.items() if line in (texts[r["doc_id"]] or "")}
+        assert (r["own_license"] in held) if held else r["own_license"] is None, (r, held)
+
+
+def _commented(text, lead):
+    words, lines = text.split(), [""]
+    for w in words:
+        if len(lines[-1]) + len(w) > 70:
+            lines.append("")
+        lines[-1] = f"{lines[-1]} {w}".strip()
+    return "\n".join(f"{lead}{line}" for line in lines)
+
+
+def test_real_licence_texts_and_headers(spark):
+    t, own = licenses.TEMPLATES, "Copyright (c) 2021 Jane Roe and others\n\n"
+    code = "\n\n#include <stdio.h>\nint main(void) { return puts(\"hello\"); }\n"
+    preamble = "\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy it.\n\n Preamble\n\n The work is made to share and change freely.\n" * 3
+    files = {
+        "a/LICENSE": ("MIT License\n\n" + own + _commented(t["MIT#text"].removeprefix("MIT License "), ""), "MIT"),
+        "b/LICENSE.txt": ("ISC License\n\n" + own + _commented(t["ISC#text"].removeprefix("ISC License "), ""), "ISC"),
+        "c/LICENSE": (own + _commented(t["BSD-2-Clause#text"], ""), "BSD-2-Clause"),
+        "d/LICENSE": ("BSD 3-Clause License\n\n" + own + _commented(t["BSD-3-Clause#text"], ""), "BSD-3-Clause"),
+        "e/COPYING": ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007" + preamble, "GPL-3.0"),
+        "f/COPYING": ("GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999" + preamble, "LGPL-2.1"),
+        "g/LICENSE": ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS" + preamble, "Apache-2.0"),
+        "h/x.c": ("/*\n" + _commented("Copyright 2020 The Authors", " * ") + "\n *\n" + _commented(t["Apache-2.0#header"], " * ") + "\n */" + code, "Apache-2.0"),
+        "i/x.c": ("/*\n" + _commented(t["GPL-3.0#header"], " * ") + "\n */" + code, "GPL-3.0"),
+        "j/x.c": ("/*\n" + _commented(t["GPL-2.0#header"], " * ") + "\n */" + code, "GPL-2.0"),
+        "k/x.c": (_commented(t["MPL-2.0#header"], "// ") + code, "MPL-2.0"),
+        "l/x.c": ("// SPDX-License-Identifier: Apache-2.0" + code, "Apache-2.0"),
+        "m/x.py": ("# SPDX-License-Identifier: GPL-2.0-or-later\nimport os\n", "GPL-2.0-or-later"),
+        "n/x.c": ("/*\n" + _commented(t["ISC#grant"], " * ") + "\n */" + code, "ISC"),
+        "o/UNLICENSE.md": (_commented(t["Unlicense#text"], ""), "Unlicense"),
+        "p/x.c": (_commented(t["AGPL-3.0#header"], "// ") + code, "AGPL-3.0"),
+        "a/src/deep/x.c": (code, None), "q/x.c": (code, None),
+        "r/essay.txt": ("Which license a project takes is a hard question, and a lawyer may say more than a file does.\n"
+                        "The warranty of the dishwasher ended in May. Permission to enter the hall was granted by the owner.", None),
+        "s/essay.txt": ("The Apache helicopter and the Mozilla browser have little in common.\nA driving license is not a software license.\nLicense\n", None),
+    }
+    df = spark.createDataFrame([(p, x) for p, (x, _) in files.items()], "path string, text string")
+    got = by_id(licenses.scan(df), "path")
+    assert {p: r["own_license"] for p, r in got.items()} == {p: want for p, (_, want) in files.items()}
+    assert got["a/src/deep/x.c"]["license"] == "MIT" and got["a/src/deep/x.c"]["found"] == "inherited"
 
 
 # 2. Mixing

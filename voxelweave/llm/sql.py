@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from voxelweave.functions.draws import PRIME, uniform_sql
-from voxelweave.llm.licenses import TELLING, TEMPLATES, THRESHOLD, VOCABULARY, WORD, words_of
+from voxelweave.llm.licenses import PARAGRAPH, TELLING, TEMPLATES, THRESHOLD, VOCABULARY, WORD, words_of
 from voxelweave.llm.mixing import DIMENSIONS, NONE, POWERS, SHARE
 
 _LIST = "[" + ", ".join(f"'{w}'" for w in VOCABULARY) + "]"
@@ -25,7 +25,8 @@ n AS (SELECT count(*) AS total FROM lines),
 idf AS MATERIALIZED (SELECT v AS word, ln((1 + total) / (1 + coalesce(df, 0))) AS idf FROM (SELECT unnest({_LIST}) AS v) LEFT JOIN freq ON w = v, n),
 terms AS (SELECT t.name, t.ord, t.word, t.tf * idf AS w FROM (VALUES {_TERMS}) t(name, ord, word, tf) JOIN idf USING (word)),
 templates AS (SELECT name, ord, word, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS tw FROM terms),
-units AS (SELECT * FROM lines UNION ALL SELECT doc_id, text, 0 FROM files WHERE is_file AND contains(text, chr(10))),
+units AS (SELECT * FROM lines UNION ALL SELECT doc_id, block, -1 - i FROM (SELECT doc_id, unnest(string_split_regex(text, '{PARAGRAPH}')) AS block,
+    generate_subscripts(string_split_regex(text, '{PARAGRAPH}'), 1) AS i FROM files) WHERE contains(block, chr(10)) UNION ALL SELECT doc_id, text, 0 FROM files WHERE is_file AND contains(text, chr(10))),
 tf AS MATERIALIZED (SELECT doc_id, unit, word, count(*) AS tf FROM (SELECT doc_id, unit,
     unnest(regexp_extract_all({_LOWER.format('line')}, '{WORD}')) AS word FROM units WHERE regexp_matches(line, '{_TELL}')) GROUP BY ALL),
 vec AS MATERIALIZED (SELECT doc_id, unit, tf.word, tf * coalesce(idf, ln(1 + total)) AS w FROM tf LEFT JOIN idf USING (word), n),
@@ -33,7 +34,7 @@ norms AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM vec GROUP BY ALL),
 scores AS (SELECT doc_id, ord, name, round(dot / norm, 6) AS score FROM (SELECT doc_id, unit, ord, name, sum(w * tw) AS dot
     FROM vec JOIN templates USING (word) GROUP BY ALL) JOIN norms USING (doc_id, unit) WHERE norm > 0),
 best AS (SELECT doc_id, name AS lic, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS r FROM scores) WHERE r = 1),
-scanned AS MATERIALIZED (SELECT f.doc_id, dir, is_file, dir || '/' || name AS path, CASE WHEN score >= {THRESHOLD} THEN lic END AS own_license,
+scanned AS MATERIALIZED (SELECT f.doc_id, dir, is_file, dir || '/' || name AS path, CASE WHEN score >= {THRESHOLD} THEN split_part(lic, '#', 1) END AS own_license,
     coalesce(score, 0.0e0) AS own_score FROM files f LEFT JOIN best USING (doc_id)),
 given AS (SELECT dir AS ancestor, own_license AS lic FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path, own_license) AS r
     FROM scanned WHERE is_file AND own_license IS NOT NULL) WHERE r = 1),
