@@ -46,6 +46,13 @@ def require_grid(boxes: DataFrame, cases: DataFrame) -> None:
         raise ValueError(f"case {bad['case_id']}: {bad['fault']}; outside_grid lists all such voxels")
 
 
+def require_voxels(voxels: DataFrame, cases: DataFrame) -> None:
+    """:func:`require_grid` for a voxel table, by the box of each case; a NULL coordinate stops as well."""
+    boxes = voxels.groupBy("case_id").agg(
+        *[F.when(F.count(a) == F.count(F.lit(1)), end(a)).alias(f"{name}_{a}") for a in ("x", "y", "z") for name, end in (("lo", F.min), ("hi", F.max))])
+    require_grid(boxes, cases)
+
+
 def close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     """|a - b| within atol + rtol |b|: relative to the second value."""
     return F.abs(a - b) <= atol + rtol * F.abs(b)

@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.operators import bricks, centres, stencil
+from voxelweave.operators import bricks, centres, integrity, stencil
 from voxelweave.operators.components import components, number_components
 from voxelweave.operators.overlap import COORDS
 from voxelweave.operators.refine import refine, refine_rooted
@@ -91,7 +91,11 @@ def register_postprocessor(name: str, fn: Postprocessor) -> None:
 
 
 def postprocess(maps: DataFrame, cases: DataFrame, names: list[str], **options) -> DataFrame:
-    """Runs several post-processors and tags their rows with ``postprocessor``."""
+    """Runs several post-processors and tags their rows with ``postprocessor``.
+
+    Voxels without a case row or outside their grid raise an error.
+    """
+    integrity.require_voxels(maps, cases)
     parts = [POSTPROCESSORS[n](maps, cases, **options).withColumn("postprocessor", F.lit(n)) for n in names]
     whole = parts[0]
     for part in parts[1:]:

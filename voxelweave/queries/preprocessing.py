@@ -10,7 +10,7 @@ from voxelweave.operators.confluence import confluence_classes
 from voxelweave.plans import preprocess as prep
 from voxelweave.queries.common import STEPS, cc_sql, rounded
 from voxelweave.queries.registry import query
-from voxelweave.session import materialize
+from voxelweave.session import materialize, new_path
 
 PERM = [2, 0, 1]
 
@@ -172,6 +172,22 @@ def normalised_intensity(spark, sf):
     return rounded(out.select("case_id", "x", "y", "z", "intensity"))
 
 
+@query("fingerprint_from_summaries", fx.duck("""SELECT 0::BIGINT channel, count(*)::BIGINT n, round(avg(intensity), 6) mean, round(stddev_pop(intensity), 6) std,
+  round(min(intensity), 6) min, round(max(intensity), 6) max, true near FROM maps WHERE ref_id > 0""", "maps"))
+def fingerprint_from_summaries(spark, sf):
+    """Stored summaries of all cases merged; ``near`` tells whether the percentiles are within a rank error of 0.002 of the exact ones."""
+    rows = fx.maps(spark, sf).filter("ref_id > 0").select("case_id", F.lit(0).cast("long").alias("channel"), "intensity")
+    path = new_path(spark, "summaries")
+    intensity.case_summaries(rows).write.parquet(path)
+    stored = spark.read.parquet(path)
+    found = intensity.fingerprint_of(stored)
+    ranks = rows.join(found, "channel").groupBy("channel").agg(F.count("*").alias("n"), *[
+        (F.abs(F.avg((F.col("intensity") <= F.col(name)).cast("double")) - at) <= 0.002).alias(f"near_{name}")
+        for at, name in intensity.FINGERPRINT.items()])
+    near = ranks.select("channel", "n", F.expr(" AND ".join(f"near_{n}" for n in intensity.FINGERPRINT.values())).alias("near"))
+    return rounded(found.join(near, "channel").select("channel", "n", "mean", "std", "min", "max", "near"))
+
+
 def _channels(spark, sf):
     return fx.maps(spark, sf).filter("ref_id > 0").select(
         F.explode(F.array(F.struct(F.lit(0).cast("long").alias("channel"), F.col("intensity")),
