@@ -221,20 +221,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lows = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
         labelled = rooted.join(lows, "root")
     return prints.join(materialize(labelled.select("fp", "component_id"), "classes"), "fp").select("id", "fp", "component_id")
-
-
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5,
-                        radius: int = 3) -> DataFrame:
-    """One row of each group, with all columns: the longest text, then the smallest id.
-
-    Documents are told apart by a number given to each row as it is read, so the
-    input must give the same rows in the same partitions each time.
-    """
-    size = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0))
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    rows = docs.withColumns({"__uid": F.monotonically_increasing_id(), "__size": size, "__order": order})
-    classes = near_duplicates(rows, "__uid", text_col, words_each, radius)
-    facts = materialize(rows.select(F.col("__uid").alias("id"), "__size", "__order").join(classes, "id"), "facts")
-    rank = F.struct(F.col("__size"), F.bitwise_not("__order"), F.bitwise_not("id").alias("uid"))
-    best = facts.groupBy("component_id").agg(F.max(rank).alias("m")).select(F.bitwise_not("m.uid").alias("__uid"))
-    return rows.join(best, "__uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
