@@ -607,3 +607,26 @@ def test_stages_take_odd_rows(spark, odd):
         assert stage(spark, odd.limit(0), SF).count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, odd, SF)
     assert last.count() == odd.count() and all(r["exact"] for r in last.collect())
+
+
+def test_top_k_of_clusters_meets_few_shards(spark):
+    """Exact on clustered vectors of two lengths in many cells; far cells are not searched."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(32, 16)) * 30
+    points = [(i, (centres[i % 32] + rng.normal(size=16)).round(3).tolist()) for i in range(4000)]
+    points += [(4000 + i, rng.normal(size=5).round(3).tolist()) for i in range(300)]
+    df = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.filter("vec_id % 20 = 0"), k=5, shard_rows=64).collect()
+    whole = {i: np.floor(64 * np.array(v)).astype(np.int64) for i, v in points}
+    want = []
+    for i in whole:
+        if i % 20 == 0:
+            dots = sorted((-int(whole[i] @ v), j) for j, v in whole.items() if j != i and len(v) == len(whole[i]))[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(dots)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    splits = topk.Splits(np.array([whole[i] for i in range(4000)], dtype=float), 6)
+    cells = splits.cell(np.array([whole[i] for i in range(4000)], dtype=float))
+    boxes = {c: (np.array([whole[i] for i in np.flatnonzero(cells == c)])) for c in set(cells.tolist())}
+    reach = sum(int((np.maximum(whole[i], 0) @ b.max(axis=0) + np.minimum(whole[i], 0) @ b.min(axis=0)) >= next(w[3] for w in want if w[0] == i and w[1] == 5))
+                for i in range(0, 4000, 20) for b in boxes.values())
+    assert reach < 0.25 * 200 * len(boxes)
