@@ -26,6 +26,14 @@ def component_sizes(voxels: DataFrame, cases: DataFrame, inst: str = "inst", bri
     return component_table(components(rows, cases, 6, ("case_id", inst), brick), ("case_id", inst))
 
 
+def remove_small_components(mask: DataFrame, cases: DataFrame, min_volume: float = 14, min_axis: float = 3, conn: int = 6,
+                            brick: int = bricks.SIDE) -> DataFrame:
+    """The mask (case_id, x, y, z) without its too-small components."""
+    rooted = materialize(components(mask.select("case_id", *COORDS), cases, conn, side=brick), "rooted")
+    small = sizes.size_verdicts(component_table(rooted), cases, min_volume, min_axis).filter("too_small")
+    return rooted.join(small.select("case_id", "root"), ["case_id", "root"], "left_anti").select("case_id", *COORDS)
+
+
 def refine(voxels: DataFrame, cases: DataFrame, inst: str = "inst", min_volume: float = 0, min_axis: float = 0,
            brick: int = bricks.SIDE) -> DataFrame:
     """Splits instances into components, drops small ones, numbers the rest 1..n.

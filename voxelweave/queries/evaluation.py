@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxelweave import fixtures as fx
-from voxelweave.operators import custom, metrics, overlap, sizes
-from voxelweave.operators.components import component_table, components
+from voxelweave.operators import custom, metrics, overlap, refine, sizes
+from voxelweave.operators.components import components
 from voxelweave.operators.confluence import confluence_classes, confluent_instances, dilate
 from voxelweave.plans import evaluate as ev
 from voxelweave.queries.common import (
@@ -152,10 +152,7 @@ t AS (SELECT case_id, root, count(*) n, max(x)-min(x)+1 ex, max(y)-min(y)+1 ey,
 SELECT case_id, x, y, z FROM cc JOIN t USING (case_id, root) JOIN cases USING (case_id)
   WHERE NOT (ex*sx < 3 OR ey*sy < 3 OR ez*sz < 3 OR n*sx*sy*sz <= 14)""", *BASE, recursive=True))
 def remove_small_components(spark, sf):
-    cases = fx.cases(spark, sf)
-    rooted = components(fx.gappy(spark, sf).filter("pred_id > 0"), cases)
-    small = sizes.size_verdicts(component_table(rooted), cases).filter("too_small")
-    return rooted.join(small, ["case_id", "root"], "left_anti").select("case_id", "x", "y", "z")
+    return refine.remove_small_components(fx.gappy(spark, sf).filter("pred_id > 0"), fx.cases(spark, sf))
 
 
 @query("dilated_mask", fx.duck(f""", {STEPS} SELECT DISTINCT g.case_id, g.x + dx x, g.y + dy y, g.z + dz z FROM gappy g
