@@ -150,3 +150,31 @@ def test_dilation_by_distance(spark, times, side):
         near = cells[np.abs(cells - np.array(at)).sum(axis=1) <= times]
         want |= {(case, part, *map(int, c)) for c in near}
     assert got == want
+
+
+def test_voxel_tables_are_not_broadcast_however_small_their_files(spark, tmp_path):
+    from voxelweave.operators import targets
+    from voxelweave.operators.components import adjacency, face_links
+
+    def broadcasts(df):
+        return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+    spark.range(70_000).selectExpr("0L case_id", "id div 1600 x", "id div 40 % 40 y", "id % 40 z", "6L conn", "id piece").write.parquet(f"{tmp_path}/v")
+    v = spark.read.parquet(f"{tmp_path}/v")
+    assert broadcasts(adjacency(v, 18)) == 0
+    assert broadcasts(face_links(v, ["case_id"], 8)) == 0
+
+
+def test_the_points_of_a_nearest_search_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from voxelweave.operators import nearest
+
+    spark.range(2).selectExpr("id case_id", "id site", "0d sx", "0d sy", "0d sz").write.parquet(f"{tmp_path}/sites")
+    spark.range(2).selectExpr("id case_id").write.parquet(f"{tmp_path}/cases")
+    # The plan takes a grid made of two rows to be two rows long.
+    grid = spark.read.parquet(f"{tmp_path}/cases").selectExpr("case_id", "explode(sequence(1, 5000)) px", "0d py", "0d pz")
+    seen, whole = [], nearest._whole
+    monkeypatch.setattr(nearest, "_whole", lambda points, *rest: seen.append(points) or whole(points, *rest))
+    found = nearest.nearest_site(grid, spark.read.parquet(f"{tmp_path}/sites"), ["px"])
+    assert found.count() == 10_000
+    plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan and "LeftSemi" in plan

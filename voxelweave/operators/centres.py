@@ -15,7 +15,7 @@ from voxelweave.operators.overlap import COORDS
 from voxelweave.operators.ranking import rank_in_group
 from voxelweave.operators.stencil import local_maxima
 from voxelweave.schema import voxel_key
-from voxelweave.session import materialize
+from voxelweave.session import materialize, shuffled
 
 OFFSETS = {"x": "ox", "y": "oy", "z": "oz"}
 
@@ -24,7 +24,7 @@ def one_per_plateau(maxima: DataFrame, cases: DataFrame, side: int = bricks.SIDE
     """Of touching maxima (which are equal) only the first in scan order stays."""
     rooted = components(maxima, cases, 6, side=side)
     first = rooted.filter(voxel_key() == F.col("root")).select("case_id", *COORDS)
-    return maxima.join(first, ["case_id", *COORDS], "left_semi")
+    return maxima.join(shuffled(first), ["case_id", *COORDS], "left_semi")
 
 
 def top_k(centres: DataFrame, k: int | None) -> DataFrame:

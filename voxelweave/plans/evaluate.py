@@ -11,7 +11,7 @@ from voxelweave.operators import bricks, integrity, metrics, overlap, sizes
 from voxelweave.operators.confluence import confluent_instances
 from voxelweave.operators.overlap import COORDS
 from voxelweave.operators.ranking import rank_in_group
-from voxelweave.session import materialize
+from voxelweave.session import materialize, shuffled
 
 
 @dataclass
@@ -91,7 +91,7 @@ def evaluate_variants(predictions: DataFrame, references: DataFrame, cases: Data
     own = (F.col("__no") * total + F.col("__variant")).alias("case_id")
 
     zero, keys = F.lit(0).cast("long"), [*by, "case_id"]
-    met = predictions.filter("pred_id > 0").select(*keys, *COORDS, "pred_id").join(refs, ["case_id", *COORDS], "left")
+    met = predictions.filter("pred_id > 0").select(*keys, *COORDS, "pred_id").join(shuffled(refs), ["case_id", *COORDS], "left")
     met = overlap.contingency(met.withColumn("ref_id", F.coalesce("ref_id", zero)), tuple(keys))
     met = materialize(met, "met")
     integrity.require_grid(met, cases)

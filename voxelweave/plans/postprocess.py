@@ -11,7 +11,7 @@ from voxelweave.operators import bricks, centres, integrity, stencil
 from voxelweave.operators.components import components, number_components
 from voxelweave.operators.overlap import COORDS
 from voxelweave.operators.refine import refine, refine_rooted
-from voxelweave.session import materialize
+from voxelweave.session import materialize, shuffled
 
 SEMANTIC_THRESHOLD = 0.5
 
@@ -70,7 +70,7 @@ def by_ridges(maps: DataFrame, cases: DataFrame, threshold: float = SEMANTIC_THR
     mask = foreground(maps, threshold).select("case_id", *COORDS)
     rooted = materialize(ridge_clusters(maps, cases, threshold, sigma, conn, side), "clusters")
     labelled = materialize(number_components(rooted, out="inst").select("case_id", *COORDS, "inst"), "labelled")
-    rest = mask.join(labelled, ["case_id", *COORDS], "left_anti")
+    rest = mask.join(shuffled(labelled), ["case_id", *COORDS], "left_anti")
     grown = centres.spread_labels(rest, labelled, "inst")
     bare = mask.join(labelled.select("case_id").distinct(), "case_id", "left_anti")
     plain = number_components(components(bare, cases, 6, side=side), out="inst").select("case_id", *COORDS, "inst")
