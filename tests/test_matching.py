@@ -206,3 +206,19 @@ def test_python_metrics_over_bricks(spark):
             want[i] = float(np.searchsorted(np.cumsum(at), at.sum() / 2)) / 40
         assert got == want | {3: None}
     del custom.METRICS["middle"]
+
+
+def test_python_metrics_call_python_for_batches_and_not_for_groups(spark, capsys):
+    from voxelweave.operators import custom
+
+    rows = spark.createDataFrame([(c, x, 0, 0, 1, x % 2) for c in range(40) for x in range(8)], VOX)
+    table = spark.createDataFrame([(c, 8, 1, 1) for c in range(41)], "case_id long, nx long, ny long, nz long")
+    add = lambda part: np.array([float(part["pred_id"].sum())])
+    custom.register(custom.PythonMetric("total", (0.0,), add, lambda v, case: v[0]))
+    try:
+        got = custom.score(rows, table, ["total"], side=2)
+        assert {r["case_id"]: r["total"] for r in got.collect()} == {c: 4.0 if c < 40 else 0.0 for c in range(41)}
+        got.explain()
+        assert "FlatMapGroupsInPandas" not in capsys.readouterr().out
+    finally:
+        del custom.METRICS["total"]

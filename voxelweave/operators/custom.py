@@ -3,12 +3,13 @@
 A metric that column expressions cannot say is given as three functions: ``part``
 turns the voxels of some bricks into a vector of doubles, ``merge`` joins two such
 vectors, and ``finish`` turns a case's vector into its value. ``merge`` must not
-depend on order, so parts are joined where they arise and no task holds a case.
+depend on order, so parts are joined where they arise, then once for each case; no
+task holds a case, and Python is called for whole batches, not for each group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +20,6 @@ from pyspark.sql import functions as F
 from voxelweave.operators import bricks
 from voxelweave.operators.overlap import COORDS
 
-#: Vectors of a case that one task joins at a time.
-LANES = 64
-
 
 @dataclass(frozen=True)
 class PythonMetric:
@@ -42,28 +40,36 @@ def register(metric: PythonMetric) -> None:
     METRICS[metric.name] = metric
 
 
-def _parts(chosen: list[PythonMetric], columns: list[str], side: int):
+def _parts(chosen: list[PythonMetric], columns: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         case = pdf["case_id"].to_numpy()
         cuts = np.flatnonzero(case[1:] != case[:-1]) + 1
         for low, high in zip([0, *cuts], [*cuts, len(pdf)]):
             here = {c: pdf[c].to_numpy()[low:high] for c in columns}
-            lane = hash(tuple(int(pdf[f"b{a}"].iloc[low]) for a in COORDS)) % LANES
-            rows += [(int(case[low]), lane, i, np.asarray(m.part(here), dtype=float).tolist()) for i, m in enumerate(chosen)]
-        return pd.DataFrame(rows, columns=["case_id", "lane", "metric", "v"])
+            rows += [(int(case[low]), i, np.asarray(m.part(here), dtype=float).tolist()) for i, m in enumerate(chosen)]
+        return pd.DataFrame(rows, columns=["case_id", "metric", "v"])
 
     return run
 
 
-def _joined(chosen: list[PythonMetric], keys: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        metric = chosen[int(first["metric"])]
-        v = np.array(metric.start, dtype=float)
-        for part in pdf["v"]:
-            v = metric.merge(v, np.asarray(part))
-        return pd.DataFrame({**{k: [int(first[k])] for k in keys}, "v": [np.asarray(v, dtype=float).tolist()]})
+def _joined(chosen: list[PythonMetric]):
+    """Joins the vectors of each run of equal case and metric; a task keeps one vector at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, v = None, None
+        for pdf in frames:
+            done = []
+            for case, metric, part in zip(pdf["case_id"].tolist(), pdf["metric"].tolist(), pdf["v"]):
+                if key != (case, metric):
+                    if key is not None:
+                        done.append((*key, np.asarray(v, dtype=float).tolist()))
+                    key, v = (case, metric), np.array(chosen[metric].start, dtype=float)
+                v = chosen[metric].merge(v, np.asarray(part, dtype=float))
+            if done:
+                yield pd.DataFrame(done, columns=["case_id", "metric", "v"])
+        if key is not None:
+            yield pd.DataFrame([(*key, np.asarray(v, dtype=float).tolist())], columns=["case_id", "metric", "v"])
 
     return run
 
@@ -78,11 +84,12 @@ def score(voxels: DataFrame, cases: DataFrame, names: list[str] | None = None, c
     chosen = [METRICS[n] for n in (names or METRICS)]
     columns = [*COORDS, *columns]
     rows = voxels.select("case_id", *columns)
-    parts = bricks.map_bricks(rows, ["case_id"], side, _parts(chosen, columns, side), "case_id long, lane long, metric long, v array<double>")
-    lanes = parts.groupBy("case_id", "metric", "lane").applyInPandas(
-        _joined(chosen, ["case_id", "metric", "lane"]), "case_id long, metric long, lane long, v array<double>")
-    whole = lanes.groupBy("case_id", "metric").applyInPandas(
-        _joined(chosen, ["case_id", "metric"]), "case_id long, metric long, v array<double>")
+    schema, order = "case_id long, metric long, v array<double>", ["case_id", "metric"]
+    parts = bricks.map_bricks(rows, ["case_id"], side, _parts(chosen, columns), schema)
+    # Rows come case by case, so a task sends on few vectors of a case, however many bricks it has.
+    here = parts.sortWithinPartitions(*order).mapInPandas(_joined(chosen), schema)
+    tasks = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = here.repartition(tasks, *order).sortWithinPartitions(*order).mapInPandas(_joined(chosen), schema)
     wide = whole.groupBy("case_id").agg(*[F.max(F.when(F.col("metric") == i, F.col("v"))).alias(f"__v{i}") for i in range(len(chosen))])
     told = cases.join(wide, "case_id", "left")
 
