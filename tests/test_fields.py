@@ -231,3 +231,32 @@ def test_scheme_needs_every_channel(spark):
     assert (out["a"], out["b"]) == (0.25, 3.0)
     with pytest.raises(ValueError):
         intensity.scheme_normalise_columns(df, ["a", "b"], properties)
+
+
+def test_affine_over_bricks_shuffles_only_source_voxels(spark, capsys):
+    """A turned, scaled and shifted volume, with bricks of 4 voxels and a map that cannot be turned round."""
+    rng = np.random.default_rng(8)
+    v = np.where(rng.random((9, 7, 6)) < 0.4, rng.integers(1, 9, (9, 7, 6)), 0)
+    rows = [(c, *map(int, at), float(x), int(x)) for c in (0, 1) for at, x in np.ndenumerate(v) if x]
+    df = spark.createDataFrame(rows, f"{AT}, v double, seg bigint")
+    params = spark.createDataFrame([(0, 0.3, -0.2, 0.5, 0.2, 0.4), (1, 0.0, 0.0, 0.0, -1.0, 0.0)],
+                                   "case_id bigint, rx double, ry double, rz double, zx double, tx double")
+    matrix = augment.affine_matrix(params, sizes(spark, v.shape, 2))
+    out = resample.affine(df, ["v"], ["seg"], matrix, side=4)
+    got = {(r["case_id"], *(r[c] for c in "xyz")): (r["v"], r["seg"]) for r in out.collect()}
+    assert len(got) == 2 * v.size
+    middle = (np.array(v.shape) - 1) / 2
+    read = lambda s: int(v[tuple(s)]) if (s >= 0).all() and (s < v.shape).all() else 0
+    for m in matrix.collect():
+        a = np.array([[m[f"a{i}{j}"] for j in (1, 2, 3)] for i in (1, 2, 3)])
+        for at in np.ndindex(*v.shape):
+            p = a @ (np.array(at) - middle) + [m["b1"], m["b2"], m["b3"]] + middle
+            low = np.floor(p).astype(int)
+            want = sum(np.prod(1 - np.abs(p - low - c)) * read(low + c) for c in np.ndindex(2, 2, 2))
+            assert got[(m["case_id"], *at)][0] == pytest.approx(want, abs=1e-9)
+            if np.abs(p % 1 - 0.5).min() > 1e-6:
+                assert got[(m["case_id"], *at)][1] == read(np.floor(p + 0.5).astype(int))
+    for shown in (resample.affine_linear(df, ["v"], matrix), resample.affine_nearest(df, ["seg"], matrix)):
+        shown.explain()
+    joins = [line for line in capsys.readouterr().out.splitlines() if "Join" in line]
+    assert joins and all(line.count("#") == 2 and "case_id" in line for line in joins)  # by case, not by voxel
