@@ -260,3 +260,16 @@ def test_affine_over_bricks_shuffles_only_source_voxels(spark, capsys):
         shown.explain()
     joins = [line for line in capsys.readouterr().out.splitlines() if "Join" in line]
     assert joins and all(line.count("#") == 2 and "case_id" in line for line in joins)  # by case, not by voxel
+
+
+def test_holes_are_sought_among_the_zeros_of_the_box(spark, monkeypatch):
+    v = np.zeros((7, 7, 7))
+    v[1:6, 1:6, 1:6] = 1
+    v[3, 3, 3] = v[1, 1, 1] = 0
+    looked = []
+    plain = geometry.components
+    monkeypatch.setattr(geometry, "components", lambda df, *a, **k: (looked.append(df.count()), plain(df, *a, **k))[1])
+    df = dense(spark, v, "img").withColumn("seg", F.lit(0).cast("long"))
+    cut, _ = geometry.crop_to_nonzero(df, ["img"], sizes(spark, v.shape))
+    assert {tuple(r[c] for c in "xyz") for r in cut.filter("seg = -1").collect()} == {(0, 0, 0)}
+    assert looked == [2]
