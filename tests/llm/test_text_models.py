@@ -228,3 +228,30 @@ def test_chunks_do_not_change_scores(docs):  # noqa: F811
 def test_held_out_texts_are_likelier_than_by_single_words(spark):
     rows = queries.QUERIES["op13_hmm_scores"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert rows[0] - rows[1] > 0.1 * rows[2]
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Every training row is in pairs, however rare its label; the cut is the quantile of all of them."""
+    import zlib
+
+    from voxelweave.llm import quality
+
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(4)
+    n = 700
+    bad = rng.random(n) < 0.03
+    texts = ["!!## %d ** " % i * 5 if b else "some plain words of text %d and more of them here" % i for i, b in enumerate(bad)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(not b)) for i, b in enumerate(bad)], "doc_id long, quality int")
+    seen, plain = [], quality._blocks
+    monkeypatch.setattr(quality, "_blocks", lambda *a: seen.append(plain(*a)) or seen[-1])
+    model = quality.train(docs, labels)
+    learnt = {i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2}
+    held = [r["rows"] for r in seen[0].collect()]
+    assert {x["id"] for rows in held for x in rows} == learnt
+    assert sorted(x["id"] for rows in held for x in rows if x["first"]) == sorted(learnt)
+    assert len(held) > 10 and all({x["y"] for x in rows} == {0, 1} for rows in held)
+    strength = {i: (np.array(quality.features(texts[i].encode())) - model.centre) / model.spread @ model.weights for i in learnt}
+    ordered, at = sorted(strength.values()), sum(bad[i] for i in learnt)
+    assert model.cut == pytest.approx((ordered[at - 1] + ordered[at]) / 2, abs=1e-9)
+    assert not any(bad[i] for i in learnt if strength[i] > model.cut)

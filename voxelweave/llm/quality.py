@@ -6,19 +6,22 @@ minimise the logistic loss of feature differences over the pairs. The threshold
 is the quantile of the training strengths at the share of bad documents, and the
 score puts it at 0.7.
 
-The model is fitted on at most ``sample_rows`` labelled rows, the smallest by a
-hash of the id. Rows whose crc32 of the id as text leaves 2 modulo 4 are held out.
+The model is fitted on all labelled rows but the held out ones, whose crc32 of the
+id as text leaves 2 modulo 4. They are dealt to blocks by a hash of the id; pairs
+are drawn inside a block so that every row is in some. Each Newton step is a pass
+over the blocks that sums slopes and curvatures; the quantile is exact.
 
 Defined cases: a null text counts as empty and is scored like any text; a null
 id counts as the text ``''`` and is never labelled; a document with several
-labels has the highest; without labels of both kinds every score is 0.7; all
+labels has the highest; a repeated id counts once, with its smallest features;
+without labels of both kinds every score is 0.7; all
 input columns stay, except that ``held_out``, ``score`` and ``predicted`` replace
 columns of these names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelweave.llm.words import for_texts
+from voxelweave.session import materialize
 
-SAMPLE_ROWS = 20_000
+BLOCK_ROWS = 256
+FEWEST = 16  # rows of either label in a block, on average
+PAIRS_EACH = 8
 THRESHOLD = 0.7
 LETTERS = bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -71,29 +77,103 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (strength - self.cut) + high, -500, 500)))
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, pairs_each: int = 8, steps: int = 40, decay: float = 1e-3, seed: int = 5) -> Model:
-    """Newton steps on the mean logistic loss over pairs (good, bad)."""
-    width = rows.shape[1]
+def pairs(rows: np.ndarray, labels: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Feature differences (good less bad); every row is in ``PAIRS_EACH`` pairs at least."""
     good, bad = rows[labels == 1], rows[labels == 0]
-    if not len(good) or not len(bad):
+    most = max(len(good), len(bad)) if len(good) and len(bad) else 0
+    turns = [good[np.resize(draw.permutation(len(good)), most)] - bad[np.resize(draw.permutation(len(bad)), most)] for _ in range(PAIRS_EACH)]
+    return np.concatenate(turns)
+
+
+def _summed(blocks: DataFrame, part: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all blocks of ``part`` of (block, features, labels, first places); a task sends one vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for block, rows, labels, first in _unpacked(batches):
+            v = part(block, rows, labels, first)
+            total = v if total is None else total + v
+        if total is not None:
+            yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    got = blocks.mapInArrow(run, "v array<double>").collect()
+    return np.sum(sorted([r["v"] for r in got]), axis=0)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            held = batch.column("rows")[i].values
+            x = held.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+            yield batch.column("block")[i].as_py(), x, held.field("y").to_numpy(zero_copy_only=False), held.field("first").to_numpy(zero_copy_only=False)
+
+
+def _blocks(rows: DataFrame, n: int, few: int, rarer: int) -> DataFrame:
+    """block, rows. Rows of a rare label are repeated over several blocks, so that no block lacks one."""
+    count = -(-n // BLOCK_ROWS)
+    while True:
+        copies = min(count, max(1, -(-FEWEST * count // few)))
+        turn = F.explode(F.sequence(F.lit(0), F.when(F.col("y") == rarer, copies - 1).otherwise(0)))
+        dealt = rows.withColumn("turn", turn).withColumn("block", F.pmod(F.xxhash64("id") + F.col("turn"), F.lit(count)))
+        held = F.sort_array(F.collect_list(F.struct("id", "y", (F.col("turn") == 0).alias("first"), "x")))
+        blocks = materialize(dealt.groupBy("block").agg(held.alias("rows")).sortWithinPartitions("block"), "quality-blocks")
+        if count == 1 or blocks.filter("array_min(rows.y) = array_max(rows.y)").isEmpty():
+            return blocks
+        count //= 2
+
+
+def _of_rank(values: DataFrame, rank: int, bins: int = 1000) -> float:
+    """The value ``s`` with that many values before it: counts by bin, then only the bin that holds it."""
+    low, high = values.agg(F.min("s"), F.max("s")).first()
+    while low < high:
+        at = F.least(F.floor((F.col("s") - low) / F.lit(high - low) * bins), F.lit(bins - 1))
+        here = values.filter(F.col("s").between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"))
+        for r in here.orderBy("bin").collect():  # at most ``bins``
+            low, high = r["a"], r["b"]
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+    return low
+
+
+def fit(rows: DataFrame, steps: int = 40, decay: float = 1e-3, seed: int = 5) -> Model:
+    """Newton steps on the mean logistic loss over pairs, from all of ``rows`` (id, y, x)."""
+    width = len(features(b""))
+    known = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not known.get(0) or not known.get(1):
         return Model(np.zeros(width), np.zeros(width), np.ones(width), 0.0, 1.0)
-    centre, spread = rows.mean(axis=0), rows.std(axis=0) + 1e-6
-    draw = np.random.default_rng(seed)
-    size = pairs_each * max(len(good), len(bad))
-    diff = (good[draw.integers(0, len(good), size)] - bad[draw.integers(0, len(bad), size)]) / spread
+    n, rarer = known[0] + known[1], int(known[1] < known[0])
+    blocks = _blocks(rows, n, known[rarer], rarer)
+    sums = _summed(blocks, lambda block, x, y, first: np.concatenate([x[first].sum(axis=0), (x[first] ** 2).sum(axis=0)]))
+    # Rounded, because tasks may add in another order.
+    centre = np.round(sums[:width] / n, 12)
+    spread = np.round(np.sqrt(np.maximum(sums[width:] / n - (sums[:width] / n) ** 2, 0)), 9) + 1e-6
     weights = np.zeros(width)
-    for _ in range(steps):
+
+    def part(block: int, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
+        diff = pairs(x, y, np.random.default_rng([seed, block])) / spread
         p = 1 / (1 + np.exp(np.clip(diff @ weights, -60, 60)))  # how surprising each preference is
-        slope = -(diff.T @ p) / size + decay * weights
-        bend = (diff * (p * (1 - p))[:, None]).T @ diff / size + decay * np.eye(width)
+        return np.concatenate([[len(diff)], diff.T @ p, ((diff * (p * (1 - p))[:, None]).T @ diff).ravel()])
+
+    for _ in range(steps):
+        sums = _summed(blocks, part)
+        slope = -sums[1:width + 1] / sums[0] + decay * weights
+        bend = sums[width + 1:].reshape(width, width) / sums[0] + decay * np.eye(width)
         step = np.linalg.solve(bend, slope)
-        weights -= step * min(1.0, 4 / (np.linalg.norm(step) + 1e-12))
+        weights = weights - step * min(1.0, 4 / (np.linalg.norm(step) + 1e-12))
         if np.linalg.norm(slope) < 1e-8:
             break
-    strength = (rows - centre) / spread @ weights
-    ordered, share = np.sort(strength), len(bad) / len(rows)
-    at = min(len(ordered) - 1, int(round(share * len(ordered))))
-    cut = (ordered[max(0, at - 1)] + ordered[at]) / 2
+    weights = np.round(weights, 9)
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x, _, first in _unpacked(batches):
+            yield pa.record_batch([pa.array((x[first] - centre) / spread @ weights)], names=["s"])
+
+    values = materialize(blocks.mapInArrow(strengths, "s double"), "quality-strengths")
+    at = min(n - 1, known[0])
+    before = _of_rank(values, max(0, at - 1))
+    after = values.agg(F.count(F.when(F.col("s") <= before, 1)).alias("n"), F.min(F.when(F.col("s") > before, F.col("s"))).alias("next")).first()
+    cut = (before + (before if after["n"] > at else after["next"])) / 2
     return Model(weights, centre, spread, float(cut), 1.0)
 
 
@@ -111,18 +191,15 @@ def _feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     for_texts(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.filter("id IS NOT NULL AND y IN (0, 1)").filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    some = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(known), "id")
-    rows = some.groupBy("id").agg(F.min("text").alias("text"))  # a repeated id counts once
-    got = _feature_rows(rows, "id", "text").join(F.broadcast(known), "id").orderBy("id").collect()  # at most sample_rows
-    if not got:
-        return fit(np.zeros((0, len(features(b"")))), np.zeros(0))
-    return fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got]))
+    number = F.col(f"`{id_col}`").cast("long")
+    some = docs.filter(number.isNotNull() & ~held_out(number))
+    # Features before the join: they are smaller than the texts.
+    rows = _feature_rows(some, f"`{id_col}`", f"`{text_col}`").groupBy("id").agg(F.min("x").alias("x"))
+    return fit(materialize(rows.join(known, "id").select("id", "y", "x"), "quality-rows"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
