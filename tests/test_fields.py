@@ -273,3 +273,14 @@ def test_holes_are_sought_among_the_zeros_of_the_box(spark, monkeypatch):
     cut, _ = geometry.crop_to_nonzero(df, ["img"], sizes(spark, v.shape))
     assert {tuple(r[c] for c in "xyz") for r in cut.filter("seg = -1").collect()} == {(0, 0, 0)}
     assert looked == [2]
+
+
+def test_patch_centres_do_not_sort_the_voxels(spark, capsys):
+    from voxelweave.operators import sampling
+
+    df = spark.createDataFrame([(c, x, y, 3, int(x > 5)) for c in range(3) for x in range(9) for y in range(4)], f"{AT}, seg bigint")
+    found = sampling.patch_centres(df, 11, samples=2)
+    found.explain()
+    rows = found.collect()
+    assert len(rows) == 6 and all(r["z"] == 3 and r["fg"] == int(r["x"] > 5) for r in rows)
+    assert capsys.readouterr().out.count(" HashAggregate(keys=[case_id") == 2  # the least draw of each class
