@@ -218,3 +218,15 @@ def test_volumes_are_painted_without_shuffling_voxels(spark, monkeypatch):
         exchanges = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
         assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0]
     assert plans["fixture-dense"].count() == 25 * 4096
+
+
+def test_model_outputs_are_derived_and_only_ids_are_stored(spark, monkeypatch):
+    from voxelweave import fixtures as fx
+
+    stored = {}
+    monkeypatch.setattr(fx, "_written", {})
+    monkeypatch.setattr(fx, "materialize", lambda df, label: stored.setdefault(label, df))
+    for build in (fx.maps, fx.dense):
+        assert build(spark, "/root/testdata/sf0.001").columns[6:] == ["proba", "heat", "ox", "oy", "oz", "intensity"]
+    assert set(stored) == {"fixture-voxels", "fixture-dense"}
+    assert all(df.columns == ["case_id", "x", "y", "z", "ref_id", "pred_id"] for df in stored.values())
