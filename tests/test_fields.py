@@ -284,3 +284,19 @@ def test_patch_centres_do_not_sort_the_voxels(spark, capsys):
     rows = found.collect()
     assert len(rows) == 6 and all(r["z"] == 3 and r["fg"] == int(r["x"] > 5) for r in rows)
     assert capsys.readouterr().out.count(" HashAggregate(keys=[case_id") == 2  # the least draw of each class
+
+
+def test_total_loss_reads_the_voxels_once(spark, capsys):
+    from voxelweave.operators import losses
+
+    df = spark.range(64).selectExpr("id % 2 AS case_id", "id / 64 AS l0", "id % 5 / 5 AS l1", "id % 3 % 2 AS g", "id % 7 / 7 AS heat", "0.5D AS heat_ref",
+                                    *[f"id % 4 / 2 AS o{a}" for a in "xyz"], *[f"id % 9 / 9 AS o{a}_ref" for a in "xyz"], "id % 3 / 1 AS weight")
+    for weighted, kind in ((True, "l1"), (False, "smooth_l1")):
+        w = "weight" if weighted else None
+        alone = losses.segmentation_loss(df, w).join(losses.heatmap_loss(df, w), "case_id").join(losses.offset_loss(df, kind, w), "case_id")
+        both = losses.total_loss(df, weighted, kind=kind)
+        want = {r["case_id"]: (*r[1:], r["segmentation"] + r["heatmap"] + r["offsets"]) for r in alone.collect()}
+        assert {r["case_id"]: tuple(r[1:]) for r in both.collect()} == {c: pytest.approx(v) for c, v in want.items()}
+        capsys.readouterr()
+        both.explain()
+        assert "Join" not in capsys.readouterr().out
