@@ -300,3 +300,22 @@ def test_total_loss_reads_the_voxels_once(spark, capsys):
         capsys.readouterr()
         both.explain()
         assert "Join" not in capsys.readouterr().out
+
+
+def test_votes_are_counted_before_the_shuffle(spark, capsys):
+    rng = np.random.default_rng(5)
+    shapes = {0: (19, 9, 11), 1: (3, 30, 8)}
+    rows = [(c, *map(int, at), *map(float, rng.integers(-9, 10, 3) / 2)) for c, shape in shapes.items() for at in np.ndindex(*shape)]
+    rows += [(0, 18, 8, 10, 1e9, 0.0, -1e9), (7, 0, 0, 0, 0.0, 0.0, 0.0)]  # far outside; a case without a grid
+    df = spark.createDataFrame(rows, f"{AT}, ox double, oy double, oz double")
+    table = spark.createDataFrame([(c, *s) for c, s in shapes.items()], "case_id bigint, nx bigint, ny bigint, nz bigint")
+    want = {}
+    for c, *v in rows[:-1]:
+        at = (c, *np.clip(np.rint(np.add(v[:3], v[3:])), 0, np.array(shapes[c]) - 1).astype(int).tolist())
+        want[at] = want.get(at, 0) + 1
+    found = centres.votes(df.repartition(3), table)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and {r[:4]: r[4] for r in got} == want
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" not in plan and "MapInArrow" in plan

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,8 +18,8 @@ from voxelweave.operators.nearest import nearest_site
 from voxelweave.operators.overlap import COORDS
 from voxelweave.operators.ranking import rank_in_group
 from voxelweave.operators.stencil import local_maxima
-from voxelweave.schema import voxel_key
-from voxelweave.session import materialize, shuffled
+from voxelweave.schema import AXIS_BITS, voxel_key
+from voxelweave.session import materialize, shuffled, ship_package
 
 OFFSETS = {"x": "ox", "y": "oy", "z": "oz"}
 
@@ -61,18 +65,86 @@ def calibrate_offsets(offsets: DataFrame, centres: DataFrame) -> DataFrame:
     }).select(*offsets.columns)
 
 
+#: Votes travel in cubes of this many bits a side.
+VOTE_BITS = 3
+#: A batch is counted in an array of its whole box if that has at most so many cells for each row, else sorted.
+SPARSE = 16
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """case_id and voxel key to one row for each cube of the batch: its place, the voxels in it and how often each one came."""
+    inner = 3 * VOTE_BITS
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        case, key = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+        at = [(key >> AXIS_BITS * (2 - i)) & (1 << AXIS_BITS) - 1 for i in range(3)]
+        run = np.cumsum(np.r_[False, case[1:] != case[:-1]])  # a case may have several runs; their counts are added later
+        low = [int(v.min()) >> VOTE_BITS for v in at]
+        wide = [(int(v.max()) >> VOTE_BITS) + 1 - lo for v, lo in zip(at, low)]
+        code = np.zeros(len(case), dtype=np.int64)
+        for v, lo, w in zip(at, low, wide):
+            code = code * w + ((v >> VOTE_BITS) - lo)
+        for v in at:
+            code = (code << VOTE_BITS) | (v & (1 << VOTE_BITS) - 1)
+        cells = math.prod(wide) << inner
+        if cells * (int(run[-1]) + 1) <= SPARSE * len(case):
+            total = np.bincount(run * cells + code)
+            start = np.flatnonzero(total)
+            n, run, code = total[start], start // cells, start % cells
+        else:
+            order = np.lexsort((code, run))
+            run, code = run[order], code[order]
+            start = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (code[1:] != code[:-1])])
+            n, run, code = np.diff(start, append=len(code)), run[start], code[start]
+        cube = code >> inner
+        first = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (cube[1:] != cube[:-1])])
+        begins = np.flatnonzero(np.r_[True, case[1:] != case[:-1]])
+        ends, left, place = pa.array(np.append(first, len(code)).astype(np.int32)), cube[first], {}
+        for a, lo, w in reversed(list(zip(COORDS, low, wide))):
+            left, place[a] = left // w, left % w + lo
+        yield pa.RecordBatch.from_arrays([
+            pa.array(case[begins[run[first]]]), *[pa.array(place[a]) for a in COORDS],
+            pa.ListArray.from_arrays(ends, pa.array((code & (1 << inner) - 1).astype(np.int16))),
+            pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32))),
+        ], names=["case_id", *[f"o{a}" for a in COORDS], "at", "n"])
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The counts of whole cubes, clamped to the grid."""
+    side = 1 << VOTE_BITS
+    row = np.repeat(np.arange(len(pdf)), pdf["at"].map(len).to_numpy())
+    at, n = np.concatenate(pdf["at"].to_list()).astype(np.int64), np.concatenate(pdf["n"].to_list())
+    cubes = bricks.brick_slices(pdf, ["case_id"])
+    first = np.array([start for start, _ in cubes])
+    code = np.repeat(np.arange(len(cubes)), np.diff(first, append=len(pdf)))[row]
+    for i, a in enumerate(COORDS):
+        place = (pdf[f"o{a}"].to_numpy()[row] << VOTE_BITS) + ((at >> VOTE_BITS * (2 - i)) & side - 1)
+        code = code * side + (np.minimum(place, pdf[f"n{a}"].to_numpy()[row] - 1) & side - 1)
+    total = np.bincount(code, weights=n)
+    code = np.flatnonzero(total)
+    there = first[code >> 3 * VOTE_BITS]
+    where = {a: (pdf[f"b{a}"].to_numpy()[there] << VOTE_BITS) + ((code >> VOTE_BITS * (2 - i)) & side - 1) for i, a in enumerate(COORDS)}
+    return pd.DataFrame({"case_id": pdf["case_id"].to_numpy()[there], **where, "votes": total[code].astype(np.int64)})
+
+
 def votes(offsets: DataFrame, cases: DataFrame) -> DataFrame:
-    """Number of voxels that point at each voxel: half-even rounding, clamped to the grid."""
-    sized = offsets.join(cases.select("case_id", "nx", "ny", "nz"), "case_id")
-    zero = F.lit(0).cast("long")
+    """Number of voxels that point at each voxel: half-even rounding, clamped to the grid.
 
+    A batch of voxels becomes counts in small cubes before anything is shuffled, so a
+    task holds one batch or the counts of a few cubes, however many voxels there are.
+    """
     def target(a: str) -> Column:
         at = F.rint(F.col(a) + F.col(OFFSETS[a])).cast("long")
-        return F.least(F.greatest(at, zero), F.col(f"n{a}") - 1).alias(a)
-
-    return sized.select("case_id", *[target(a) for a in COORDS]).groupBy("case_id", *COORDS).agg(
-        F.count("*").alias("votes")
-    )
+        return F.least(F.greatest(at, F.lit(0).cast("long")), F.lit(2 ** AXIS_BITS - 1).cast("long"))
+
+    kind = offsets.schema["case_id"].dataType.simpleString()
+    aimed = offsets.filter("case_id IS NOT NULL").select("case_id", voxel_key(*[target(a) for a in COORDS]).alias("key"))
+    ship_package(offsets.sparkSession)
+    counted = aimed.mapInArrow(_counted, f"case_id {kind}, ox bigint, oy bigint, oz bigint, at array<smallint>, n array<int>")
+    sized = counted.join(cases.select("case_id", "nx", "ny", "nz"), "case_id").withColumns({
+        f"b{a}": F.least(F.col(f"o{a}"), F.shiftright(F.col(f"n{a}") - 1, VOTE_BITS)) for a in COORDS})
+    return bricks.map_placed(sized, ["case_id"], _summed, f"case_id {kind}, x bigint, y bigint, z bigint, votes bigint", [])
 
 
 def assign_to_centres(foreground: DataFrame, centres: DataFrame, radius: int = 4) -> DataFrame:
