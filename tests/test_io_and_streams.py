@@ -230,3 +230,23 @@ def test_model_outputs_are_derived_and_only_ids_are_stored(spark, monkeypatch):
         assert build(spark, "/root/testdata/sf0.001").columns[6:] == ["proba", "heat", "ox", "oy", "oz", "intensity"]
     assert set(stored) == {"fixture-voxels", "fixture-dense"}
     assert all(df.columns == ["case_id", "x", "y", "z", "ref_id", "pred_id"] for df in stored.values())
+
+
+def test_a_call_merges_a_group_of_cases(spark, tmp_path):
+    from voxelweave.streaming import pieces
+
+    def land(batch, cases, told):
+        rows = [(c, datetime(2024, 1, 1), told, 3, [(1, 1, 2), (1, 0, 1)], batch) for c in cases]
+        spark.createDataFrame(rows, pieces.PIECES).coalesce(1).write.parquet(str(tmp_path / "parts" / f"part={batch}"))
+
+    def run():
+        closed = pieces.close_cases(pieces.arrived_pieces(spark, str(tmp_path / "parts")), 1000, 1000, "1 minute", groups=4)
+        closed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "offsets")).trigger(
+            availableNow=True).start().awaitTermination()
+        return {r["case_id"]: tuple(r[1:]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    land(0, range(40), 6)
+    assert run() == {}
+    land(1, range(20, 60), 6)
+    assert run() == {c: (True, 2, [1, 1], [1, 0], [4, 2]) for c in range(20, 40)}
+    assert 0 < spark.read.format("statestore").load(str(tmp_path / "offsets")).count() <= 4

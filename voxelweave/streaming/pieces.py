@@ -13,6 +13,7 @@ numbers it holds, so a batch that is written again after a failure adds nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxelweave.operators import metrics, overlap, sizes
 from voxelweave.operators.overlap import COORDS
-from voxelweave.session import materialize, ship_package
+from voxelweave.session import materialize, ship_package, shuffled
 from voxelweave.sources.voxels import BUCKETS, of_cases
 
 PIECES = "case_id long, ts timestamp, declared long, n long, pairs array<struct<pred_id: long, ref_id: long, n: long>>, batch long"
-STATE = "closed boolean, last long, declared long, received long, batches array<long>, pred array<long>, ref array<long>, n array<long>"
+#: Of the cases of a group, one entry for each.
+STATE = """cases array<long>, closed array<boolean>, last array<long>, until array<long>, declared array<long>, received array<long>,
+  batches array<array<long>>, counts array<array<long>>"""
 CLOSED = "case_id long, complete boolean, pieces long, pred array<long>, ref array<long>, n array<long>"
+GROUPS = 1024
 
 
 def count_arrivals(predictions: DataFrame, references: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
@@ -42,7 +46,7 @@ def count_arrivals(predictions: DataFrame, references: DataFrame, path: str, che
         batch = materialize(batch, "arrived")
         arrived = materialize(batch.select("case_id").distinct(), "arrived-cases")
         known = of_cases(references, arrived, buckets).drop("case_bucket")
-        aligned = batch.join(known, ["case_id", *COORDS], "left")
+        aligned = batch.join(shuffled(known), ["case_id", *COORDS], "left")
         pairs = aligned.groupBy("case_id", "pred_id", F.coalesce("ref_id", F.lit(0).cast("long")).alias("ref_id")).agg(
             F.count("*").alias("n"), F.max("ts").alias("ts"), F.max("declared").alias("declared"))
         rows = pairs.groupBy("case_id").agg(
@@ -58,53 +62,79 @@ def arrived_pieces(spark: SparkSession, path: str, files_each: int | None = None
     return (reader.option("maxFilesPerTrigger", files_each) if files_each else reader).parquet(path)
 
 
+@dataclass
+class _Case:
+    """A case while it waits, or after it was scored; ``until`` is when the wait, or the memory of it, ends."""
+
+    closed: bool = False
+    last: int = 0
+    until: int = 0
+    declared: int = 0
+    received: int = 0
+    batches: list[int] = field(default_factory=list)
+    counts: list[int] = field(default_factory=list)  # pred, ref, n of every pair in turn
+
+
+def _add(case: _Case, batch: int, at: int, declared: int, received: int, pred, ref, n) -> None:
+    counts = {(p, r): m for p, r, m in zip(case.counts[::3], case.counts[1::3], case.counts[2::3])}
+    for p, r, m in zip(pred.tolist(), ref.tolist(), n.tolist()):
+        counts[p, r] = counts.get((p, r), 0) + m
+    case.counts = [v for (p, r), m in counts.items() for v in (p, r, m)]
+    case.batches.append(batch)
+    case.last, case.declared, case.received = max(case.last, at), max(case.declared, declared), case.received + received
+
+
 def _merge(patience_ms: int, forget_ms: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def closed(complete: bool, last: int, batches: list, counts: dict) -> pd.DataFrame:
-            state.update((True, last, None, None, [], [], [], []))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + forget_ms)  # until then, what comes late is not a new case
-            return pd.DataFrame({"case_id": [key[0]], "complete": [complete], "pieces": [len(batches)], "pred": [[p for p, _ in counts]],
-                                 "ref": [[r for _, r in counts]], "n": [list(counts.values())]})
-
-        was_closed, last, declared, received, batches, pred, ref, n = state.get if state.exists else (False, 0, 0, 0, [], [], [], [])
-        batches, counts = list(batches), dict(zip(zip(pred, ref), n))
-        if state.hasTimedOut:
-            if was_closed:
-                state.remove()
+        held = {case: _Case(*kept) for case, *kept in zip(*state.get)} if state.exists else {}
+        now, met, done = state.getCurrentWatermarkMs(), {}, []
+
+        def close(number: int, case: _Case, complete: bool) -> None:
+            done.append((number, complete, len(case.batches), case.counts[::3], case.counts[1::3], case.counts[2::3]))
+            # Until it is forgotten, what comes late is not a new case.
+            held[number] = _Case(True, case.last, max(case.last, now) + forget_ms)
+
+        for frame in () if state.hasTimedOut else frames:
+            for number, batch, ts, *told in zip(*[frame[c] for c in ("case_id", "batch", "ts", "declared", "n", "pred", "ref", "m")]):
+                case = met[number] = held.setdefault(number, _Case())
+                if not case.closed and batch not in case.batches:
+                    _add(case, int(batch), int(ts.timestamp() * 1000), int(told[0]), int(told[1]), *told[2:])
+        for number, case in met.items():
+            if not case.closed and case.received >= case.declared:
+                close(number, case, True)
+            else:
+                case.until = max(case.last, now) + (forget_ms if case.closed else patience_ms)
+        for number, case in [(k, c) for k, c in held.items() if c.until < now]:
+            if case.closed:
+                del held[number]
             else:
-                yield closed(False, last, batches, counts)
-            return
-        if was_closed:
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + forget_ms)
-            return
-        for frame in frames:
-            for batch, ts, told, size, pairs in zip(frame["batch"], frame["ts"], frame["declared"], frame["n"], frame["pairs"]):
-                if batch in batches:
-                    continue
-                batches.append(int(batch))
-                last = max(last, int(ts.timestamp() * 1000))
-                declared, received = max(declared, int(told)), received + int(size)
-                for pair in pairs:
-                    at = (int(pair["pred_id"]), int(pair["ref_id"]))
-                    counts[at] = counts.get(at, 0) + int(pair["n"])
-        if received >= declared:
-            yield closed(True, last, batches, counts)
+                close(number, case, False)
+        if held:
+            kept = [[getattr(c, f.name) for c in held.values()] for f in fields(_Case)]
+            state.update(([int(k) for k in held], *kept))
+            state.setTimeoutTimestamp(min(c.until for c in held.values()))
         else:
-            state.update((False, last, declared, received, batches, [p for p, _ in counts], [r for _, r in counts], list(counts.values())))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + patience_ms)
+            state.remove()
+        if done:
+            yield pd.DataFrame(done, columns=["case_id", "complete", "pieces", "pred", "ref", "n"])
 
     return run
 
 
-def close_cases(pieces: DataFrame, patience_ms: int, forget_ms: int, delay: str) -> DataFrame:
+def close_cases(pieces: DataFrame, patience_ms: int, forget_ms: int, delay: str, groups: int = GROUPS) -> DataFrame:
     """One row for each case as it closes, with its overlap counts.
 
     A case closes when all declared voxels came, or incomplete when the watermark,
     ``delay`` behind the latest time, is ``patience_ms`` past its last piece. What
-    comes for a closed case is left out for ``forget_ms``.
+    comes for a closed case is left out for ``forget_ms``. Python is called for each
+    of ``groups`` groups of cases that a batch meets, since a call for each case takes
+    longer than its counts.
     """
     ship_package(pieces.sparkSession)
-    return pieces.withWatermark("ts", delay).groupBy("case_id").applyInPandasWithState(
+    parted = pieces.withWatermark("ts", delay).select(
+        F.pmod(F.xxhash64("case_id"), F.lit(groups)).alias("part"), "case_id", "ts", "declared", "n", "batch",
+        F.col("pairs.pred_id").alias("pred"), F.col("pairs.ref_id").alias("ref"), F.col("pairs.n").alias("m"))
+    return parted.groupBy("part").applyInPandasWithState(
         _merge(patience_ms, forget_ms), CLOSED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
