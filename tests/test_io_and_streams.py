@@ -250,3 +250,14 @@ def test_a_call_merges_a_group_of_cases(spark, tmp_path):
     land(1, range(20, 60), 6)
     assert run() == {c: (True, 2, [1, 1], [1, 0], [4, 2]) for c in range(20, 40)}
     assert 0 < spark.read.format("statestore").load(str(tmp_path / "offsets")).count() <= 4
+
+
+def test_arrivals_are_not_broadcast(spark, tmp_path, monkeypatch, capsys):
+    from voxelweave.operators import overlap
+
+    for name, ids in (("pred", "pred_id"), ("ref", "ref_id")):
+        spark.createDataFrame([(0, x, 0, 0, 1) for x in range(9)], f"case_id long, x long, y long, z long, {ids} long").write.parquet(str(tmp_path / name))
+    both = overlap.align(*[spark.read.parquet(str(tmp_path / n)) for n in ("pred", "ref")])
+    both.filter("ref_id > 0").explain()
+    both.filter("pred_id > 0").explain()
+    assert "Broadcast" not in capsys.readouterr().out

@@ -66,8 +66,10 @@ def stream_case_scores(spark, sf):
     v = fx.gappy(spark, sf)
     landing, out = new_path(spark, "landing"), new_path(spark, "scores")
     preds = v.filter("pred_id > 0").select("case_id", "x", "y", "z", "pred_id")
-    preds.repartition(4, "case_id").write.parquet(landing)
-    arriving = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    preds.repartition(files, "case_id").write.parquet(landing)
+    # Two batches, however many files the tables need.
+    arriving = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", (files + 1) // 2).parquet(landing)
     stored = new_path(spark, "references")
     vx.write(v.filter("ref_id > 0").select("case_id", "x", "y", "z", "ref_id"), stored, 64)
     refs = spark.read.parquet(stored)
