@@ -261,3 +261,17 @@ def test_arrivals_are_not_broadcast(spark, tmp_path, monkeypatch, capsys):
     both.filter("ref_id > 0").explain()
     both.filter("pred_id > 0").explain()
     assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_the_large_case_is_laid_out_without_shuffling_voxels(spark, monkeypatch):
+    from voxelweave import fixtures as fx
+
+    plans = {}
+    monkeypatch.setattr(fx, "_written", {})
+    monkeypatch.setattr(fx, "materialize", lambda df, label: plans.setdefault(label, df) if label == "fixture-large" else session.materialize(df, label))
+    large = fx.large(spark, "/root/testdata/sf0.001")
+    rod = large.filter("y = 8 AND z = 8")
+    assert large.select("x", "y", "z").distinct().count() == large.count()
+    assert {r["ref_id"] for r in rod.collect()} == {1} and rod.count() == large.agg({"x": "max"}).first()[0] + 1
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SinglePartition" in plan  # the length of the rod only
