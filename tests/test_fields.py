@@ -319,3 +319,14 @@ def test_votes_are_counted_before_the_shuffle(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert "HashAggregate" not in plan and "MapInArrow" in plan
+
+
+def test_no_row_serves_a_brick_below_the_grid(spark):
+    from voxelweave.operators import bricks
+
+    rows = dense(spark, np.ones((7, 7, 7)), "v")
+    assert bricks.with_bricks(rows, 4, 2, from_zero=True).filter("bx < 0 OR by < 0 OR bz < 0").count() == 0
+    assert bricks.with_bricks(rows, 8, 2, from_zero=True).filter("bx <= 0 AND by <= 0 AND bz <= 0").count() == 7 ** 3
+    for found in (stencil.gaussian(rows, "v"), stencil.hessian(rows, "v", sizes(spark, (7, 7, 7))), stencil.local_maxima(rows, "v")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("explode(sequence(greatest(") == 3
