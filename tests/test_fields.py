@@ -330,3 +330,10 @@ def test_no_row_serves_a_brick_below_the_grid(spark):
     for found in (stencil.gaussian(rows, "v"), stencil.hessian(rows, "v", sizes(spark, (7, 7, 7))), stencil.local_maxima(rows, "v")):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("explode(sequence(greatest(") == 3
+
+
+def test_centre_ids_find_the_maxima_once(spark, capsys):
+    from voxelweave.queries import load_all
+
+    load_all()[0]["centre_ids"](spark, "/root/testdata/sf0.001").explain()
+    assert "MapInPandas" not in capsys.readouterr().out

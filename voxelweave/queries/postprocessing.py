@@ -90,7 +90,8 @@ def top_k_centres(spark, sf):
 @query("centre_ids", fx.duck(_NMS.format(heat="heat", t=0.1) + f""" SELECT case_id, x, y, z,
   row_number() OVER (PARTITION BY case_id ORDER BY {KEY_SQL}) centre_id FROM mx""", *BASE))
 def centre_ids(spark, sf):
-    return centres.number_centres(stencil.local_maxima(fx.maps(spark, sf)).drop("heat"))
+    # Ranks and their totals both read the maxima.
+    return centres.number_centres(materialize(stencil.local_maxima(fx.maps(spark, sf)).drop("heat"), "maxima"))
 
 
 @query("calibrated_offsets", fx.duck(_NMS.format(heat="heat", t=0.1) + """, b AS (SELECT case_id, avg(ox) bx, avg(oy) by_, avg(oz) bz
