@@ -275,3 +275,11 @@ def test_the_large_case_is_laid_out_without_shuffling_voxels(spark, monkeypatch)
     assert {r["ref_id"] for r in rod.collect()} == {1} and rod.count() == large.agg({"x": "max"}).first()[0] + 1
     plan = large._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "SinglePartition" in plan  # the length of the rod only
+
+
+def test_a_task_paints_a_bounded_number_of_customers(spark, monkeypatch):
+    from voxelweave import fixtures as fx
+
+    monkeypatch.setattr(fx, "PAINTED", 10)
+    sf = "/root/testdata/sf0.001"
+    assert fx._build_voxels(spark, sf).rdd.getNumPartitions() >= fx.table(spark, sf, "customer").count() / 10 > 4
