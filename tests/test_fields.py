@@ -275,6 +275,22 @@ def test_holes_are_sought_among_the_zeros_of_the_box(spark, monkeypatch):
     assert looked == [2]
 
 
+def small_files(spark, tmp_path):
+    """Images of 8 x 8 x 8 voxels, made of two rows; the plan takes them to be two rows long."""
+    spark.range(2).selectExpr("id case_id").write.parquet(f"{tmp_path}/cases")
+    grid = spark.read.parquet(f"{tmp_path}/cases")
+    for a in "xyz":
+        grid = grid.selectExpr("*", f"explode(sequence(0L, 7L)) {a}")
+    return grid.selectExpr("*", "double((x + 2 * y + z) % 5) img", "x % 2 seg")
+
+
+def test_the_image_is_not_broadcast_to_be_cropped(spark, tmp_path):
+    cut, box = geometry.crop_to_nonzero(small_files(spark, tmp_path), ["img"], sizes(spark, (8, 8, 8), 2))
+    plan = cut._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("BuildRight") >= 3
+    assert cut.count() == 1024 and box.count() == 2
+
+
 def test_patch_centres_do_not_sort_the_voxels(spark, capsys):
     from voxelweave.operators import sampling
 
